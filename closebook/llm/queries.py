@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitpack, decontam, mixing, topk
+from . import bitpack, decontam, mixing, neardup, topk
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op3_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_topk_search(spark, sf_dir):
     return topk.search(table(spark, sf_dir, "embeddings"))
 
@@ -22,6 +26,6 @@ def op10_pack_tokens(spark, sf_dir):
     return bitpack.read_digests(spark, bitpack.write_tokens(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op8_topk_search, op9_decontaminate, op10_pack_tokens)}
+QUERIES = {f.__name__: f for f in (op3_mix_sources, op5_near_duplicates, op8_topk_search, op9_decontaminate, op10_pack_tokens)}
 
-ORACLES = {"op3_mix_sources": mixing.ORACLE_SQL, "op8_topk_search": topk.ORACLE_SQL, "op9_decontaminate": decontam.ORACLE_SQL}
+ORACLES = {"op3_mix_sources": mixing.ORACLE_SQL, "op5_near_duplicates": neardup.ORACLE_SQL, "op8_topk_search": topk.ORACLE_SQL, "op9_decontaminate": decontam.ORACLE_SQL}
