@@ -162,11 +162,21 @@ def report(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     )
 
 
+def _remover(shared: _Shared):
+    def run(batches):
+        machine = _automaton(shared)
+        for batch in batches:
+            clean = [not scan(machine, plain_words(raw))[0] for raw in texts(batch)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return run
+
+
 def remove(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The documents without a hit, columns unchanged."""
-    found = decontaminate(docs, items, window)
-    bad = found.filter(F.size("begins") > 0).select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("hit_id")), "left_anti")
+    for shared in _blocks_shared(docs.sparkSession.sparkContext, items, window):
+        docs = docs.mapInArrow(_remover(shared), docs.schema)
+    return docs
 
 
 ORACLE_SQL = r"""

@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
-from . import bitpack, decontam, mixing, neardup, topk
+from pyspark.sql import functions as F
+
+from . import bitpack, decontam, langid, mixing, neardup, topk, toxicity
 from .common import table
 
 
+def _remainder(n: int):
+    """crc32 of the doc_id's text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op2_identify_language(spark, sf_dir):
+    found = langid.identify(table(spark, sf_dir, "documents"), _remainder(4) == 2)
+    return found.withColumn("languages", F.concat_ws(",", "languages")).drop("proportions")
+
+
 def op3_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_score_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _remainder(5) == 0)
+
+
 def op5_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -26,6 +42,6 @@ def op10_pack_tokens(spark, sf_dir):
     return bitpack.read_digests(spark, bitpack.write_tokens(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op5_near_duplicates, op8_topk_search, op9_decontaminate, op10_pack_tokens)}
+QUERIES = {f.__name__: f for f in (op2_identify_language, op3_mix_sources, op4_score_toxicity, op5_near_duplicates, op8_topk_search, op9_decontaminate, op10_pack_tokens)}
 
 ORACLES = {"op3_mix_sources": mixing.ORACLE_SQL, "op5_near_duplicates": neardup.ORACLE_SQL, "op8_topk_search": topk.ORACLE_SQL, "op9_decontaminate": decontam.ORACLE_SQL}
