@@ -30,12 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordIndex, shared_dir
+from .common import _ASCII_LOWER, WordIndex, shared_dir, texts
 
 BLOCK_IDS = 1 << 14
 SCHEMA = "shard int, block int, first long, n_ids long, width int, doc_ids array<long>, ends array<long>, payload binary"
-_SEPARATORS = re.compile("[ \t\n\r\x0b\x0c]+")
-_ODD = re.compile("[\x1c-\x1f]")
+#: A run of ASCII marks between a letter (a-z, or one of U+00DF-U+00FF) and white space or the end.
+_MARKS = re.compile(rb"[!-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))[!-/:-@\[-`{-~]*(?=[ \t-\r]|$)")
+_SPECIAL = b"<|"
 
 
 def width_of(vocabulary: int) -> int:
@@ -78,19 +79,24 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Texts to ids. White space always ends a piece of this vocabulary, so words are encoded once and remembered."""
+    """Texts to ids, each distinct word encoded once and remembered.
+
+    This vocabulary lower-cases, drops white space, and never lets a piece cross white space or pass from a
+    letter to marks that end a word. So words are told apart after lower-casing A-Z and with closing marks
+    split off; texts that may spell a special token are cut at white space only.
+    """
 
     def __init__(self, vocabulary: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(vocabulary), end_id
         self.width = width_of(self.tokenizer.get_vocab_size(with_added_tokens=True))
-        self.flat, self.index = np.zeros(0, np.uint32), WordIndex(self._describe)
+        self.flat, self.index = np.zeros(0, np.uint32), WordIndex(self._describe, limit=800_000)
 
-    def _describe(self, words: list[str]) -> list[np.ndarray]:
-        encoded = [x.ids for x in self.tokenizer.encode_batch([w for w in words if w != " "], add_special_tokens=False)]
-        if " " in words:
-            encoded.insert(words.index(" "), [self.end_id])
+    def _describe(self, words: list[bytes]) -> list[np.ndarray]:
+        encoded = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words if w != b" "], add_special_tokens=False)]
+        if b" " in words:
+            encoded.insert(words.index(b" "), [self.end_id])
         counts = np.array([len(x) for x in encoded], dtype=np.int64)
         if not self.index.columns:
             self.flat = np.zeros(0, np.uint32)
@@ -98,19 +104,19 @@ class Encoder:
         self.flat = np.concatenate([self.flat, np.array([i for x in encoded for i in x], dtype=np.uint32)])
         return [starts, counts]
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, each text's followed by the end id, and where each text ends."""
-        words: list[str] = []
-        marks = np.zeros(len(texts), dtype=np.int64)
-        for i, text in enumerate(texts):
-            words += [w for w in _SEPARATORS.split(text) if w] if _ODD.search(text) else text.split()
-            words.append(" ")
+        words: list[bytes] = []
+        marks = np.zeros(len(raws), dtype=np.int64)
+        for i, raw in enumerate(raws):
+            words += raw.split() if _SPECIAL in raw else _MARKS.sub(rb" \g<0>", raw.translate(_ASCII_LOWER)).split()
+            words.append(b" ")
             marks[i] = len(words)
         at = self.index(words)
-        starts, counts = (c[at] for c in self.index.columns) if texts else (marks, marks)
+        starts, counts = (c[at] for c in self.index.columns) if raws else (marks, marks)
         ends = np.cumsum(counts)
         ids = self.flat[np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, ends[marks - 1] if texts else marks
+        return ids, ends[marks - 1] if raws else marks
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -141,7 +147,7 @@ def _writer(vocabulary: str | None, end_id: int, block_ids: int):
         rows = []
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                ids, ends = encode([t or "" for t in part.column("text").to_pylist()])
+                ids, ends = encode(texts(part))
                 begin = 0
                 for doc, end in zip(part.column("doc_id").to_pylist(), ends.tolist(), strict=True):
                     ids_of.append(ids[begin:end])
