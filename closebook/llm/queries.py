@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bitpack, decontam, langid, mixing, neardup, topk, toxicity
+from . import bitpack, decontam, htmltext, langid, mixing, neardup, quality, topk, toxicity, urlfilter
 from .common import table
 
 
@@ -13,6 +13,12 @@ def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_score_quality(spark, sf_dir):
+    return quality.classify(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _remainder(5) != 0, F.col("source"), F.col("lang")
+    )
+
+
 def op2_identify_language(spark, sf_dir):
     found = langid.identify(table(spark, sf_dir, "documents"), _remainder(4) == 2)
     return found.withColumn("languages", F.concat_ws(",", "languages")).drop("proportions")
@@ -30,6 +36,14 @@ def op5_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_extract_text(spark, sf_dir):
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_filter_urls(spark, sf_dir):
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_topk_search(spark, sf_dir):
     return topk.search(table(spark, sf_dir, "embeddings"))
 
@@ -42,6 +56,6 @@ def op10_pack_tokens(spark, sf_dir):
     return bitpack.read_digests(spark, bitpack.write_tokens(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_identify_language, op3_mix_sources, op4_score_toxicity, op5_near_duplicates, op8_topk_search, op9_decontaminate, op10_pack_tokens)}
+QUERIES = {f.__name__: f for f in (op1_score_quality, op2_identify_language, op3_mix_sources, op4_score_toxicity, op5_near_duplicates, op6_extract_text, op7_filter_urls, op8_topk_search, op9_decontaminate, op10_pack_tokens)}
 
 ORACLES = {"op3_mix_sources": mixing.ORACLE_SQL, "op5_near_duplicates": neardup.ORACLE_SQL, "op8_topk_search": topk.ORACLE_SQL, "op9_decontaminate": decontam.ORACLE_SQL}
