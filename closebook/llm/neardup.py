@@ -208,7 +208,9 @@ def _block_pairs(percent: int, cut: float):
         shared = _overlaps(ska, skb)
         in_a = np.stack([np.searchsorted(s, ub, "right") for s in ska]) if len(ska) else np.zeros((0, len(skb)))
         in_b = np.stack([np.searchsorted(s, ua, "right") for s in skb]).T if len(skb) else np.zeros((len(ska), 0))
-        good = shared >= cut * (in_a + in_b - shared)
+        # Sketches that hold their whole sets need no margin but for values that agree in 32 bits.
+        whole = np.array([len(s) < ESTIMATE_K for s in ska], bool)[:, None] & np.array([len(s) < ESTIMATE_K for s in skb], bool)[None, :]
+        good = shared >= np.where(whole, max(cut, percent / 100 - 0.01), cut) * (in_a + in_b - shared)
         good &= la[:, None] != lb[None, :]
         good &= 100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])
         i, j = np.nonzero(good)
