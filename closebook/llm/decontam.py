@@ -62,7 +62,7 @@ def _automaton(shared):
         for w, items in shared.value.items():
             machine.add_word(w.decode("latin-1"), (w.count(b" ") - 1, items))
         machine.make_automaton()
-        _automata[shared.id] = machine
+        _automata[shared.id] = machine if len(machine) else None
     return _automata[shared.id]
 
 
@@ -78,7 +78,9 @@ class _Shared:
 
 
 def scan(machine, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-    """Hit word ranges [begin, end), merged and in order, and the items hit."""
+    """Hit word ranges [begin, end), merged and in order, and the items hit; no automaton, no hits."""
+    if machine is None or not words:
+        return [], set()
     joined = " " + b" ".join(words).decode("latin-1") + " "
     ranges: list[list[int]] = []
     items: set = set()
@@ -102,7 +104,7 @@ def _scanner(shared: _Shared, only_hits: bool):
             rows = batch.column("row").to_pylist() if "row" in batch.schema.names else [None] * batch.num_rows
             for row, doc, raw in zip(rows, batch.column("doc_id").to_pylist(), texts(batch), strict=True):
                 words = plain_words(raw)
-                ranges, items = scan(machine, words) if words else ([], set())
+                ranges, items = scan(machine, words)
                 if ranges or not only_hits:
                     found = sorted(x for x in items if x is not None)
                     for column, value in zip(out, (row, doc, len(words), [a for a, _ in ranges], [b for _, b in ranges], found), strict=True):
