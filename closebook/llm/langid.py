@@ -1,7 +1,8 @@
 """Multilingual mixture inference: how much of each document is in which language.
 
 Model: each language has a distribution over hashed byte trigrams of letters, counted by Spark over at
-most ``PER_LANGUAGE`` labelled documents of each language (a seeded choice; the bound is a parameter).
+most ``PER_LANGUAGE`` labelled documents of each language (a seeded choice; the bound is a parameter), for
+the ``MAX_LANGUAGES`` most frequent languages.
 
 Inference: a document's trigrams are drawn from a mixture of the languages. Expectation-maximisation
 estimates the proportions; the set of languages is the one with the best penalised likelihood among the
@@ -39,14 +40,13 @@ def grams(raw: bytes) -> np.ndarray:
 
 
 def sampled(rows: DataFrame, group: str, most: int, seed: int = 11) -> DataFrame:
-    """A seeded choice of about ``most`` rows for each value of ``group``; smaller groups stay whole."""
-    counts = {r[0]: r[1] for r in rows.groupBy(group).count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} values of {group}")
+    """A seeded choice of about ``most`` rows for each value of ``group``, of at most MAX_LANGUAGES values; smaller groups stay whole."""
+    largest = rows.groupBy(group).count().orderBy(F.desc("count"), group).limit(MAX_LANGUAGES)
+    counts = {r[0]: r[1] for r in largest.collect()}
     if not counts:
         return rows
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, int(1_000_000 * min(1.0, most / n)))])
-    return rows.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000)) < share[F.col(group)])
+    return rows.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000)) < F.try_element_at(share, F.col(group)))
 
 
 def _count(batches):
