@@ -91,7 +91,7 @@ class Encoder:
 
         self.tokenizer, self.end_id = Tokenizer.from_file(vocabulary), end_id
         self.width = width_of(self.tokenizer.get_vocab_size(with_added_tokens=True))
-        self.flat, self.index = np.zeros(0, np.uint32), WordIndex(self._describe, limit=800_000)
+        self.flat, self.index = np.zeros(0, np.uint32), WordIndex(self._describe, limit=600_000)
 
     def _describe(self, words: list[bytes]) -> list[np.ndarray]:
         encoded = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words if w != b" "], add_special_tokens=False)]

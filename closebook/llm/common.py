@@ -51,7 +51,7 @@ class WordIndex:
     ``describe(words)`` gives the attribute arrays of new words, one row for each word.
     """
 
-    def __init__(self, describe, limit: int = 300_000):
+    def __init__(self, describe, limit: int = 200_000):
         self.describe, self.limit = describe, limit
         self.clear()
 
