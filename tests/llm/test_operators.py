@@ -308,6 +308,27 @@ def test_wrappers_keep_content_and_drop_template(spark):
     assert htmltext.main_text(table.limit(0)).count() == 0
 
 
+def _pages(spark, host, bodies):
+    return spark.createDataFrame([(i, f"http://{host}/{i}", f"<article>{''.join(f'<p>{x}</p>' for x in b)}</article>") for i, b in enumerate(bodies)], "page_id long, url string, html string")
+
+
+def test_constants_are_counted_over_all_pages(spark):
+    """A paragraph that is equal on the sampled pages is kept where it differs, and on those pages if few have it."""
+    rng = random.Random(8)
+    body = lambda i: [f"{words(rng, 9)} {i}", f"{words(rng, 12)} {i}"]
+    chosen = {r.page_id for r in spark.range(200).select(F.col("id").alias("page_id"), F.xxhash64("id", F.lit(3)).alias("d")).orderBy("d").limit(htmltext.PER_HOST).collect()}
+    bodies = [[("same lead" if i in chosen else f"lead {i}"), *body(i), "Follow us"] for i in range(200)]
+    got = {r.page_id: r.text for r in htmltext.main_text(_pages(spark, "h.example", bodies)).collect()}
+    assert all(got[i] == " ".join(b[:3]) for i, b in enumerate(bodies))
+
+
+def test_near_copies_of_one_article_keep_their_text(spark):
+    base = [words(random.Random(k), 10 + k) for k in range(5)]
+    bodies = [[f"changed {i} {i * i}" if k == i % 5 else x for k, x in enumerate(base)] for i in (2, 7, 12, 17, 22, 27)]
+    got = {r.page_id: r.text for r in htmltext.main_text(_pages(spark, "n.example", bodies)).collect()}
+    assert all(got[i] == " ".join(b) for i, b in enumerate(bodies))
+
+
 def test_simple_tree_matching_is_largest():
     tree = lambda s: htmltext.parse(s)
     a, b = tree("<div><p>1</p><ul><li>x</li><li>y</li></ul><p>2</p></div>"), tree("<div><ul><li>x</li></ul><p>2</p><table></table></div>")
