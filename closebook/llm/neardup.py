@@ -7,11 +7,12 @@ reaches ``threshold``; a component is what links connect.
 1. One 64-bit hash function gives each document's sketch, its ``INDEX_K`` smallest shingle hashes, and a
    finer sketch of ``ESTIMATE_K`` for estimates. Documents with equal sets form a class; only the class's
    smallest doc_id goes on, so a group of copies is never expanded.
-2. Retained values are inverted. Two documents at 0.85 share about 54 of 64 retained values, fewer than 36
-   in less than one of 10^8 such pairs (sets of up to 54 shingles are retained whole: there the bound is
-   certain). So they meet in a list of one of each other's rarest ``INDEX_K - 36 + 1`` values, and a document
-   is listed under these alone: a passage that many documents quote is common and leads nowhere unless it
-   makes up most of a document.
+2. Retained values are inverted. Two documents at the threshold share fewer retained values than
+   ``shared_least`` in at most ``LOST`` of such pairs, by the binomial tail (at 0.85 about 54 of 64, seldom
+   fewer than 36; sets of up to 54 shingles are retained whole: there the bound is certain). So they meet in
+   a list of one of each other's rarest ``INDEX_K - shared_least + 1`` values, and a document is listed
+   under these alone: a passage that many documents quote is common and leads nowhere unless it makes up
+   most of a document.
 3. In each list every member is held against the smallest one. Links that are confirmed merge members.
 4. Lists in which others than the smallest are still apart are searched in full, in blocks of bounded size:
    the union-sketch estimate of each pair with different labels filters, and what passes goes to step 5.
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import WordIndex, ascii_words, materialize, small, texts
 
-SHINGLE, INDEX_K, ESTIMATE_K, SHARED_LEAST = 5, 64, 256, 36
+SHINGLE, INDEX_K, ESTIMATE_K, LOST = 5, 64, 256, 1e-8
 BLOCK = 2000
 _SKETCH = "doc_id long, n_shingles long, set_id binary, retained array<long>, sketch binary"
 
@@ -102,11 +103,21 @@ def _sketches(batches):
             ], names=["doc_id", "n_shingles", "set_id", "retained", "sketch"])
 
 
+def shared_least(percent: int) -> int:
+    """Retained values of ``INDEX_K`` that two documents at the threshold share but for one of 1 / ``LOST`` pairs."""
+    p, tail = percent / 100, 0.0
+    for least in range(INDEX_K):
+        tail += math.comb(INDEX_K, least) * p**least * (1 - p) ** (INDEX_K - least)
+        if tail > LOST:
+            return max(1, least)
+    return INDEX_K
+
+
 def _share(percent: int):
     """Least number of retained values that two linked documents share, as a column of the set's size."""
     whole = math.floor(INDEX_K * percent / 100)
     size = F.least(F.col("n_shingles"), F.lit(INDEX_K))
-    return F.when(F.col("n_shingles") <= whole, F.ceil(F.col("n_shingles") * percent / 100)).otherwise(F.least(size, F.lit(SHARED_LEAST)))
+    return F.when(F.col("n_shingles") <= whole, F.ceil(F.col("n_shingles") * percent / 100)).otherwise(F.least(size, F.lit(shared_least(percent))))
 
 
 def _lists(reps: DataFrame, percent: int) -> DataFrame:

@@ -4,7 +4,7 @@ Each function takes (spark, docs, sf_dir) and returns a DataFrame, which is writ
 again as the next stage's docs. All but the last return the columns of documents.
 
 1. toxicity: documents that the classifier rejects go.
-2. near-duplicates: one document of each component stays.
+2. near-duplicates: one document of each component stays; links are similarities of 0.8 or more.
 3. decontamination: documents with a benchmark window go.
 4. mixing: documents are repeated, or left out, to meet the sources' targets.
 5. tokens: what is left is packed into token files, and their digest is returned.
@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.deduplicate(docs)
+    return neardup.deduplicate(docs, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,6 +117,26 @@ def test_block_pairs_split_large_lists(spark, monkeypatch):
     assert [got[i] for i in range(24)] == brute_components(texts)[1]
 
 
+def test_least_shared_values_follow_the_threshold(spark):
+    assert [neardup.shared_least(p) for p in (100, 85)] == [64, 36]
+    rng = random.Random(12)
+    texts, pairs = [], 60
+    for _ in range(pairs):  # one contained in another of twice its size: similarity over 0.5
+        base = words(rng, 400, 10**6).split()
+        texts += [" ".join(base), " ".join(base[:204])]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, texts), percent=50).collect()}
+    assert [got[2 * i + 1] for i in range(pairs)] == [2 * i for i in range(pairs)]
+
+
+def test_pipeline_links_similarities_of_80_percent(spark):
+    import corpus_pipeline
+
+    base, far = [f"w{i}" for i in range(104)], [f"x{i}" for i in range(104)]
+    texts = [" ".join(x) for x in (base, base[:86], far, far[:82])]  # 82 and 78 of 100 shingles
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs(spark, texts), "").collect())
+    assert kept == [0, 2, 3]
+
+
 # Decontamination.
 
 
