@@ -1,8 +1,9 @@
 """Multilingual mixture inference: how much of each document is in which language.
 
 Model: each language has a distribution over hashed byte trigrams of letters, counted by Spark over at
-most ``PER_LANGUAGE`` labelled documents of each language (a seeded choice; the bound is a parameter), for
-the ``MAX_LANGUAGES`` most frequent languages.
+most ``PER_LANGUAGE`` labelled documents of each language (a seeded choice; the bound is a parameter). Every
+labelled language is learned. Up to ``DENSE_LANGUAGES`` the distributions are one dense table, beyond that
+only the counts that are not 0 are held, and a document's own rows are filled in from them.
 
 Inference: a document's trigrams are drawn from a mixture of the languages. Expectation-maximisation
 estimates the proportions; the set of languages is the one with the best penalised likelihood among the
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LETTER_BYTES, texts
+from .common import _LETTER_BYTES, materialize, small, texts
 
-BUCKETS, PER_LANGUAGE, MAX_LANGUAGES = 1 << 15, 1500, 64
+BUCKETS, PER_LANGUAGE, DENSE_LANGUAGES = 1 << 15, 1500, 64
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -40,13 +41,11 @@ def grams(raw: bytes) -> np.ndarray:
 
 
 def sampled(rows: DataFrame, group: str, most: int, seed: int = 11) -> DataFrame:
-    """A seeded choice of about ``most`` rows for each value of ``group``, of at most MAX_LANGUAGES values; smaller groups stay whole."""
-    largest = rows.groupBy(group).count().orderBy(F.desc("count"), group).limit(MAX_LANGUAGES)
-    counts = {r[0]: r[1] for r in largest.collect()}
-    if not counts:
-        return rows
-    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, int(1_000_000 * min(1.0, most / n)))])
-    return rows.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000)) < F.try_element_at(share, F.col(group)))
+    """A seeded choice of about ``most`` rows for each value of ``group``; smaller groups stay whole."""
+    share = F.floor(F.least(F.lit(1.0), F.lit(most) / F.col("count")) * 1_000_000).alias("_share")
+    shares = materialize(rows.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias("_group")).count().select("_group", share), "lang-shares")
+    joined = rows.join(small(shares, shares.count()), rows[group] == shares["_group"])
+    return joined.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000)) < F.col("_share")).drop("_group", "_share")
 
 
 def _count(batches):
@@ -60,46 +59,68 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["lang", "bucket", "n"])
 
 
-def fit(docs: DataFrame, allowed: Column, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Languages and their smoothed trigram probabilities (buckets x languages), each row over its largest."""
+class Model:
+    """Smoothed trigram probabilities of the languages, each trigram's over its largest."""
+
+    def __init__(self, langs: list[str], lang: np.ndarray, bucket: np.ndarray, n: np.ndarray):
+        self.langs = langs
+        order = np.argsort(bucket, kind="stable")
+        self.lang, self.n = lang[order].astype(np.int32), n[order].astype(np.float64)
+        self.starts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        self.totals = np.bincount(lang, weights=n, minlength=len(langs)) + 0.5 * BUCKETS
+        self.dense = self._fill(np.arange(BUCKETS)) if 0 < len(langs) <= DENSE_LANGUAGES else None
+
+    def _fill(self, buckets: np.ndarray) -> np.ndarray:
+        counts = np.full((len(buckets), len(self.langs)), 0.5)
+        begin, size = self.starts[buckets], self.starts[buckets + 1] - self.starts[buckets]
+        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        counts[np.repeat(np.arange(len(buckets)), size), self.lang[at]] += self.n[at]
+        p = counts / self.totals
+        return p / p.max(1, keepdims=True)
+
+    def rows(self, buckets: np.ndarray) -> np.ndarray:
+        return self.dense[buckets] if self.dense is not None else self._fill(buckets)
+
+
+def fit(docs: DataFrame, allowed: Column, per_language: int = PER_LANGUAGE) -> Model:
     rows = docs.select("doc_id", "text", "lang").filter(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counted = sampled(rows, "lang", per_language).mapInArrow(_count, "lang string, bucket int, n long")
-    table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(table["lang"].unique())
-    if not langs:
-        return [], np.zeros((BUCKETS, 0))
-    counts = np.full((BUCKETS, len(langs)), 0.5)
-    counts[table["bucket"], table["lang"].map({x: i for i, x in enumerate(langs)})] += table["n"]
-    p = counts / counts.sum(0)
-    return langs, p / p.max(1, keepdims=True)
-
-
-def proportions(rows: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Mixture proportions of the columns, and the log-likelihood."""
+    table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    codes = table.column("lang").combine_chunks().dictionary_encode()
+    names = codes.dictionary.to_pylist()
+    langs = sorted(names)
+    place = {x: i for i, x in enumerate(langs)}
+    lang = np.array([place[x] for x in names], np.int64)[codes.indices.to_numpy(zero_copy_only=False)]
+    return Model(langs, lang, table.column("bucket").to_numpy(), table.column("n").to_numpy())
+
+
+def proportions(rows: np.ndarray, times: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """Mixture proportions of the columns, and the log-likelihood; row i stands ``times[i]`` times."""
     pi = np.full(rows.shape[1], 1 / rows.shape[1])
     for _ in range(rounds):
-        new = pi * ((1 / (rows @ pi)) @ rows) / len(rows)
+        new = pi * ((times / (rows @ pi)) @ rows) / times.sum()
         done = np.abs(new - pi).max() < 1e-3
         pi = new
         if done:
             break
     pi = pi / pi.sum()
-    return pi, float(np.log(rows @ pi).sum())
+    return pi, float(times @ np.log(rows @ pi))
 
 
-def mixture(raw: bytes, model: np.ndarray) -> tuple[list[int], np.ndarray]:
+def mixture(raw: bytes, model: Model) -> tuple[list[int], np.ndarray]:
     """Chosen languages, largest first, and their proportions."""
-    rows = model[grams(raw)]
-    if not len(rows) or not model.shape[1]:
+    found, times = np.unique(grams(raw), return_counts=True)
+    if not len(found) or not model.langs:
         return [], np.zeros(0)
-    pi, full = proportions(rows)
+    rows = model.rows(found)
+    pi, full = proportions(rows, times)
     order = np.argsort(-pi, kind="stable")
-    cost = 0.5 * np.log(len(rows))
-    best, chosen = float(np.log(rows[:, order[0]]).sum()) / 3, ([int(order[0])], np.ones(1))
+    cost = 0.5 * np.log(times.sum())
+    best, chosen = float(times @ np.log(rows[:, order[0]])) / 3, ([int(order[0])], np.ones(1))
     for n in range(2, len(order) + 1):
         if full / 3 - (n - 1) * cost <= best:  # the largest set bounds what any further one can gain
             break
-        part, value = (pi[order], full) if n == len(order) else proportions(rows[:, order[:n]])
+        part, value = (pi[order], full) if n == len(order) else proportions(rows[:, order[:n]], times)
         if value / 3 - (n - 1) * cost > best:
             place = np.argsort(-part, kind="stable")
             best, chosen = value / 3 - (n - 1) * cost, ([int(order[i]) for i in place], part[place])
@@ -108,7 +129,8 @@ def mixture(raw: bytes, model: np.ndarray) -> tuple[list[int], np.ndarray]:
 
 def _predictor(shared):
     def run(batches):
-        langs, model = shared.value
+        model = shared.value
+        langs = model.langs
         for batch in batches:
             out = [[], [], []]
             for raw in texts(batch):
@@ -126,7 +148,7 @@ def _predictor(shared):
 
 def identify(docs: DataFrame, held_out: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score (its proportion), languages, proportions; learned from rows not held out."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, ~held_out, per_language))  # buckets x languages, both bounded
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, ~held_out, per_language))  # counts that are not 0, of a bounded number of documents a language
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     return rows.mapInArrow(
         _predictor(model), "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, proportions array<double>"

@@ -260,6 +260,17 @@ def test_language_mixtures(spark):
     assert langid.identify(docs(spark, ["abc"], [None]), F.lit(False)).first().lang_pred == "und"
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(14)
+    names = [f"l{i:02}" for i in range(80)]
+    syllables = {x: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(5)] for x in names}
+    langs = [x for x in names for _ in range(6)]
+    texts = [" ".join(rng.choice(syllables[x]) for _ in range(40)) for x in langs]
+    held = F.col("doc_id") % 6 == 5
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs(spark, texts, langs), held).collect()}
+    assert [got[i] for i in range(len(langs))] == langs
+
+
 def test_toxicity_learns_stems(spark):
     rng = random.Random(5)
     texts, labels = [], []
