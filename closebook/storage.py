@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side of at most this many bytes may be broadcast; they are counted first.
+BROADCAST_BYTES = 32 << 20
 
 _own_dir: list[str] = []
+_open: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where that is unset (a local session, as in tests) a folder of our own."""
+    """``spark.checkpoint.dir``; only in a local session without one (as in tests) a folder of our own."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="closebook-"))
     return _own_dir[0]
@@ -29,9 +38,37 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for made in _open[-1:]:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What ``materialize`` writes inside is removed at the end; results must be written outside or read before."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of the rows of ``df``, texts and lists in full."""
+    kind = lambda t: F.octet_length if t in ("string", "binary") else lambda c: F.coalesce(F.octet_length(c.cast("string")), F.lit(0)) if t.startswith(("array", "struct", "map")) else F.lit(8)
+    width = F.lit(16)
+    for name, t in df.dtypes:
+        width = width + F.coalesce(kind(t)(F.col(f"`{name}`")), F.lit(0))
+    return df.agg(F.sum(width.cast("long"))).first()[0] or 0
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a table, marked for broadcast if its counted bytes stay within the bound, else left to the planner."""
+    return F.broadcast(df) if size_of(df) <= BROADCAST_BYTES else df
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
