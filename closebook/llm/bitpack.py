@@ -7,6 +7,7 @@ shards, one for each range partition, and a shard into blocks. A block holds who
     shard, block        place in the order
     first, n_ids        the block's offset: ids of the shard before it; ids in it
     width               bits of each id: the fewest that hold the vocabulary
+    least, most         smallest and largest doc_id in it, by which a reader passes over blocks
     doc_ids, ends       its documents and where each ends, in ids from the block's start
     payload             the ids, ``width`` bits each, least significant bit first
 
@@ -14,12 +15,15 @@ The id at place i of a block is in the bits from i * width on, so any document i
 neighbours, and a whole block is unpacked by a few vector operations. Blocks are the rows of a Parquet
 table, since on a cluster only Spark's own writers reach the shared store.
 
-Null text is an empty text and has only the end id. Repeated rows are written as often as they occur.
-Empty input gives files without rows. Extra columns are ignored.
+Null text is an empty text and has only the end id. Repeated rows are written as often as they occur; rows
+that share a doc_id are dealt by the beginnings of their texts, so only rows alike in both stay together.
+Empty input gives files without rows. Extra columns are ignored. Any vocabulary file of the tokenizers
+library will do; what cannot be encoded word by word is encoded text by text.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -30,13 +34,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _ASCII_LOWER, WordIndex, shared_dir, texts
+from .common import _ASCII_LOWER, WordIndex, remembered, shared_dir, texts
 
 BLOCK_IDS = 1 << 14
-SCHEMA = "shard int, block int, first long, n_ids long, width int, doc_ids array<long>, ends array<long>, payload binary"
+SCHEMA = "shard int, block int, first long, n_ids long, width int, least long, most long, doc_ids array<long>, ends array<long>, payload binary"
 #: A run of ASCII marks between a letter (a-z, or one of U+00DF-U+00FF) and white space or the end.
 _MARKS = re.compile(rb"[!-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))[!-/:-@\[-`{-~]*(?=[ \t-\r]|$)")
 _SPECIAL = b"<|"
+# How a vocabulary must split texts to be encoded word by word.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 def width_of(vocabulary: int) -> int:
@@ -81,9 +88,10 @@ def default_vocabulary() -> str:
 class Encoder:
     """Texts to ids, each distinct word encoded once and remembered.
 
-    This vocabulary lower-cases, drops white space, and never lets a piece cross white space or pass from a
-    letter to marks that end a word. So words are told apart after lower-casing A-Z and with closing marks
-    split off; texts that may spell a special token are cut at white space only.
+    A vocabulary that lower-cases, drops white space, and never lets a piece cross white space or pass from a
+    letter to marks that end a word is used word by word: words are told apart after lower-casing A-Z and with
+    closing marks split off; texts that may spell a special token are cut at white space only. With any other
+    vocabulary whole texts are encoded.
     """
 
     def __init__(self, vocabulary: str, end_id: int):
@@ -91,7 +99,13 @@ class Encoder:
 
         self.tokenizer, self.end_id = Tokenizer.from_file(vocabulary), end_id
         self.width = width_of(self.tokenizer.get_vocab_size(with_added_tokens=True))
-        self.flat, self.index = np.zeros(0, np.uint32), WordIndex(self._describe, limit=600_000)
+        self.flat, self.index = np.zeros(0, np.uint32), WordIndex(self._describe, limit=96 << 20)
+        made = json.loads(self.tokenizer.to_str())
+        split = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.by_word = (
+            made["normalizer"] == _NORMALIZER and split[0].get("pattern") == {"Regex": _SPLIT} and split[0].get("invert") is True
+            and [x.get("type") for x in split] == ["Split", "ByteLevel"] and all(_SPECIAL.decode() in x["content"] for x in made["added_tokens"])
+        )
 
     def _describe(self, words: list[bytes]) -> list[np.ndarray]:
         encoded = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words if w != b" "], add_special_tokens=False)]
@@ -106,6 +120,9 @@ class Encoder:
 
     def __call__(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, each text's followed by the end id, and where each text ends."""
+        if not self.by_word:
+            found = [[*x.ids, self.end_id] for x in self.tokenizer.encode_batch_fast([r.decode() for r in raws], add_special_tokens=False)]
+            return np.array([i for x in found for i in x], dtype=np.uint32), np.cumsum([len(x) for x in found], dtype=np.int64)
         words: list[bytes] = []
         marks = np.zeros(len(raws), dtype=np.int64)
         for i, raw in enumerate(raws):
@@ -119,14 +136,9 @@ class Encoder:
         return ids, ends[marks - 1] if raws else marks
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
 def _encoder(vocabulary: str | None, end_id: int) -> Encoder:
-    key = (vocabulary or default_vocabulary(), end_id)
-    if key not in _encoders:
-        _encoders[key] = Encoder(*key)
-    return _encoders[key]
+    path = vocabulary or default_vocabulary()
+    return remembered(("encoder", path, end_id), lambda: Encoder(path, end_id))
 
 
 def _writer(vocabulary: str | None, end_id: int, block_ids: int):
@@ -137,8 +149,9 @@ def _writer(vocabulary: str | None, end_id: int, block_ids: int):
         def cut():
             nonlocal first, block, ids_of, docs, held
             ids, ends = np.concatenate(ids_of), np.cumsum([n for _, n in docs])
+            known = [d for d, _ in docs if d is not None]
             row = {
-                "shard": shard, "block": block, "first": first, "n_ids": len(ids), "width": encode.width,
+                "shard": shard, "block": block, "first": first, "n_ids": len(ids), "width": encode.width, "least": min(known, default=None), "most": max(known, default=None),
                 "doc_ids": [d for d, _ in docs], "ends": ends.tolist(), "payload": pack(ids, encode.width),
             }
             first, block, ids_of, docs, held = first + len(ids), block + 1, [], [], 0
@@ -167,7 +180,7 @@ def _writer(vocabulary: str | None, end_id: int, block_ids: int):
 
 
 _ARROW = pa.schema([
-    ("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()),
+    ("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("least", pa.int64()), ("most", pa.int64()),
     ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("payload", pa.binary()),
 ])
 
@@ -177,7 +190,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | Non
     path = path or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     ordered = (
         docs.select(F.col("doc_id").cast("long"), "text")
-        .repartitionByRange(F.col("doc_id").asc_nulls_first())
+        .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 32).asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     )
     ordered.mapInArrow(_writer(vocabulary, end_id, block_ids), SCHEMA).write.parquet(path)
@@ -213,7 +226,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
     """Random access: the ids of each document with this doc_id."""
-    rows = spark.read.schema(SCHEMA).parquet(path).filter(F.array_contains("doc_ids", doc_id)).collect()
+    rows = spark.read.schema(SCHEMA).parquet(path).filter((F.col("least") <= doc_id) & (F.col("most") >= doc_id) & F.array_contains("doc_ids", doc_id)).collect()
     out = []
     for r in rows:
         for i, d in enumerate(r.doc_ids):

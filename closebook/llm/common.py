@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import pyarrow as pa
 
-from ..storage import materialize, shared_dir, table, union_all
+from ..storage import materialize, passing, shared_dir, small, table, union_all
 
-__all__ = ["WordIndex", "ascii_words", "letter_words", "materialize", "plain_words", "shared_dir", "small", "table", "texts", "union_all"]
+__all__ = ["WordIndex", "ascii_words", "letter_words", "materialize", "passing", "plain_words", "remembered", "shared_dir", "small", "table", "texts", "union_all"]
 
-#: A side of at most this many narrow rows may be broadcast; its rows are counted first.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of words and their columns that a Python worker remembers.
+WORD_BYTES = 32 << 20
 
 _ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORD_BYTES = bytes(
@@ -20,9 +23,26 @@ _WORD_BYTES = bytes(
 _LETTER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if its counted ``rows`` stay within the bound, else left to the planner."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+_held: dict = {}
+
+
+def remembered(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: one thing at a time; that of another stage goes first."""
+    if key not in _held:
+        _held.clear()
+        trim()
+        _held[key] = make()
+    return _held[key]
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def ascii_words(raw: bytes) -> list[bytes]:
@@ -46,23 +66,24 @@ def texts(batch, name: str = "text") -> list[bytes]:
 
 
 class WordIndex:
-    """Word -> dense number, remembered within one Python worker and cleared when it outgrows ``limit``.
+    """Word -> dense number, remembered within one Python worker and cleared when it outgrows ``limit`` bytes.
 
     ``describe(words)`` gives the attribute arrays of new words, one row for each word.
     """
 
-    def __init__(self, describe, limit: int = 200_000):
+    def __init__(self, describe, limit: int = WORD_BYTES):
         self.describe, self.limit = describe, limit
         self.clear()
 
     def clear(self) -> None:
         self.ids: dict = {}
-        self.parts: list[list[np.ndarray]] = []
         self.columns: list[np.ndarray] | None = None
+        self.bytes = 0
 
     def __call__(self, words: list) -> np.ndarray:
-        if len(self.ids) > self.limit:
+        if self.bytes > self.limit:
             self.clear()
+            trim()
         ids = self.ids
         fresh = [w for w in set(words) if w not in ids]
         if fresh:
@@ -71,14 +92,14 @@ class WordIndex:
                 ids[w] = len(ids)
             rows = self.describe(fresh)
             self.columns = list(rows) if self.columns is None else [self._grow(i, r) for i, r in enumerate(rows)]
-            self.filled = len(ids)
+            self.bytes += sum(map(len, fresh)) + 150 * len(fresh) + sum(r.nbytes for r in rows)
         return np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
 
     def _grow(self, i: int, rows: np.ndarray) -> np.ndarray:
         """Columns have spare room, so that many small additions stay cheap."""
         old, used = self.columns[i], len(self.ids) - len(rows)
         if len(old) < len(self.ids):
-            new = np.zeros((max(2 * len(old), len(self.ids)), *old.shape[1:]), dtype=old.dtype)
+            new = np.zeros((max(3 * len(old) // 2, len(self.ids)), *old.shape[1:]), dtype=old.dtype)
             new[:used] = old[:used]
             old = new
         old[used : len(self.ids)] = rows

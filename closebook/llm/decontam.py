@@ -2,103 +2,101 @@
 
 Texts and items are lower-cased (A-Z) and cut into words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. A window
 is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. The
-automaton holds every distinct window, framed by spaces, and runs over the text's words joined by single
-spaces; a hit's place is counted back to word numbers and from there to offsets in the original text.
+automaton's letters are words: it holds every distinct window as a sequence of word numbers and runs over a
+text's word numbers; a hit's place is a word range, and from there offsets in the original text.
 
-The items are a stated, small set. They are read through Spark in blocks of at most ``BLOCK_BYTES`` of
-window text; one block is the usual case, and more blocks mean more scans, not more memory.
+The items are a stated, small set. They are read through Spark and cut into blocks of at most ``BLOCK_NODES``
+words of windows, which bounds the automaton (about 80 bytes a node) in each Python worker; one block is the
+usual case, and more blocks mean more scans, not more memory. A block's automaton replaces the one before.
 
-Null text has no words. Items without words have no windows. Repeated items with one id count once.
-Empty tables give no rows or no hits. Extra columns are ignored.
+Null text has no words. Items without words have no windows. Repeated items with one id count once; an item
+without an id marks words but is not counted. Empty tables give no rows or no hits. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, plain_words, texts, union_all
+from .common import materialize, plain_words, remembered, texts, union_all
 
-BLOCK_BYTES = 64_000_000
+BLOCK_NODES = 1_500_000
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _REPORT = "row long, doc_id long, n_words long, begins array<long>, ends array<long>, items array<string>"
 
 
-def windows_of(words: list[bytes], window: int) -> list[bytes]:
+def windows_of(words: list[bytes], window: int) -> list[tuple[bytes, ...]]:
     if not words:
         return []
-    return [b" " + b" ".join(words[i : i + window]) + b" " for i in range(max(1, len(words) - window + 1))]
+    return [tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1))]
 
 
-def _blocks(items: DataFrame, window: int):
-    """{window text: item ids} in blocks of bounded size, streamed to the driver partition by partition."""
+def _blocks(items: DataFrame, window: int) -> Iterator[dict]:
+    """{window: item ids} in blocks of bounded size, streamed to the driver partition by partition."""
     block, size = {}, 0
     for row in items.select(F.col("item_id").cast("string"), F.col("text")).toLocalIterator():
         for w in windows_of(plain_words((row[1] or "").encode()), window):
             if w not in block:
+                if size + len(w) > BLOCK_NODES and block:
+                    yield block
+                    block, size = {}, 0
                 size += len(w)
             block.setdefault(w, set()).add(row[0])
-        if size >= BLOCK_BYTES:
-            yield block
-            block, size = {}, 0
     if block:
         yield block
 
 
-_automata: dict[int, object] = {}
+class Machine:
+    """The automaton of one block, and the numbers of its words."""
 
+    def __init__(self, block: dict):
+        import ahocorasick
 
-def _automaton(shared):
-    """Built once in each Python worker."""
-    import ahocorasick
+        self.numbers: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for w, items in block.items():
+            self.automaton.add_word(tuple(self.numbers.setdefault(x, len(self.numbers) + 1) for x in w), (len(w), items))
+        if block:
+            self.automaton.make_automaton()
 
-    if shared.id not in _automata:
-        _automata.clear()
-        machine = ahocorasick.Automaton()
-        for w, items in shared.value.items():
-            machine.add_word(w.decode("latin-1"), (w.count(b" ") - 1, items))
-        machine.make_automaton()
-        _automata[shared.id] = machine if len(machine) else None
-    return _automata[shared.id]
+    def hits(self, words: list[bytes]) -> Iterator[tuple[int, tuple[int, set]]]:
+        """(place of the last word, (length, items)) of each window in ``words``."""
+        number = self.numbers.get
+        return self.automaton.iter(tuple([number(w, 0) for w in words])) if self.numbers and words else iter(())
 
 
 class _Shared:
-    """A broadcast variable with a key that stays the same in all workers."""
+    """A broadcast block with a key that stays the same in all workers."""
 
-    def __init__(self, broadcast, key):
-        self.broadcast, self.id = broadcast, key
+    def __init__(self, broadcast, key: str):
+        self.broadcast, self.key = broadcast, key
 
-    @property
-    def value(self):
-        return self.broadcast.value
+    def machine(self) -> Machine:
+        return remembered(("windows", self.key), lambda: Machine(self.broadcast.value))
 
 
-def scan(machine, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-    """Hit word ranges [begin, end), merged and in order, and the items hit; no automaton, no hits."""
-    if machine is None or not words:
-        return [], set()
-    joined = " " + b" ".join(words).decode("latin-1") + " "
-    ranges: list[list[int]] = []
+def scan(machine: Machine, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
+    """Hit word ranges [begin, end), merged and in order, and the items hit."""
+    ranges: list[tuple[int, int]] = []
     items: set = set()
-    seen, upto = 0, 0
-    for end, (n, ids) in machine.iter(joined):
-        seen, upto = seen + joined.count(" ", upto, end), end
-        begin, stop = seen - n, seen
+    for last, (n, ids) in machine.hits(words):
+        begin, stop = last + 1 - n, last + 1
         items |= ids
         while ranges and ranges[-1][1] >= begin:
-            last = ranges.pop()
-            begin, stop = min(begin, last[0]), max(stop, last[1])
-        ranges.append([begin, stop])
-    return [(a, b) for a, b in ranges], items
+            a, b = ranges.pop()
+            begin, stop = min(begin, a), max(stop, b)
+        ranges.append((begin, stop))
+    return ranges, items
 
 
 def _scanner(shared: _Shared, only_hits: bool):
     def run(batches):
-        machine = _automaton(shared)
+        machine = shared.machine()
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             rows = batch.column("row").to_pylist() if "row" in batch.schema.names else [None] * batch.num_rows
@@ -127,57 +125,69 @@ def spans(text, begins, ends):
     return F.udf(place, "array<struct<begin:int,end:int>>")(text, begins, ends)
 
 
+def _shared_blocks(sc, items: DataFrame, window: int) -> Iterator[_Shared]:
+    for block in _blocks(items, window):
+        key = hashlib.sha256()
+        for w, ids in block.items():
+            key.update(b" ".join(w) + b"\n" + ",".join(sorted(map(str, ids))).encode() + b"\n")
+        yield _Shared(sc.broadcast(block), key.hexdigest())
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """doc_id, n_words, begins and ends (hit word ranges, end exclusive), items (sorted ids) of each document."""
+    """doc_id, n_words, begins and ends (hit word ranges, end exclusive), items (sorted ids) of each document.
+
+    Ranges of one block are merged and in order; ranges of several blocks may overlap.
+    """
     sc = docs.sparkSession.sparkContext
     narrow = docs.select(F.col("doc_id").cast("long"), "text")
-    parts = []
-    blocks = list(_blocks_shared(sc, items, window))
-    if len(blocks) <= 1:
-        shared = blocks[0] if blocks else _Shared(sc.broadcast({}), "none")
-        return narrow.mapInArrow(_scanner(shared, False), _REPORT).drop("row")
+    blocks = _shared_blocks(sc, items, window)
+    first = next(blocks, None) or _Shared(sc.broadcast({}), "none")
+    second = next(blocks, None)
+    if second is None:
+        return narrow.mapInArrow(_scanner(first, False), _REPORT).drop("row")
     numbered = materialize(narrow.withColumn("row", F.monotonically_increasing_id()), "decontam-rows")
-    for i, shared in enumerate(blocks):
-        parts.append(numbered.mapInArrow(_scanner(shared, i > 0), _REPORT))
+    parts = [numbered.mapInArrow(_scanner(first, False), _REPORT), numbered.mapInArrow(_scanner(second, True), _REPORT)]
+    parts += [materialize(numbered.mapInArrow(_scanner(shared, True), _REPORT), "decontam-hits") for shared in blocks]
     merged = union_all(parts).groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
+        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
         F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
     return merged.drop("row")
 
 
-def _blocks_shared(sc, items: DataFrame, window: int):
-    for block in _blocks(items, window):
-        key = hashlib.sha256(repr(sorted((w, sorted(map(str, i))) for w, i in block.items())).encode()).hexdigest()
-        yield _Shared(sc.broadcast(block), key)
-
-
 def report(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = decontaminate(docs, items, window)
-    places = F.array_distinct(F.flatten(F.zip_with("begins", "ends", lambda a, b: F.sequence(a, b - 1))))
+    ranges = F.array_sort(F.arrays_zip(F.col("begins"), F.col("ends")))
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("hit"))
+    step = lambda acc, r: F.struct(
+        F.greatest(acc["upto"], r["ends"]).alias("upto"), (acc["hit"] + F.greatest(F.lit(0).cast("long"), r["ends"] - F.greatest(acc["upto"], r["begins"]))).alias("hit")
+    )
     return found.select(
-        "doc_id", "n_words", F.when(F.size("begins") > 0, F.size(places)).otherwise(0).cast("long").alias("n_hit"),
+        "doc_id", "n_words", F.aggregate(ranges, start, step, lambda acc: acc["hit"]).alias("n_hit"),
         F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.size("begins") > 0).alias("contaminated"),
     )
 
 
-def _remover(shared: _Shared):
-    def run(batches):
-        machine = _automaton(shared)
-        for batch in batches:
-            clean = [not scan(machine, plain_words(raw))[0] for raw in texts(batch)]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+def _clean(shared: _Shared):
+    """Which texts have no hit. Only the texts go through Python; other columns stay in Spark."""
 
-    return run
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        machine = shared.machine()
+        for column in columns:
+            yield pa.array([next(iter(machine.hits(plain_words(raw or b""))), None) is None for raw in column.cast(pa.binary()).to_pylist()], pa.bool_())
+
+    return F.arrow_udf(run, "boolean")
 
 
 def remove(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The documents without a hit, columns unchanged."""
-    for shared in _blocks_shared(docs.sparkSession.sparkContext, items, window):
-        docs = docs.mapInArrow(_remover(shared), docs.schema)
+    for i, shared in enumerate(_shared_blocks(docs.sparkSession.sparkContext, items, window)):
+        if i:  # one automaton at a time
+            docs = materialize(docs, "decontam-left")
+        docs = docs.filter(_clean(shared)(F.col("text")))
     return docs
 
 

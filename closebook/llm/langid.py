@@ -44,7 +44,7 @@ def sampled(rows: DataFrame, group: str, most: int, seed: int = 11) -> DataFrame
     """A seeded choice of about ``most`` rows for each value of ``group``; smaller groups stay whole."""
     share = F.floor(F.least(F.lit(1.0), F.lit(most) / F.col("count")) * 1_000_000).alias("_share")
     shares = materialize(rows.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias("_group")).count().select("_group", share), "lang-shares")
-    joined = rows.join(small(shares, shares.count()), rows[group] == shares["_group"])
+    joined = rows.join(small(shares), rows[group] == shares["_group"])
     return joined.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000)) < F.col("_share")).drop("_group", "_share")
 
 

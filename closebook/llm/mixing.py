@@ -13,9 +13,10 @@ Everything here is DataFrame operations; no Python runs on executors.
 
 The seeded order never gathers a source in one task: a source is cut into about sqrt(n) ranges of the
 seeded key, their sums locate the one range in which the target is reached, and only its documents are
-ordered. Reruns agree: ties of the key fall to doc_id and then size; rows alike in all three are
-interchangeable. Empty input gives no rows; sources without words have target 0; extra columns are kept
-by ``repeat`` and ignored by ``mix``.
+ordered. The key is made of doc_id and text, so rows that share a doc_id, or have none, are spread too.
+Reruns agree: ties of the key fall to doc_id and then size; rows alike in all three are interchangeable.
+Empty input gives no rows; sources without words have target 0; extra columns of any name are kept by
+``repeat`` and ignored by ``mix``.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def words_of(text: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, seed: int) -> DataFrame:
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
     return docs.withColumns(
         {"mix_size": words_of(F.col("text")), "mix_key": F.conv(F.substring(key, 1, 13), 16, 10).cast("long")}
     )
@@ -67,7 +68,7 @@ def _bucket(n: Column) -> Column:
     return F.shiftright(F.shiftright(F.col("mix_key"), 20) * ranges, 32)
 
 
-def plan(sizes: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_epochs: int = 2) -> tuple[DataFrame, int]:
+def plan(sizes: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_epochs: int = 2) -> DataFrame:
     """One row for each source: its target, whole repetitions, and where the seeded order stops."""
     per_source = sizes.groupBy("source").agg(F.sum("mix_size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     goal = materialize(
@@ -76,13 +77,12 @@ def plan(sizes: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_epochs: i
         .withColumn("rest", F.greatest(F.lit(0), F.floor(F.col("target")) - F.col("whole") * F.col("source_size")).cast("long")),
         "mix-goal",
     )
-    n = goal.count()
-    keyed = sizes.join(small(goal.select(F.col("source").alias("g_source"), "n_docs"), n), F.col("source").eqNullSafe(F.col("g_source")))
+    keyed = sizes.join(small(goal.select(F.col("source").alias("g_source"), "n_docs")), F.col("source").eqNullSafe(F.col("g_source")))
     sums = keyed.groupBy("source", _bucket(F.col("n_docs")).alias("bucket")).agg(F.sum("mix_size").alias("words"))
     running = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")))
     rest = goal.select(F.col("source").alias("g_source"), "rest")
     stop = (
-        running.join(small(rest, n), F.col("source").eqNullSafe(F.col("g_source")))
+        running.join(small(rest), F.col("source").eqNullSafe(F.col("g_source")))
         .filter(F.col("upto") > F.col("rest"))
         .groupBy("source")
         .agg(F.min(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("words")).alias("left"))).alias("stop"))
@@ -92,12 +92,12 @@ def plan(sizes: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_epochs: i
         F.col("source").alias("p_source"), "source_size", "n_docs", "target", "whole",
         F.coalesce("bucket", F.lit(-1)).alias("stop_bucket"), F.coalesce("left", F.lit(0)).alias("left"),
     )
-    return materialize(out, "mix-plan"), n
+    return materialize(out, "mix-plan")
 
 
-def _assign(docs: DataFrame, per_source: DataFrame, n: int) -> DataFrame:
+def _assign(docs: DataFrame, per_source: DataFrame) -> DataFrame:
     """Add ``whole`` and ``extra``, the words of the repetition after the whole ones."""
-    joined = docs.join(small(per_source, n), F.col("source").eqNullSafe(F.col("p_source")))
+    joined = docs.join(small(per_source), F.col("source").eqNullSafe(F.col("p_source")))
     joined = joined.withColumn("mix_at", _bucket(F.col("n_docs")) - F.col("stop_bucket"))
     sure = joined.filter("mix_at <> 0").withColumn("extra", F.when(F.col("mix_at") < 0, F.col("mix_size")).otherwise(F.lit(0)).cast("long"))
     order = Window.partitionBy("source").orderBy("mix_key", "doc_id", "mix_size")
@@ -111,8 +111,7 @@ def _assign(docs: DataFrame, per_source: DataFrame, n: int) -> DataFrame:
 def mix(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_epochs: int = 2, seed: int = 17) -> DataFrame:
     """doc_id, size, source_size, target, whole (repetitions), taken (words, repetitions counted)."""
     sizes = materialize(_keyed(docs.select("doc_id", "source", "text"), seed).drop("text"), "mix-sizes")
-    per_source, n = plan(sizes, weights, budget, max_epochs)
-    return _assign(sizes, per_source, n).select(
+    return _assign(sizes, plan(sizes, weights, budget, max_epochs)).select(
         "doc_id", F.col("mix_size").alias("size"), "source_size", "target", "whole",
         (F.col("whole") * F.col("mix_size") + F.col("extra")).alias("taken"),
     )
@@ -123,12 +122,13 @@ def repeat(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_epochs:
 
     Documents stay whole: the one that a target cuts is repeated once more if at least half of it is taken.
     """
-    keyed = _keyed(docs, seed)
-    sizes = materialize(keyed.select("doc_id", "source", "mix_size", "mix_key"), "mix-sizes")
-    per_source, n = plan(sizes, weights, budget, max_epochs)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("mix_row")  # names of its own can clash with nothing
+    keyed = _keyed(docs.select(row, "doc_id", "source", "text"), seed).drop("text")
+    sizes = materialize(keyed.drop("mix_row"), "mix-sizes")
     more = ((F.col("extra") > 0) & (2 * F.col("extra") >= F.col("mix_size"))).cast("int")
     times = (F.col("whole") + more).cast("int")
-    return _assign(keyed, per_source, n).withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    mixed = _assign(keyed, plan(sizes, weights, budget, max_epochs))
+    return mixed.select("mix_row", F.explode(F.array_repeat(F.lit(1), times))).select("mix_row.*")
 
 
 #: The same mix in DuckDB's SQL: plain windows over whole sources.
@@ -136,7 +136,7 @@ ORACLE_SQL = r"""
 WITH s AS (
   SELECT doc_id, source,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS k
+         CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) AS k
   FROM documents),
 p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
 r AS (SELECT *, (ARRAY[3, 1, 2])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w,

@@ -14,13 +14,21 @@ reaches ``threshold``; a component is what links connect.
    under these alone: a passage that many documents quote is common and leads nowhere unless it makes up
    most of a document.
 3. In each list every member is held against the smallest one. Links that are confirmed merge members.
-4. Lists in which others than the smallest are still apart are searched in full, in blocks of bounded size:
-   the union-sketch estimate of each pair with different labels filters, and what passes goes to step 5.
-   Nothing is capped, and no block emits pairs that the estimate rejects or that are joined already.
-5. Candidates are confirmed on the full sets.
+4. In lists whose members are still apart, those outside the list's commonest component are held against
+   all members, in blocks of bounded size: the union-sketch estimate of each pair with different labels
+   filters, and what passes goes to step 5. Members of one component never meet again, so a family of
+   copies costs its stragglers times its size. Nothing is capped, and no block emits pairs that the estimate
+   rejects or that are joined already.
+5. Candidates are confirmed on the full sets. The side that many pairs have in common is joined last, so its
+   set is sent once for each task, not for each pair.
 
 Components come from alternating large-star and small-star rounds on the link table.
 
+Both losses are parameters. A link at the threshold is missed by the lists in one of 1 / ``lost`` cases and by
+the estimates, which pass what is less than ``sigmas`` deviations below the threshold, in about one of 10^9;
+links above the threshold less often. ``lost=0`` lists documents under every retained value, and
+``sigmas=None`` confirms every pair that shares a list without an estimate.
+
 Null or empty texts have an empty set and are linked with nothing, as are rows whose doc_id is null.
 Rows with the same doc_id count as one document. Empty input gives no rows. Extra columns are ignored.
 """
@@ -29,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +45,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import WordIndex, ascii_words, materialize, small, texts
+from .common import WordIndex, ascii_words, materialize, passing, remembered, shared_dir, small, texts
 
-SHINGLE, INDEX_K, ESTIMATE_K, LOST = 5, 64, 256, 1e-8
-BLOCK = 2000
+SHINGLE, INDEX_K, ESTIMATE_K, LOST, SIGMAS = 5, 64, 256, 1e-8, 6.0
+BLOCK = 1000
 _SKETCH = "doc_id long, n_shingles long, set_id binary, retained array<long>, sketch binary"
 
 
@@ -49,9 +58,6 @@ def _hash_words(words: list[bytes]) -> list[np.ndarray]:
     return [np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)]
 
 
-_words: list[WordIndex] = []
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads them evenly."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -61,16 +67,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(raws: list[bytes]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    if not _words:
-        _words.append(WordIndex(_hash_words))
+    index = remembered("shingle words", lambda: WordIndex(_hash_words))
     words, marks = [], [0]
     for raw in raws:
         words += ascii_words(raw)
         marks.append(len(words))
     if not words:
         return [np.zeros(0, np.uint64) for _ in raws]
-    at = _words[0](words)
-    h = _words[0].columns[0][at]
+    at = index(words)
+    h = index.columns[0][at]
     factor = np.uint64(0x9E3779B97F4A7C15)
 
     def fold(begin: int, count: int, length: int) -> np.ndarray:
@@ -103,31 +108,31 @@ def _sketches(batches):
             ], names=["doc_id", "n_shingles", "set_id", "retained", "sketch"])
 
 
-def shared_least(percent: int) -> int:
-    """Retained values of ``INDEX_K`` that two documents at the threshold share but for one of 1 / ``LOST`` pairs."""
+def shared_least(percent: int, lost: float = LOST) -> int:
+    """Retained values of ``INDEX_K`` that two documents at the threshold share but for one of 1 / ``lost`` pairs."""
     p, tail = percent / 100, 0.0
     for least in range(INDEX_K):
         tail += math.comb(INDEX_K, least) * p**least * (1 - p) ** (INDEX_K - least)
-        if tail > LOST:
+        if tail > lost:
             return max(1, least)
     return INDEX_K
 
 
-def _share(percent: int):
+def _share(percent: int, lost: float):
     """Least number of retained values that two linked documents share, as a column of the set's size."""
     whole = math.floor(INDEX_K * percent / 100)
     size = F.least(F.col("n_shingles"), F.lit(INDEX_K))
-    return F.when(F.col("n_shingles") <= whole, F.ceil(F.col("n_shingles") * percent / 100)).otherwise(F.least(size, F.lit(shared_least(percent))))
+    return F.when(F.col("n_shingles") <= whole, F.ceil(F.col("n_shingles") * percent / 100)).otherwise(F.least(size, F.lit(shared_least(percent, lost))))
 
 
-def _lists(reps: DataFrame, percent: int) -> DataFrame:
+def _lists(reps: DataFrame, percent: int, lost: float) -> DataFrame:
     """(value, rep, n_shingles): each class under its rarest retained values that others retain too."""
     values = reps.select("rep", "n_shingles", F.explode("retained").alias("value"))
     often = values.groupBy("value").agg(F.count(F.lit(1)).alias("n_docs")).filter("n_docs > 1")
     met = values.join(often, "value")
     own = Window.partitionBy("rep")
     alone = F.least(F.col("n_shingles"), F.lit(INDEX_K)) - F.count(F.lit(1)).over(own)
-    prefix = F.least(F.col("n_shingles"), F.lit(INDEX_K)) - _share(percent) + 1
+    prefix = F.least(F.col("n_shingles"), F.lit(INDEX_K)) - _share(percent, lost) + 1
     return (
         met.withColumns({"alone": alone, "place": F.row_number().over(own.orderBy("n_docs", "value"))})
         .filter(F.col("place") <= prefix - F.col("alone"))
@@ -151,9 +156,9 @@ def _estimates(ska: list[bytes], skb: list[bytes]) -> np.ndarray:
     return out
 
 
-def _cut(threshold: float) -> float:
-    """Estimates this low are 4.5 standard deviations below the threshold."""
-    return threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / ESTIMATE_K)
+def _cut(threshold: float, sigmas: float | None) -> float:
+    """The least estimate that goes on: ``sigmas`` standard deviations below the threshold, or nothing."""
+    return threshold - sigmas * math.sqrt(threshold * (1 - threshold) / ESTIMATE_K) if sigmas is not None else -1.0
 
 
 def _estimate_filter(cut: float):
@@ -185,20 +190,19 @@ def _full_sets(batches):
 
 
 def _both_sides(pairs: DataFrame, side: DataFrame, what: str) -> DataFrame:
-    for c in ("a", "b"):
+    """``what`` of both ends; ``a``, which many pairs may share, comes last and is not shuffled again."""
+    for c in ("b", "a"):
         pairs = pairs.join(side.select(F.col("doc_id").alias(c), F.col(what).alias(f"{c}_{what}")), c)
     return pairs
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, percent: int, estimate: bool) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar; estimates first where they have not been made."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, percent: int, cut: float | None) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar; estimates over ``cut`` come first where one is given."""
     ends = lambda p: materialize(p.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "dup-ids")
-    if estimate:
-        ids = ends(pairs)
-        some = sketches.select("doc_id", "sketch").join(small(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        pairs = materialize(_both_sides(pairs, some, "sketch").mapInArrow(_estimate_filter(_cut(percent / 100)), "a long, b long"), "dup-pairs")
-    ids = ends(pairs)
-    some = docs.join(small(ids, ids.count()), "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id long, set binary")
+    if cut is not None and cut > 0:
+        some = sketches.select("doc_id", "sketch").join(small(ends(pairs)), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        pairs = materialize(_both_sides(pairs, some, "sketch").mapInArrow(_estimate_filter(cut), "a long, b long"), "dup-pairs")
+    some = docs.join(small(ends(pairs)), "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id long, set binary")
     return materialize(_both_sides(pairs, some, "set").mapInArrow(_verify(percent), "a long, b long").distinct(), "dup-links")
 
 
@@ -217,11 +221,13 @@ def _block_pairs(percent: int, cut: float):
             sides.append((f["rep"].to_numpy(), f["label"].to_numpy(), f["n_shingles"].to_numpy(), sk, upto))
         (ra, la, na, ska, ua), (rb, lb, nb, skb, ub) = sides
         shared = _overlaps(ska, skb)
-        in_a = np.stack([np.searchsorted(s, ub, "right") for s in ska]) if len(ska) else np.zeros((0, len(skb)))
-        in_b = np.stack([np.searchsorted(s, ua, "right") for s in skb]).T if len(skb) else np.zeros((len(ska), 0))
+        in_a = np.stack([np.searchsorted(s, ub, "right").astype(np.int16) for s in ska]) if len(ska) else np.zeros((0, len(skb)), np.int16)
+        in_b = np.stack([np.searchsorted(s, ua, "right").astype(np.int16) for s in skb]).T if len(skb) else np.zeros((len(ska), 0), np.int16)
+        both = (in_a + in_b - shared).astype(np.float32)
+        good = shared >= np.float32(cut) * both
         # Sketches that hold their whole sets need no margin but for values that agree in 32 bits.
         whole = np.array([len(s) < ESTIMATE_K for s in ska], bool)[:, None] & np.array([len(s) < ESTIMATE_K for s in skb], bool)[None, :]
-        good = shared >= np.where(whole, max(cut, percent / 100 - 0.01), cut) * (in_a + in_b - shared)
+        good &= ~whole | (shared >= np.float32(max(cut, percent / 100 - 0.01)) * both)
         good &= la[:, None] != lb[None, :]
         good &= 100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])
         i, j = np.nonzero(good)
@@ -231,7 +237,7 @@ def _block_pairs(percent: int, cut: float):
     return run
 
 
-def _overlaps(ska: list[np.ndarray], skb: list[np.ndarray], width: int = 4096) -> np.ndarray:
+def _overlaps(ska: list[np.ndarray], skb: list[np.ndarray], width: int = 2048) -> np.ndarray:
     """Common values of each pair of sketches, by products of incidence matrices a few columns at a time."""
     va, vb = np.concatenate(ska or [np.zeros(0, np.uint32)]), np.concatenate(skb or [np.zeros(0, np.uint32)])
     ia, ib = np.repeat(np.arange(len(ska)), [len(s) for s in ska]), np.repeat(np.arange(len(skb)), [len(s) for s in skb])
@@ -250,27 +256,35 @@ def _overlaps(ska: list[np.ndarray], skb: list[np.ndarray], width: int = 4096) -
     return out
 
 
-def _others(lists: DataFrame, links: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _others(lists: DataFrame, links: DataFrame, sketches: DataFrame, percent: int, cut: float) -> DataFrame:
     """Candidate pairs of list members that the smallest member has not brought together."""
     labels = components(links)
     named = lists.join(labels, lists["rep"] == labels["node"], "left").withColumn("label", F.coalesce("component", "rep"))
     named = materialize(named.select("value", "rep", "n_shingles", "label"), "dup-named")
     first = named.groupBy("value").agg(F.min("rep").alias("pivot"))
     rest = named.join(first, "value").filter("rep <> pivot")
-    apart = rest.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    # The commonest label of each list, and the lists that have another.
+    per_label = rest.groupBy("value", "label").agg(F.count(F.lit(1)).alias("n"))
+    apart = per_label.groupBy("value").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", (-F.col("label")).alias("least"))).alias("top"), F.count(F.lit(1)).alias("labels")
+    ).filter("labels > 1")
+    minor = F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int")
     members = materialize(
-        rest.join(apart, "value").select(
-            "value", "rep", "n_shingles", "label", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")
-        ).withColumn("part", F.expr("int(pmod(hash(rep), parts))")),
+        rest.join(apart.select("value", (-F.col("top.least")).alias("top"), minor.alias("minor"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("major")), "value").select(
+            "value", "rep", "n_shingles", "label", "minor", "major",
+            F.when(F.col("label") == F.col("top"), F.col("minor") + F.expr("int(pmod(hash(rep), major))")).otherwise(F.expr("int(pmod(hash(rep), minor))")).alias("part"),
+        ),
         "dup-members",
     )
     ids = materialize(members.select(F.col("rep").alias("doc_id")).distinct(), "dup-ids")
-    some = sketches.select("doc_id", "sketch").join(small(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    some = sketches.select("doc_id", "sketch").join(small(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # A part of the others meets every part; a part of the commonest label only those of the others.
+    meets = F.when(F.col("part") < F.col("minor"), F.col("minor") + F.col("major")).otherwise(F.col("minor"))
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1)))
     keyed = dealt.join(some.withColumnRenamed("doc_id", "rep"), "rep").select(
         "value", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "n_shingles", "label", "sketch"
     )
-    found = keyed.groupBy("value", "lo", "hi").applyInPandas(_block_pairs(percent, _cut(percent / 100)), "a long, b long")
+    found = keyed.groupBy("value", "lo", "hi").applyInPandas(_block_pairs(percent, cut), "a long, b long")
     return materialize(found.distinct(), "dup-pairs")
 
 
@@ -292,20 +306,19 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each document; ``percent`` is the least similarity."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _found(narrow: DataFrame, percent: int, lost: float, sigmas: float | None) -> DataFrame:
     sketches = materialize(narrow.mapInArrow(_sketches, _SKETCH), "dup-sketches")
     able = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(able.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "dup-classes")
     firsts = able.join(classes.withColumnRenamed("rep", "doc_id"), ["set_id", "doc_id"], "left_semi")
     reps = firsts.select(F.col("doc_id").alias("rep"), "n_shingles", "retained")
-    lists = materialize(_lists(reps, percent), "dup-lists")
+    lists = materialize(_lists(reps, percent, lost), "dup-lists")
     first = lists.groupBy("value").agg(F.min(F.struct("rep", "n_shingles")).alias("p"))
     pairs = lists.join(first, "value").filter(F.col("rep") != F.col("p.rep")).filter(_near("n_shingles", "p.n_shingles", percent))
     pairs = materialize(pairs.select(F.col("p.rep").alias("a"), F.col("rep").alias("b")).distinct(), "dup-pairs")
-    links = _confirmed(pairs, narrow, firsts, percent, True)
-    more = _confirmed(_others(lists, links, firsts, percent), narrow, firsts, percent, False)
+    cut = _cut(percent / 100, sigmas)
+    links = _confirmed(pairs, narrow, firsts, percent, cut)
+    more = _confirmed(_others(lists, links, firsts, percent, cut), narrow, firsts, percent, None)
     found = components(links.unionByName(more))
     whole = sketches.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
     whole = whole.join(found, whole["rep"] == found["node"], "left")
@@ -315,16 +328,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
 
 
-def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, lost: float = LOST, sigmas: float | None = SIGMAS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each document; ``percent`` is the least similarity.
+
+    The result is a table in the shared folder; what led to it is removed.
+    """
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    spark, out = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/dup-found-{uuid.uuid4().hex}"
+    with passing(spark):
+        found = _found(narrow, percent, lost, sigmas)
+        found.write.parquet(out)
+    return spark.read.schema(found.schema).parquet(out)
+
+
+def deduplicate(docs: DataFrame, percent: int = 85, lost: float = LOST, sigmas: float | None = SIGMAS) -> DataFrame:
     """One document of each component, columns unchanged; of rows with one doc_id, one stays."""
-    found = materialize(near_duplicates(docs, percent).select("doc_id", "kept"), "dup-kept")
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
+    found = near_duplicates(docs, percent, lost, sigmas)
+    gone = materialize(found.filter(~F.col("kept")).select("doc_id").distinct(), "dup-gone")
     twice = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    stay = docs.join(small(gone, gone.count()), "doc_id", "left_anti")
-    n = twice.count()
-    if n:
-        again = stay.join(small(twice, n), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        stay = stay.join(small(twice, n), "doc_id", "left_anti").unionByName(again)
+    twice = materialize(twice, "dup-twice")
+    stay = docs.join(small(gone), "doc_id", "left_anti")
+    if not twice.isEmpty():
+        again = stay.join(small(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        stay = stay.join(small(twice), "doc_id", "left_anti").unionByName(again)
     return stay.select(*docs.columns)
 
 

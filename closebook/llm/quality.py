@@ -103,7 +103,7 @@ def classify(docs: DataFrame, labels: DataFrame, allowed: Column, host: Column,
     weight = F.lit(_weight(hosts, overall))
     hosts = hosts.select(F.col("host").alias("h_host"), _shrunk(F.col("n"), F.col("good"), overall, weight).alias("host_rate"))
     hosts = materialize(hosts, "quality-hosts")
-    joined = paths.join(small(hosts, hosts.count()), F.col("host").eqNullSafe(F.col("h_host")))
+    joined = paths.join(small(hosts), F.col("host").eqNullSafe(F.col("h_host")))
     weight = F.lit(_weight(joined, F.col("host_rate")))
     sites = materialize(
         joined.select(
@@ -113,7 +113,7 @@ def classify(docs: DataFrame, labels: DataFrame, allowed: Column, host: Column,
         "quality-sites",
     )
     at = F.col("host").eqNullSafe(F.col("s_host")) & F.col("path").eqNullSafe(F.col("s_path"))
-    out = scored.join(small(sites, sites.count()), at)
+    out = scored.join(small(sites), at)
     score = sigmoid(F.col("doc_evidence") + logit(inside(F.col("path_rate"))))
     if not cells:
         score = F.lit(0.5)
