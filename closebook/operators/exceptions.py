@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import folded
 from ..schema import GROUP_SIZES, GROUPINGS, POOL_DAYS, POOL_LINES, SEVERITY, TWIN_DAYS
-from ..storage import union_all
+from ..storage import materialize, union_all
 
 
 def twins(rows: DataFrame, unresolved: DataFrame, window_days: int = TWIN_DAYS) -> DataFrame:
@@ -46,15 +46,31 @@ def unbanked(rows: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def pool(unresolved: DataFrame, lines: DataFrame) -> DataFrame:
-    """For each unresolved inbound bank row the ``POOL_LINES`` nearest, then largest, unbanked lines of its party."""
+    """For each unresolved inbound bank row the ``POOL_LINES`` nearest, then largest, unbanked lines of its party.
+
+    Deposits and lines of a party and day are never all joined. Both are put in order of amount once; a
+    deposit's place there says how many lines are too large for it, and the next POOL_LINES places are joined
+    by number, so a deposit meets at most that many lines of each day.
+    """
+    key = ["currency", "party", "day"]
     deposits = unresolved.filter("source = 'bank' AND direction = 'inbound'").withColumn("party", folded(F.col("counterparty")))
     lag = F.explode(F.sequence(F.lit(-POOL_DAYS), F.lit(POOL_DAYS))).alias("lag")
-    near = deposits.select(F.col("txn_id").alias("deposit_id"), F.col("amount_minor").alias("deposit"), "currency", "party", "value_date", lag)
+    near = deposits.select(F.col("txn_id").alias("deposit_id"), F.col("amount_minor").alias("amount"), "currency", "party", "value_date", lag)
     near = near.withColumn("day", F.date_add("value_date", F.col("lag"))).drop("value_date")
     offered = lines.select(F.col("txn_id").alias("line_id"), F.col("amount_minor").alias("line"), "currency", folded(F.col("counterparty")).alias("party"), F.col("value_date").alias("day"), F.col("seq").alias("line_seq"))
-    order = Window.partitionBy("deposit_id").orderBy(F.abs("lag"), F.desc("line"), "line_seq")
-    joined = near.join(offered, ["currency", "party", "day"]).filter("line <= deposit")
-    return joined.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= POOL_LINES).select("deposit_id", "deposit", "currency", "line_id", "line", "place")
+    order = Window.partitionBy(*key).orderBy(F.desc("line"), "line_seq")
+    ranked = materialize(offered.withColumn("at", F.row_number().over(order)), "pool-lines")
+    per_day = ranked.groupBy(*key).agg(F.max("at").alias("last"))
+    # Of equal amounts a deposit stands before the lines: those are not too large.
+    both = near.join(per_day, key).select(*key, "amount", "deposit_id", "lag", "last", F.lit(0).alias("is_line")).unionByName(
+        ranked.select(*key, F.col("line").alias("amount"), F.lit(None).cast("string").alias("deposit_id"), F.lit(None).cast("int").alias("lag"), F.lit(None).cast("int").alias("last"), F.lit(1).alias("is_line"))
+    )
+    larger = F.sum("is_line").over(Window.partitionBy(*key).orderBy(F.desc("amount"), "is_line").rowsBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumn("larger", larger).filter("is_line = 0 AND larger < last")
+    asked = placed.withColumn("at", F.explode(F.sequence(F.col("larger") + 1, F.least(F.col("larger") + POOL_LINES, F.col("last").cast("long"))))).withColumn("at", F.col("at").cast("int"))
+    joined = asked.join(ranked, [*key, "at"])
+    place = F.row_number().over(Window.partitionBy("deposit_id").orderBy(F.abs("lag"), F.desc("line"), "line_seq"))
+    return joined.withColumn("place", place).filter(F.col("place") <= POOL_LINES).select("deposit_id", F.col("amount").alias("deposit"), "currency", "line_id", "line", "place")
 
 
 def _combinations() -> list[np.ndarray]:
@@ -104,7 +120,7 @@ def cascade(rows: DataFrame, unresolved: DataFrame, lines: DataFrame, anomalies:
     double = unresolved.join(anomalies.select(F.col("primary_id").alias("txn_id")), "txn_id", "left_semi").join(claimed, "txn_id", "left_anti")
     typed.append(_typed(double, "duplicate", "duplicate_suspected", "1"))
     claimed = claimed.unionByName(double.select("txn_id"))
-    foreign = unresolved.filter("source = 'ledger' AND currency <> 'INR'").join(claimed, "txn_id", "left_anti")
+    foreign = unresolved.filter("source = 'gl' AND currency <> 'INR'").join(claimed, "txn_id", "left_anti")
     typed.append(_typed(foreign, "fx", "fx_unresolved"))
     claimed = claimed.unionByName(foreign.select("txn_id"))
     never = lines.join(claimed, "txn_id", "left_anti")

@@ -11,6 +11,8 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 MODULUS, ROUNDS = 2147483647, 3
 PERCENTILES = (10, 50, 90)
 MIN_HISTORY, SIMULATIONS, TARGET, SLACK = 14, 2000, 0.8, 0.2
@@ -57,22 +59,25 @@ def daily_stats(flows: DataFrame) -> DataFrame:
 def running_balance(rows: DataFrame, opening: int = 500_000_000) -> DataFrame:
     """Statement balance after each bank row, in (value_date, posted_at, external_ref, txn_id) order.
 
-    Months are summed first, so that only the rows of one month are ordered in one task.
+    Rows are dealt to ranges of that order, however many a day has; the ranges are summed, and only the rows
+    of one range are ordered in one task.
     """
-    bank = rows.filter("source = 'bank'").withColumn("signed", F.when(F.col("direction") == "inbound", F.col("amount_minor")).otherwise(-F.col("amount_minor")))
-    bank = bank.withColumn("month", F.trunc("value_date", "MM"))
-    months = bank.groupBy("month").agg(F.sum("signed").alias("s"))
-    before = months.select("month", (F.sum("s").over(Window.orderBy("month")) - F.col("s")).alias("before"))  # a row for each month
-    order = Window.partitionBy("month").orderBy("value_date", "posted_at", "external_ref", "txn_id").rowsBetween(Window.unboundedPreceding, 0)
-    return bank.join(F.broadcast(before), "month").select("txn_id", "value_date", "signed", (F.lit(opening) + F.col("before") + F.sum("signed").over(order)).alias("balance_minor"))
+    order = ["value_date", "posted_at", "external_ref", "txn_id"]
+    signed = F.when(F.col("direction") == "inbound", F.col("amount_minor")).otherwise(-F.col("amount_minor"))
+    bank = rows.filter("source = 'bank'").select(*order, signed.alias("signed"))
+    dealt = materialize(bank.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "balance-ranges")
+    sums = dealt.groupBy("part").agg(F.sum("signed").alias("s"))
+    before = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("before"))  # a row for each range
+    own = F.sum("signed").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.join(F.broadcast(before), "part").select("txn_id", "value_date", "signed", (F.lit(opening) + F.col("before") + own).alias("balance_minor"))
 
 
 def recurring(spark: SparkSession, after: datetime.date, until: datetime.date) -> DataFrame:
-    """Booked outflows due after ``after`` and up to ``until``, by due date."""
+    """Booked outflows due after ``after`` and up to ``until``, in order of due date and label."""
     template = spark.createDataFrame(list(RECURRING), "label string, dom int, amount_minor long, certainty string")
     months = spark.range(1).select(F.explode(F.expr(f"sequence(trunc(date'{after}', 'MM'), date'{until}', interval 1 month)")).alias("month"))
     due = F.make_date(F.year("month"), F.month("month"), F.col("dom")).alias("due_date")
-    return months.join(F.broadcast(template)).select("label", due, "amount_minor", "certainty").filter((F.col("due_date") > F.lit(after)) & (F.col("due_date") <= F.lit(until)))
+    return months.join(F.broadcast(template)).select("label", due, "amount_minor", "certainty").filter((F.col("due_date") > F.lit(after)) & (F.col("due_date") <= F.lit(until))).orderBy("due_date", "label")
 
 
 def draw(sim: Column, day: Column, seed: int, n: Column, rounds: int = ROUNDS) -> Column:
@@ -127,7 +132,10 @@ def shortfalls(projection: DataFrame) -> DataFrame:
 
 
 def backtest(flows: DataFrame, horizons=(7, 14, 30), seed: int = 7, simulations: int = 500, step: int = 7, min_train: int = 60) -> DataFrame:
-    """(horizon, samples, mae, mape, coverage, calibrated): every cutoff is projected from the days before it only."""
+    """(horizon, samples, mae, mape, coverage, calibrated): every cutoff is projected from the days before it only.
+
+    Cutoffs meet simulations in a product: a row for each week of history, path and day, never for each record.
+    """
     spark, longest = flows.sparkSession, max(horizons)
     indexed = flows.select((F.row_number().over(Window.orderBy("day")) - 1).cast("bigint").alias("idx"), "net")  # one row for each day of history
     n = indexed.count()

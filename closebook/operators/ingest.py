@@ -16,15 +16,18 @@ def dedupe(rows: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     return rows.withColumn("copy", F.row_number().over(order)).filter("copy = 1").drop("copy")
 
 
-def report(parsed: DataFrame, accepted: DataFrame) -> DataFrame:
-    """One row: total_in, accepted, deduplicated, rejected, skipped. ``parsed`` has ``outcome`` ok, skip or reject."""
-    counts = parsed.agg(
-        F.count(F.lit(1)).alias("total_in"), F.count_if(F.col("outcome") == "ok").alias("ok"),
-        F.count_if(F.col("outcome") == "reject").alias("rejected"), F.count_if(F.col("outcome") == "skip").alias("skipped"),
+def report(parsed: DataFrame) -> DataFrame:
+    """One row: total_in, accepted, deduplicated, rejected, skipped. ``parsed`` has ``outcome`` ok, skip or reject.
+
+    What is accepted is counted by key, without choosing the first of each.
+    """
+    good = F.col("outcome") == "ok"
+    per_key = parsed.groupBy(*(F.when(good, F.col(c)).alias(c) for c in KEY), "outcome").agg(F.count(F.lit(1)).alias("n"))
+    counts = per_key.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_in"), F.count_if(good).alias("accepted"), F.coalesce(F.sum(F.when(good, F.col("n") - 1)), F.lit(0)).alias("deduplicated"),
+        F.coalesce(F.sum(F.when(F.col("outcome") == "reject", F.col("n"))), F.lit(0)).alias("rejected"), F.coalesce(F.sum(F.when(F.col("outcome") == "skip", F.col("n"))), F.lit(0)).alias("skipped"),
     )
-    kept = accepted.agg(F.count(F.lit(1)).alias("accepted"))
-    both = counts.join(F.broadcast(kept))  # one row each
-    return both.select("total_in", "accepted", (F.col("ok") - F.col("accepted")).alias("deduplicated"), "rejected", "skipped")
+    return counts.select("total_in", "accepted", "deduplicated", "rejected", "skipped")
 
 
 def per_source(accepted: DataFrame) -> DataFrame:

@@ -25,8 +25,8 @@ def _edges(pairs: DataFrame, name: str, key: str = "left_id") -> DataFrame:
 
 
 def parent_ref(rows: DataFrame) -> DataFrame:
-    """Gateway and settlement rows to the one ledger row with their parent reference and currency."""
-    book = rows.filter("source = 'ledger'").groupBy("external_ref", "currency").agg(F.count(F.lit(1)).alias("n"), F.min("txn_id").alias("right_id")).filter("n = 1")
+    """Gateway and settlement rows to the one gl row with their parent reference and currency."""
+    book = rows.filter("source = 'gl'").groupBy("external_ref", "currency").agg(F.count(F.lit(1)).alias("n"), F.min("txn_id").alias("right_id")).filter("n = 1")
     child = rows.filter("source IN ('gateway', 'settlement') AND parent_ref IS NOT NULL AND parent_ref <> ''")
     child = child.select(F.col("txn_id").alias("left_id"), F.col("parent_ref").alias("external_ref"), "currency")
     return _edges(child.join(book, ["external_ref", "currency"]), "parent_ref")
@@ -63,7 +63,7 @@ def _mutual(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def _sides(rows: DataFrame, resolved: DataFrame, book: Column, bank: Column) -> tuple[DataFrame, DataFrame]:
     free = lambda source, extra: rows.filter((F.col("source") == source) & extra).join(resolved, "txn_id", "left_anti")
-    return free("ledger", book), free("bank", bank)
+    return free("gl", book), free("bank", bank)
 
 
 ECONOMIC = ["currency", "direction", "amount_minor", "party"]
@@ -76,7 +76,7 @@ def economic_pair(rows: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def fx_candidates(rows: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Foreign ledger rows, INR bank rows, and the pairs within tolerance of bank *amounts* by day.
+    """Foreign gl rows, INR bank rows, and the pairs within tolerance of bank *amounts* by day.
 
     Bands of the expected amount make the range condition an equi-join; a band holds at most BAND amounts.
     """
@@ -94,17 +94,17 @@ def fx(rows: DataFrame, resolved: DataFrame) -> DataFrame:
     """Strict mode of the converted range join."""
     _, _, near = fx_candidates(rows, resolved)
     only = near.groupBy("left_id").agg(F.sum("n").alias("n"), F.min("right_id").alias("right_id")).filter("n = 1").drop("n")
-    # The other direction: ledger rows for each bank row, by the bank row's amount and day.
+    # The other direction: gl rows for each bank row, by the bank row's amount and day.
     wanted = near.groupBy("direction", "value_date", "amount_minor").agg(F.count(F.lit(1)).alias("books"))
     claimed = near.join(wanted.filter("books = 1"), ["direction", "value_date", "amount_minor"]).select("left_id", "right_id")
     return _edges(only.join(claimed, ["left_id", "right_id"]), "fx")
 
 
 def _greedy_group(frame):
-    """Replay of the ordered claims inside one closed group: ledger rows in order take their only free bank row."""
+    """Replay of the ordered claims inside one closed group: gl rows in order take their only free bank row."""
     import pandas as pd
 
-    book, bank = frame[frame["source"] == "ledger"].sort_values("seq"), frame[frame["source"] == "bank"].sort_values("seq")
+    book, bank = frame[frame["source"] == "gl"].sort_values("seq"), frame[frame["source"] == "bank"].sort_values("seq")
     out, taken = [], set()
     days, amounts, ids = bank["day"].to_numpy(), bank["amount"].to_numpy(), bank["txn_id"].to_numpy()
     for left, day, amount in zip(book["txn_id"], book["day"], book["amount"], strict=True):
@@ -118,7 +118,7 @@ def _greedy_group(frame):
 
 
 def economic_pair_greedy(rows: DataFrame, resolved: DataFrame) -> DataFrame:
-    """The ordered variant: all candidates of a ledger row share its key, so claims never cross keys.
+    """The ordered variant: all candidates of a gl row share its key, so claims never cross keys.
 
     A key is one task's work; use it where keys are selective, and the strict mode elsewhere.
     """

@@ -5,41 +5,79 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import union_all
+
 KEY = ["source", "external_ref"]
+AMBIGUOUS = "one_to_many_no_utr"
+#: A bridge that joins no more records than this says nothing.
+SOUND = 100
 
 
 def owned(rows: DataFrame, truth: DataFrame) -> DataFrame:
     """Records with their event; the bridge is (source, external_ref)."""
-    return rows.select("txn_id", *KEY).join(truth, KEY)
+    return rows.select("txn_id", *KEY).join(truth, KEY).select("txn_id", "source", "event_id", "case_type", "handling")
+
 
+def events(known: DataFrame, edges: DataFrame, found: DataFrame) -> DataFrame:
+    """(event_id, case_type, handling, records, matched, flagged, bank_matched) for each event with records.
 
-def events(rows: DataFrame, truth: DataFrame, edges: DataFrame, found: DataFrame) -> DataFrame:
-    """(event_id, case_type, handling, matched, flagged) for each planted event."""
-    hit = edges.select("txn_id").distinct().withColumn("m", F.lit(1))
-    flag = found.select(F.col("subject_id").alias("txn_id")).distinct().withColumn("f", F.lit(1))
-    known = owned(rows, truth).join(hit, "txn_id", "left").join(flag, "txn_id", "left")
-    return known.groupBy("event_id", "case_type", "handling").agg((F.count("m") > 0).alias("matched"), (F.count("f") > 0).alias("flagged"))
+    What is known, matched and flagged is stacked, so each record is shuffled once.
+    """
+    none = F.lit(None).cast("string")
+    stacked = union_all([
+        known.select("txn_id", F.struct("event_id", "case_type", "handling", "source").alias("event"), F.lit(0).alias("m"), F.lit(0).alias("f")),
+        edges.select("txn_id", F.struct(F.lit(None).cast("long").alias("event_id"), none.alias("case_type"), none.alias("handling"), none.alias("source")).alias("event"), F.lit(1).alias("m"), F.lit(0).alias("f")),
+        found.select(F.col("subject_id").alias("txn_id"), F.struct(F.lit(None).cast("long").alias("event_id"), none.alias("case_type"), none.alias("handling"), none.alias("source")).alias("event"), F.lit(0).alias("m"), F.lit(1).alias("f")),
+    ])
+    record = stacked.groupBy("txn_id").agg(F.max("event").alias("event"), F.max("m").alias("m"), F.max("f").alias("f")).filter("event.event_id IS NOT NULL")
+    bank = F.col("event.source") == "bank"
+    return record.groupBy("event.event_id", "event.case_type", "event.handling").agg(
+        F.count(F.lit(1)).alias("records"), F.sum("m").alias("matched"), F.sum("f").alias("flagged"), F.sum(F.when(bank, F.col("m")).otherwise(0)).alias("bank_matched"),
+    )
 
 
-def false_matches(rows: DataFrame, truth: DataFrame, edges: DataFrame) -> DataFrame:
+def false_matches(known: DataFrame, edges: DataFrame) -> DataFrame:
     """Matches that span more than one event."""
-    known = edges.join(owned(rows, truth).select("txn_id", "event_id"), "txn_id")
-    spread = known.groupBy("match_id", "pass").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+    spread = edges.join(known.select("txn_id", "event_id"), "txn_id").groupBy("match_id", "pass").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
     return spread.filter("lo <> hi").select("match_id", "pass")
 
 
-def scores(per_event: DataFrame, wrong: DataFrame) -> DataFrame:
-    """One row: events that should match and do, breaks planted and surfaced, false matches, and the verdict."""
+def scores(per_event: DataFrame, wrong: DataFrame, unexplained: DataFrame) -> DataFrame:
+    """One row: coverage, breaks, ambiguity, false matches, lost records, the bridge, and the verdict.
+
+    An event that should match does so if all its records are matched. A break surfaces if any record is
+    flagged. An ambiguous settlement is held if no bank record of it is matched. Figures may be published if
+    the bridge joins something, no match is false, no record is lost and no ambiguity was resolved by a guess.
+    """
+    due, planted, unclear = F.col("handling") == "matched", F.col("handling") == "exception", F.col("case_type") == AMBIGUOUS
     row = per_event.agg(
-        F.count_if(F.col("handling") != "exception").alias("should_match"), F.count_if((F.col("handling") != "exception") & F.col("matched")).alias("matched"),
-        F.count_if(F.col("handling") == "exception").alias("breaks_planted"), F.count_if((F.col("handling") == "exception") & F.col("flagged")).alias("breaks_surfaced"),
+        F.count_if(due).alias("should_match"), F.count_if(due & (F.col("matched") == F.col("records"))).alias("matched"),
+        F.count_if(planted).alias("breaks_planted"), F.count_if(planted & (F.col("flagged") > 0)).alias("breaks_surfaced"),
+        F.count_if(unclear).alias("ambiguous_planted"), F.count_if(unclear & (F.col("bank_matched") == 0)).alias("ambiguous_held"),
+        F.coalesce(F.sum("records"), F.lit(0)).alias("owned"), F.coalesce(F.sum(F.col("matched")), F.lit(0)).cast("long").alias("owned_matched"),
     )
-    both = row.join(F.broadcast(wrong.agg(F.count(F.lit(1)).alias("false_matches"))))  # one row each
-    rate = F.round(F.col("matched") / F.col("should_match"), 6)
-    sound = (F.col("false_matches") == 0) & (F.col("breaks_planted") == F.col("breaks_surfaced")) & (rate > 0.98)
-    return both.withColumn("match_rate", rate).withColumn("publishable", sound)
+    both = row.join(F.broadcast(wrong.agg(F.count(F.lit(1)).alias("false_matches")))).join(F.broadcast(unexplained.agg(F.count(F.lit(1)).alias("unexplained"))))  # one row each
+    rate = lambda part, whole: F.round(F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0), 6)
+    sound = (F.col("owned") > SOUND) & (F.col("owned_matched") > SOUND)
+    clean = (F.col("false_matches") == 0) & (F.col("unexplained") == 0) & (F.col("ambiguous_held") >= F.col("ambiguous_planted"))
+    out = both.withColumns({"match_rate": rate("matched", "should_match"), "break_recall": rate("breaks_surfaced", "breaks_planted"), "bridge_sound": sound})
+    return out.withColumn("publishable", F.col("bridge_sound") & clean).drop("owned", "owned_matched")
+
+
+def problems(score) -> list[str]:
+    """Why the figures of a row of ``scores`` may not be published."""
+    out = []
+    if not score.bridge_sound:
+        out.append("the answer key joins almost no record, so no figure means anything")
+    if score.false_matches:
+        out.append(f"{score.false_matches} matches join records of different events")
+    if score.unexplained:
+        out.append(f"{score.unexplained} records are neither matched nor an exception")
+    if score.ambiguous_held < score.ambiguous_planted:
+        out.append(f"{score.ambiguous_planted - score.ambiguous_held} ambiguous settlements were resolved by a guess")
+    return out
 
 
 def missed_by_case(per_event: DataFrame) -> DataFrame:
-    missed = per_event.filter("(handling <> 'exception' AND NOT matched) OR (handling = 'exception' AND NOT flagged)")
+    missed = per_event.filter("handling = 'matched' AND matched < records")
     return missed.groupBy("case_type").agg(F.count(F.lit(1)).alias("missed"))

@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import exceptions, ingest, matching
+from ..operators import exceptions, ingest, matching, scoring
 from ..storage import materialize, union_all
 from . import workload
 
@@ -23,11 +23,11 @@ class Close:
 
     @cached_property
     def feed(self) -> DataFrame:
-        return materialize(self.arrived, "feed")
+        return materialize(self.arrived, "feed", by="source")
 
     @cached_property
     def rows(self) -> DataFrame:
-        return materialize(ingest.dedupe(self.feed), "rows")
+        return materialize(ingest.dedupe(self.feed), "rows", by="source")
 
     @cached_property
     def exact(self) -> DataFrame:
@@ -79,14 +79,35 @@ class Close:
             raise ValueError(f"{n} records are unexplained")
 
 
-_closes: dict[tuple[str, str], Close] = {}
+class WorkloadClose(Close):
+    """The close of the derived workload, whose events are known."""
+
+    @cached_property
+    def parsed(self) -> DataFrame:
+        """The feed through its raw shapes and connectors, planted bad rows among it."""
+        from ..sources import feeds
+
+        raw = {s: feeds.emit(self.feed, s).unionByName(bad) for s, bad in feeds.planted_bad(self.feed.sparkSession).items()}
+        return materialize(feeds.parse_all(raw), "parsed")
+
+    @cached_property
+    def owned(self) -> DataFrame:
+        """Records with their event."""
+        return materialize(scoring.owned(self.rows, workload.truth(self.feed)), "owned")
+
+    @cached_property
+    def per_event(self) -> DataFrame:
+        return materialize(scoring.events(self.owned, self.edges, self.found), "events")
+
+
+_closes: dict[tuple[str, str], WorkloadClose] = {}
 
 
-def over_workload(spark: SparkSession, sf_dir: str) -> Close:
+def over_workload(spark: SparkSession, sf_dir: str) -> WorkloadClose:
     """The close of the derived workload; one for each session and folder, so that queries share its stages."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _closes:
-        _closes[key] = Close(workload.feed(spark, sf_dir))
+        _closes[key] = WorkloadClose(workload.feed(spark, sf_dir))
     return _closes[key]
 
 

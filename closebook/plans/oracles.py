@@ -7,7 +7,7 @@ from . import workload
 _CHAIN = [
     ("rows", "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY source, external_ref ORDER BY seq) AS rn FROM feed) WHERE rn = 1"),
     ("j1", """SELECT c.txn_id AS left_id, b.right_id FROM rows c JOIN
-        (SELECT external_ref, currency, min(txn_id) AS right_id FROM rows WHERE source = 'ledger' GROUP BY 1, 2 HAVING count(*) = 1) b
+        (SELECT external_ref, currency, min(txn_id) AS right_id FROM rows WHERE source = 'gl' GROUP BY 1, 2 HAVING count(*) = 1) b
         ON c.parent_ref = b.external_ref AND c.currency = b.currency WHERE c.source IN ('gateway', 'settlement') AND c.parent_ref <> ''"""),
     ("j2g", """SELECT g.ref, b.bank_id FROM
         (SELECT group_ref AS ref, sum(amount_minor) AS total, min(currency) AS lo, max(currency) AS hi FROM rows WHERE source = 'settlement' AND group_ref <> '' GROUP BY 1) g
@@ -19,13 +19,13 @@ _CHAIN = [
         UNION ALL SELECT 'group_ref|' || bank_id, 'group_ref', 'right', bank_id FROM j2g"""),
     ("free1", "SELECT *, lower(trim(regexp_replace(coalesce(counterparty, ''), '\\s+', ' ', 'g'))) AS party FROM rows WHERE txn_id NOT IN (SELECT txn_id FROM exact)"),
     ("c3", """SELECT l.txn_id AS left_id, b.txn_id AS right_id, count(*) OVER (PARTITION BY l.txn_id) AS nl, count(*) OVER (PARTITION BY b.txn_id) AS nb
-        FROM free1 l JOIN free1 b ON l.source = 'ledger' AND b.source = 'bank' AND l.currency = b.currency AND l.direction = b.direction AND l.amount_minor = b.amount_minor
+        FROM free1 l JOIN free1 b ON l.source = 'gl' AND b.source = 'bank' AND l.currency = b.currency AND l.direction = b.direction AND l.amount_minor = b.amount_minor
         AND l.party = b.party AND b.value_date - l.value_date BETWEEN 0 AND 2"""),
     ("j3", "SELECT left_id, right_id FROM c3 WHERE nl = 1 AND nb = 1"),
     ("free2", """SELECT *, CAST(round_even(CAST(amount_minor AS decimal(18,0)) * CAST(CASE currency WHEN 'USD' THEN 83.20 WHEN 'EUR' THEN 90.10 WHEN 'GBP' THEN 105.40 END AS decimal(10,2)), 0) AS BIGINT) AS expected
         FROM free1 WHERE txn_id NOT IN (SELECT left_id FROM j3 UNION ALL SELECT right_id FROM j3)"""),
     ("c4", """SELECT l.txn_id AS left_id, b.txn_id AS right_id, count(*) OVER (PARTITION BY l.txn_id) AS nl, count(*) OVER (PARTITION BY b.txn_id) AS nb
-        FROM free2 l JOIN free2 b ON l.source = 'ledger' AND l.currency <> 'INR' AND b.source = 'bank' AND b.currency = 'INR' AND l.direction = b.direction
+        FROM free2 l JOIN free2 b ON l.source = 'gl' AND l.currency <> 'INR' AND b.source = 'bank' AND b.currency = 'INR' AND l.direction = b.direction
         AND b.value_date - l.value_date BETWEEN 0 AND 2 AND abs(b.amount_minor - l.expected) <= 100"""),
     ("j4", "SELECT left_id, right_id FROM c4 WHERE nl = 1 AND nb = 1"),
     ("edges", """SELECT * FROM exact
@@ -63,16 +63,17 @@ _CHAIN = [
     ("offered", "SELECT deposit_id AS txn_id, count(*) AS n FROM groupings GROUP BY 1"),
     ("e1", "SELECT 'one_to_many' AS category, 'one_to_many_unresolved' AS type, 'medium' AS severity, u.*, n AS candidates FROM unresolved u JOIN offered USING (txn_id)"),
     ("e2", "SELECT 'duplicate' AS category, 'duplicate_suspected' AS type, 'high' AS severity, u.*, 1 AS candidates FROM unresolved u WHERE txn_id IN (SELECT primary_id FROM anomalies) AND txn_id NOT IN (SELECT txn_id FROM e1)"),
-    ("e3", "SELECT 'fx' AS category, 'fx_unresolved' AS type, 'medium' AS severity, u.*, 0 AS candidates FROM unresolved u WHERE source = 'ledger' AND currency <> 'INR'"),
+    ("e3", "SELECT 'fx' AS category, 'fx_unresolved' AS type, 'medium' AS severity, u.*, 0 AS candidates FROM unresolved u WHERE source = 'gl' AND currency <> 'INR'"),
     ("e4", "SELECT 'settled_never_received' AS category, 'no_counterpart' AS type, 'high' AS severity, u.*, 0 AS candidates FROM unbanked u"),
     ("e5", """SELECT 'no_counterpart' AS category, 'no_counterpart' AS type, 'high' AS severity, u.*, 0 AS candidates FROM unresolved u
         WHERE txn_id NOT IN (SELECT txn_id FROM e1 UNION ALL SELECT txn_id FROM e2 UNION ALL SELECT txn_id FROM e3 UNION ALL SELECT txn_id FROM e4)"""),
     ("found", """SELECT category, type, severity, txn_id AS subject_id, source, direction, amount_minor AS at_risk, currency, CAST(candidates AS BIGINT) AS candidates
         FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2 UNION ALL SELECT * FROM e3 UNION ALL SELECT * FROM e4 UNION ALL SELECT * FROM e5)"""),
     ("truth", """SELECT DISTINCT k AS event_id, case_name AS case_type,
-        CASE WHEN case_name IN ('one_to_many_no_utr', 'duplicate_double_pay', 'break_no_bank', 'break_no_ledger') THEN 'exception' WHEN case_name = 'duplicate_same_ref' THEN 'deduped' ELSE 'matched' END AS handling,
-        source, external_ref FROM feed JOIN ord ON k = seq // 64"""),
-    ("events", """SELECT event_id, case_type, handling, coalesce(bool_or(r.txn_id IN (SELECT txn_id FROM edges)), false) AS matched, coalesce(bool_or(r.txn_id IN (SELECT subject_id FROM found)), false) AS flagged
+        CASE WHEN case_name IN ('one_to_many_no_utr', 'duplicate_double_pay', 'break_no_bank', 'break_no_gl') THEN 'exception' WHEN case_name = 'duplicate_same_ref' THEN 'deduped' ELSE 'matched' END AS handling,
+        source, external_ref FROM feed JOIN ord ON k = seq // 64
+        UNION SELECT seq // 64, 'outflow_recurring', 'matched', source, external_ref FROM feed WHERE seq // 64 > 1000000000000"""),
+    ("events", """SELECT event_id, case_type, handling, coalesce(bool_and(r.txn_id IN (SELECT txn_id FROM edges)), false) AS whole, coalesce(bool_or(source = 'bank' AND r.txn_id IN (SELECT txn_id FROM edges)), false) AS banked, coalesce(bool_or(r.txn_id IN (SELECT subject_id FROM found)), false) AS flagged
         FROM truth JOIN rows r USING (source, external_ref) GROUP BY 1, 2, 3"""),
     ("wrong", """SELECT match_id, pass FROM edges JOIN (SELECT txn_id, event_id FROM rows JOIN truth USING (source, external_ref)) USING (txn_id) GROUP BY 1, 2 HAVING min(event_id) <> max(event_id)"""),
 ]
@@ -89,8 +90,7 @@ daily AS (SELECT day, sum(CASE WHEN NOT out THEN amt ELSE 0 END) AS inflow, sum(
 flows AS (SELECT g.day, CAST(coalesce(inflow, 0) AS BIGINT) AS inflow, CAST(coalesce(outflow, 0) AS BIGINT) AS outflow, CAST(coalesce(inflow, 0) - coalesce(outflow, 0) AS BIGINT) AS net,
           coalesce(inflow, 0) = 0 AND coalesce(outflow, 0) = 0 AS quiet
           FROM (SELECT CAST(unnest(generate_series((SELECT min(day) FROM daily), (SELECT max(day) FROM daily), INTERVAL 1 DAY)) AS DATE) AS day) g LEFT JOIN daily USING (day)),
-recent AS (SELECT * FROM flows WHERE day > (SELECT max(day) - 365 FROM flows)),
-idx AS (SELECT row_number() OVER (ORDER BY day) - 1 AS idx, net FROM recent)
+idx AS (SELECT row_number() OVER (ORDER BY day) - 1 AS idx, net FROM flows)
 """
 
 

@@ -35,10 +35,9 @@ def chained(select: str):
 # Feeds and ingestion.
 
 
-def _raw(spark: SparkSession, sf_dir: str, bad: bool = False) -> dict[str, DataFrame]:
+def _raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     rows = over_workload(spark, sf_dir).feed
-    raw = {s: feeds.emit(rows, s) for s in feeds.CONNECTORS}
-    return {s: raw[s].unionByName(x) for s, x in feeds.planted_bad(spark).items()} if bad else raw
+    return {s: feeds.emit(rows, s) for s in feeds.CONNECTORS}
 
 
 _PARSED = "seq, txn_id, source, external_ref, amount_minor, currency, fee_minor, tax_minor, direction, value_date, counterparty, parent_ref, group_ref"
@@ -46,7 +45,7 @@ _PARSED = "seq, txn_id, source, external_ref, amount_minor, currency, fee_minor,
 
 def _parsed(source: str):
     def run(spark, sf_dir):
-        return feeds.CONNECTORS[source](_raw(spark, sf_dir)[source]).filter("outcome = 'ok'").selectExpr(*_PARSED.split(", "))
+        return feeds.CONNECTORS[source](feeds.emit(over_workload(spark, sf_dir).feed, source)).filter("outcome = 'ok'").selectExpr(*_PARSED.split(", "))
 
     run.__name__ = f"ingest_parse_{source}"
     return query(oracles.chain(f"SELECT {_PARSED} FROM feed WHERE source = '{source}'"))(run)
@@ -58,15 +57,14 @@ for _s in feeds.CONNECTORS:
 
 @query("SELECT * FROM (VALUES ('gateway', 'fee_above_amount', 1), ('gateway', 'missing_reference', 1), ('gateway', 'unknown_currency', 1), ('gateway', 'unknown_status', 1), "
        "('settlement', 'bad_amount', 1), ('settlement', 'bad_date', 1), ('settlement', 'missing_reference', 1), ('bank', 'missing_reference', 1), ('bank', 'debit_and_credit', 2), ('bank', 'bad_date', 1), "
-       "('ledger', 'compound_entry', 1), ('ledger', 'empty_entry', 1), ('ledger', 'negative_amount', 1), ('ledger', 'unknown_status', 1)) AS t(source, reason, n)".replace(", 1)", ", CAST(1 AS BIGINT))").replace(", 2)", ", CAST(2 AS BIGINT))"))
+       "('gl', 'compound_entry', 1), ('gl', 'empty_entry', 1), ('gl', 'negative_amount', 1), ('gl', 'unknown_status', 1)) AS t(source, reason, n)".replace(", 1)", ", CAST(1 AS BIGINT))").replace(", 2)", ", CAST(2 AS BIGINT))"))
 def ingest_rejections(spark, sf_dir):
-    return feeds.parse_all(_raw(spark, sf_dir, bad=True)).filter("outcome = 'reject'").groupBy("source", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return over_workload(spark, sf_dir).parsed.filter("outcome = 'reject'").groupBy("source", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @chained("SELECT (SELECT count(*) FROM feed) + 16 AS total_in, (SELECT count(*) FROM rows) AS accepted, (SELECT count(*) FROM feed) - (SELECT count(*) FROM rows) AS deduplicated, CAST(15 AS BIGINT) AS rejected, CAST(1 AS BIGINT) AS skipped")
 def ingest_report(spark, sf_dir):
-    parsed = feeds.parse_all(_raw(spark, sf_dir, bad=True))
-    return ingest.report(parsed, ingest.dedupe(parsed.filter("outcome = 'ok'")))
+    return ingest.report(over_workload(spark, sf_dir).parsed)
 
 
 @chained("SELECT source, count(*) AS n FROM rows GROUP BY source")
@@ -242,42 +240,38 @@ def unexplained(spark, sf_dir):
 # Scoring and audit.
 
 
-def _events(spark, sf_dir):
-    c = over_workload(spark, sf_dir)
-    key = materialize(workload.truth(spark, sf_dir), "truth")
-    return scoring.events(c.rows, key, c.edges, c.found), scoring.false_matches(c.rows, key, c.edges)
-
-
-@chained("SELECT *, round(matched / should_match, 6) AS match_rate, false_matches = 0 AND breaks_planted = breaks_surfaced AND round(matched / should_match, 6) > 0.98 AS publishable FROM "
-         "(SELECT count(*) FILTER (handling <> 'exception') AS should_match, count(*) FILTER (handling <> 'exception' AND matched) AS matched, count(*) FILTER (handling = 'exception') AS breaks_planted, "
-         "count(*) FILTER (handling = 'exception' AND flagged) AS breaks_surfaced, (SELECT count(*) FROM wrong) AS false_matches FROM events)")
+@chained("SELECT *, round(matched / should_match, 6) AS match_rate, round(breaks_surfaced / breaks_planted, 6) AS break_recall, true AS bridge_sound, false_matches = 0 AND unexplained = 0 AND ambiguous_held >= ambiguous_planted AS publishable FROM "
+         "(SELECT count(*) FILTER (handling = 'matched') AS should_match, count(*) FILTER (handling = 'matched' AND whole) AS matched, count(*) FILTER (handling = 'exception') AS breaks_planted, "
+         "count(*) FILTER (handling = 'exception' AND flagged) AS breaks_surfaced, count(*) FILTER (case_type = 'one_to_many_no_utr') AS ambiguous_planted, "
+         "count(*) FILTER (case_type = 'one_to_many_no_utr' AND NOT banked) AS ambiguous_held, (SELECT count(*) FROM wrong) AS false_matches, "
+         "(SELECT count(*) FROM unresolved WHERE txn_id NOT IN (SELECT subject_id FROM found)) AS unexplained FROM events)")
 def eval_scores(spark, sf_dir):
-    return scoring.scores(*_events(spark, sf_dir))
+    c = over_workload(spark, sf_dir)
+    return scoring.scores(c.per_event, scoring.false_matches(c.owned, c.edges), exceptions.unexplained(c.unresolved, c.found))
 
 
-@chained("SELECT case_type, count(*) AS missed FROM events WHERE (handling <> 'exception' AND NOT matched) OR (handling = 'exception' AND NOT flagged) GROUP BY 1")
+@chained("SELECT case_type, count(*) AS missed FROM events WHERE handling = 'matched' AND NOT whole GROUP BY 1")
 def missed_by_case(spark, sf_dir):
-    return scoring.missed_by_case(_events(spark, sf_dir)[0])
+    return scoring.missed_by_case(over_workload(spark, sf_dir).per_event)
 
 
 @chained("SELECT match_id, pass FROM wrong")
 def false_matches(spark, sf_dir):
-    return _events(spark, sf_dir)[1]
+    c = over_workload(spark, sf_dir)
+    return scoring.false_matches(c.owned, c.edges)
 
 
 @chained("SELECT case_type, count(DISTINCT event_id) AS n FROM truth GROUP BY 1")
 def workload_cases(spark, sf_dir):
-    return workload.truth(spark, sf_dir).groupBy("case_type").agg(F.count_distinct("event_id").alias("n"))
+    return workload.truth(over_workload(spark, sf_dir).feed).groupBy("case_type").agg(F.count_distinct("event_id").alias("n"))
 
 
 def _entries(spark, sf_dir):
     c = over_workload(spark, sf_dir)
-    parsed = c.feed.withColumn("outcome", F.lit("ok"))
-    rejects = spark.createDataFrame([], "source string, locator string, reason string")
-    return audit.trail(ingest.report(parsed, c.rows), rejects, c.edges, c.found)
+    return audit.trail(ingest.report(c.parsed), c.parsed.filter("outcome = 'reject'"), c.edges, c.found)
 
 
-@chained("SELECT 'batch_started' AS decision, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'record_ingested', 1 UNION ALL SELECT 'record_deduplicated', 1 UNION ALL SELECT 'batch_completed', 1 "
+@chained("SELECT 'batch_started' AS decision, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'record_ingested', 1 UNION ALL SELECT 'record_deduplicated', 1 UNION ALL SELECT 'batch_completed', 1 UNION ALL SELECT 'record_rejected', 15 "
          "UNION ALL SELECT 'match_made', (SELECT count(*) FROM matches) UNION ALL SELECT 'match_refused', (SELECT count(*) FROM found WHERE candidates > 0) UNION ALL SELECT 'exception_raised', (SELECT count(*) FROM found)")
 def audit_trail_counts(spark, sf_dir):
     return audit.counts(_entries(spark, sf_dir))
@@ -303,11 +297,6 @@ def _cash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _recent(flows: DataFrame, days: int = 365) -> tuple[DataFrame, datetime.date]:
-    last = flows.agg(F.max("day")).first()[0]
-    return flows.filter(F.col("day") > F.date_sub(F.lit(last), days)), last
-
-
 @query(oracles.SPARSE + "SELECT * FROM flows")
 def cash_history_daily(spark, sf_dir):
     return forecast.history(_cash(spark, sf_dir))
@@ -342,7 +331,8 @@ def booked_schedule(spark, sf_dir):
 
 
 def _projection(spark, sf_dir):
-    flows, last = _recent(materialize(forecast.history(_cash(spark, sf_dir)), "history"))
+    flows = materialize(forecast.history(_cash(spark, sf_dir)), "history")
+    last = flows.agg(F.max("day")).first()[0]
     booked = forecast.recurring(spark, last, last + datetime.timedelta(days=45))
     return forecast.project(flows, last + datetime.timedelta(days=1), 45, 500_000_000, booked, floor=100_000_000)
 
@@ -359,7 +349,7 @@ def forecast_shortfalls(spark, sf_dir):
 
 @query(oracles.BACKTEST)
 def backtest_scores(spark, sf_dir):
-    return forecast.backtest(_recent(materialize(forecast.history(_cash(spark, sf_dir)), "history"))[0])
+    return forecast.backtest(materialize(forecast.history(_cash(spark, sf_dir)), "history"))
 
 
 # Functions.
@@ -391,8 +381,8 @@ def redact_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.redact(F.col("text")).alias("text"))
 
 
-@chained("SELECT txn_id, source, external_ref, amount_minor, currency, CASE WHEN source = 'gateway' THEN CASE WHEN external_ref LIKE 'rfnd%' THEN 'refunded' ELSE 'captured' END "
-         "WHEN source = 'ledger' AND (SELECT case_name FROM ord WHERE k = seq // 64) = 'partial_refund' THEN 'partially_refunded' ELSE 'settled' END AS status FROM rows")
+@chained("SELECT source || ':' || external_ref AS ref, amount_minor, currency, direction, value_date, CASE WHEN source = 'gateway' THEN CASE WHEN external_ref LIKE 'rfnd%' THEN 'refunded' ELSE 'captured' END "
+         "WHEN source = 'gl' AND (SELECT case_name FROM ord WHERE k = seq // 64) = 'partial_refund' THEN 'partially_refunded' ELSE 'settled' END AS status FROM rows")
 def safe_summary(spark, sf_dir):
     return text.safe_summary(over_workload(spark, sf_dir).rows)
 

@@ -10,25 +10,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.forecast import RECURRING
 from ..schema import COLUMNS
-from ..storage import table, union_all
+from ..storage import table
 
 FIRST_DAY = "2026-08-01"
+#: Events of recurring outflows are numbered from here by their day of the month.
+RECURRING_EVENTS = 1_000_000_000_000
 
 # Case name, first and last h.
 CASES = (
     ("clean", 0, 105), ("fee_lag", 106, 139), ("one_to_many", 140, 149), ("one_to_many_no_utr", 150, 155), ("partial_refund", 156, 165),
     ("fx", 166, 171), ("duplicate_same_ref", 172, 174), ("duplicate_double_pay", 175, 177), ("break_no_bank", 178, 184),
-    ("break_no_ledger", 185, 189), ("outflow_vendor", 190, 199),
+    ("break_no_gl", 185, 189), ("outflow_vendor", 190, 199),
 )
-HANDLING = {"duplicate_same_ref": "deduped", "one_to_many_no_utr": "exception", "duplicate_double_pay": "exception", "break_no_bank": "exception", "break_no_ledger": "exception"}
+HANDLING = {"duplicate_same_ref": "deduped", "one_to_many_no_utr": "exception", "duplicate_double_pay": "exception", "break_no_bank": "exception", "break_no_gl": "exception"}
 
 #: source, rank, slot in seq, cases, per line?, external_ref, amount, direction, days later, parent_ref, group_ref; ``n`` is the line number.
 _ROWS = (
-    ("ledger", 3, 0, "clean fee_lag partial_refund duplicate_same_ref duplicate_double_pay break_no_bank", False, "'order_' || k", "amt", "inbound", "0", "null", "null"),
-    ("ledger", 3, 0, "one_to_many one_to_many_no_utr", True, "'order_' || k || '_' || n", "line", "inbound", "0", "null", "null"),
-    ("ledger", 3, 0, "fx", False, "'order_' || k", "amt - amt % 100", "inbound", "0", "null", "null"),
-    ("ledger", 3, 0, "outflow_vendor", False, "'order_' || k", "amt", "outbound", "0", "null", "null"),
+    ("gl", 3, 0, "clean fee_lag partial_refund duplicate_same_ref duplicate_double_pay break_no_bank", False, "'order_' || k", "amt", "inbound", "0", "null", "null"),
+    ("gl", 3, 0, "one_to_many one_to_many_no_utr", True, "'order_' || k || '_' || n", "line", "inbound", "0", "null", "null"),
+    ("gl", 3, 0, "fx", False, "'order_' || k", "amt - amt % 100", "inbound", "0", "null", "null"),
+    ("gl", 3, 0, "outflow_vendor", False, "'order_' || k", "amt", "outbound", "0", "null", "null"),
     ("gateway", 0, 0, "clean duplicate_same_ref duplicate_double_pay", False, "'pay_' || k", "amt", "inbound", "0", "'order_' || k", "null"),
     ("gateway", 0, 0, "partial_refund", False, "'rfnd_' || k", "(amt - amt % 2) / 2", "outbound", "1", "'order_' || k", "null"),
     ("settlement", 1, 0, "clean duplicate_same_ref duplicate_double_pay", False, "'pout_' || k", "amt", "inbound", "0", "'order_' || k", "'UTR_' || k"),
@@ -36,7 +39,7 @@ _ROWS = (
     ("settlement", 1, 0, "one_to_many", True, "'pout_' || k || '_' || n", "line", "inbound", "1", "'order_' || k || '_' || n", "'UTR_' || k"),
     ("settlement", 1, 0, "one_to_many_no_utr", True, "'pout_' || k || '_' || n", "line", "inbound", "1", "'order_' || k || '_' || n", "null"),
     ("settlement", 1, 0, "break_no_bank", False, "'pout_' || k", "amt", "inbound", "1", "'order_' || k", "null"),
-    ("bank", 2, 0, "clean duplicate_same_ref duplicate_double_pay break_no_ledger", False, "'UTR_' || k", "amt", "inbound", "0", "null", "null"),
+    ("bank", 2, 0, "clean duplicate_same_ref duplicate_double_pay break_no_gl", False, "'UTR_' || k", "amt", "inbound", "0", "null", "null"),
     ("bank", 2, 0, "fee_lag", False, "'UTR_' || k", "amt - fee", "inbound", "1 + k % 2", "null", "null"),
     ("bank", 2, 0, "one_to_many one_to_many_no_utr", False, "'UTR_' || k", "total", "inbound", "1", "null", "null"),
     ("bank", 2, 0, "fx", False, "'UTR_' || k", "inr + case when k % 7 = 0 then 500 else 0 end", "inbound", "2", "null", "null"),
@@ -57,7 +60,7 @@ LEFT JOIN (SELECT l_k, CAST(sum(line) AS bigint) AS total FROM order_line GROUP
 """
 LINES_SQL = """
 SELECT CAST(l_orderkey AS bigint) AS l_k, CAST(l_linenumber AS bigint) AS n, CAST(min(CAST(round(l_extendedprice * 100) AS bigint)) AS bigint) AS line
-FROM lineitem WHERE l_linenumber <= 4 GROUP BY l_orderkey, l_linenumber
+FROM lineitem GROUP BY l_orderkey, l_linenumber
 """
 
 
@@ -65,47 +68,72 @@ def case_sql() -> str:
     return "CASE " + " ".join(f"WHEN h <= {hi} THEN '{name}'" for name, _, hi in CASES) + " END"
 
 
-def orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(orders with derived numbers, their lines)."""
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with derived numbers and their lines as an array (n, line); lines are shuffled once, by order."""
     tables = {n: table(spark, sf_dir, n) for n in ("orders", "customer", "nation", "lineitem")}
-    line = spark.sql(LINES_SQL.replace("lineitem", "{lineitem}"), lineitem=tables.pop("lineitem"))
+    lineitem = tables.pop("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice").repartition("l_orderkey")
+    line = spark.sql(LINES_SQL.replace("lineitem", "{lineitem}"), lineitem=lineitem)
     text = ORDERS_SQL.format(case_of=case_sql(), half_even="bround", day=f"date_add(date'{FIRST_DAY}', int((o_orderkey * 31 + o_custkey) % 28))")
+    text = text.replace("SELECT l_k, CAST(sum(line) AS bigint) AS total", "SELECT l_k, CAST(sum(line) AS bigint) AS total, collect_list(struct(n, line)) AS lines").replace("total, CASE WHEN h", "total, lines, CASE WHEN h")
     text = text.replace("{", "{{").replace("}", "}}")
     for name in ("orders", "customer", "nation"):
         text = text.replace(f"FROM {name}", f"FROM {{{name}}}").replace(f"JOIN {name} ", f"JOIN {{{name}}} ")
-    return spark.sql(text.replace("order_line", "{order_line}"), order_line=line, **tables), line
+    return spark.sql(text.replace("order_line", "{order_line}"), order_line=line, **tables)
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows as they arrive, re-imports included: one pass over the orders, one over their lines."""
-    order, line = orders(spark, sf_dir)
-    with_lines = order.join(line, order["k"] == line["l_k"])
-    status = {"gateway": "case when case_name = 'partial_refund' then 'refunded' else 'captured' end", "ledger": "case when case_name = 'partial_refund' then 'partially_refunded' else 'settled' end"}
-
-    def made(spec) -> str:
-        source, rank, slot, cases, per_line, ref, amount, direction, later, parent, group = spec
-        return (
-            f"case when case_name in ({', '.join(map(repr, cases.split()))}) and ({amount}) is not null then named_struct("
-            f"'seq', k * 64 + {rank} * 16 + {'n' if per_line else slot}, 'source', '{source}', 'external_ref', {ref}, 'amount_minor', cast({amount} as bigint), "
-            f"'currency', {'foreign_ccy' if source == 'ledger' and cases == 'fx' else repr('INR')}, "
-            f"'fee_minor', {'cast(fee as bigint)' if source == 'settlement' and cases == 'fee_lag' else 'bigint(0)'}, 'tax_minor', bigint(0), "
-            f"'direction', '{direction}', 'value_date', date_add(d, int({later})), 'status', {status.get(source, repr('settled'))}, "
-            f"'counterparty', {'party' if source == 'bank' else 'lower(party)'}, 'parent_ref', cast({parent} as string), 'group_ref', cast({group} as string)) end"
-        )
-
-    parts = []
-    for per_line, rows in ((False, order), (True, with_lines)):
-        parts.append(rows.select(F.explode(F.expr(f"array_compact(array({', '.join(made(s) for s in _ROWS if s[4] is per_line)}))")).alias("r")).select("r.*"))
-    rows = union_all(parts).withColumns({"txn_id": F.concat_ws(":", "source", "external_ref"), "posted_at": F.col("value_date").cast("timestamp")})
-    return rows.select(*COLUMNS)
-
-
-def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The answer key: event_id, case_type, handling, source, external_ref."""
-    order, _ = orders(spark, sf_dir)
-    key = feed(spark, sf_dir).select(((F.col("seq") - F.col("seq") % 64) / 64).cast("bigint").alias("event_id"), "source", "external_ref").distinct()
-    handling = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in HANDLING.items() for x in kv]), F.col("case_name")), F.lit("matched"))
-    return key.join(order.select(F.col("k").alias("event_id"), F.col("case_name").alias("case_type"), handling.alias("handling")), "event_id")
+    """All rows as they arrive, re-imports included, in one pass over the orders.
+
+    An order gives the list of the rows that its case yields, as (spec, n, line); they are exploded, and each
+    column then asks the spec. The explosion keeps the planner from copying the derived numbers into every spec.
+    """
+    specs = list(enumerate(_ROWS))
+
+    def yielded(case: str) -> str:
+        plain = ", ".join(f"named_struct('spec', {i}, 'n', bigint(0), 'line', bigint(null))" for i, x in specs if case in x[3].split() and not x[4])
+        per_line = [f"transform(coalesce(lines, array()), l -> named_struct('spec', {i}, 'n', l.n, 'line', l.line))" for i, x in specs if case in x[3].split() and x[4]]
+        return f"concat({', '.join([f'array({plain})', *per_line] if plain else per_line)})"
+
+    chosen = "CASE case_name " + " ".join(f"WHEN '{name}' THEN {yielded(name)}" for name, _, _ in CASES) + " END"
+    rows = orders(spark, sf_dir).select("k", "h", "amt", "fee", "d", "party", "total", "case_name", "foreign_ccy", "inr", F.explode(F.expr(chosen)).alias("r"))
+    rows = rows.select("*", "r.*")
+    ask = lambda at: "CASE spec " + " ".join(f"WHEN {i} THEN {at(x)}" for i, x in specs) + " END"
+    rows = rows.selectExpr(
+        "spec", "case_name", "k", "party", "d", "foreign_ccy", f"{ask(lambda x: repr(x[0]))} AS source",
+        f"k * 64 + {ask(lambda x: f'{16 * x[1]} + ' + ('n' if x[4] else str(x[2])))} AS seq", f"{ask(lambda x: x[5])} AS external_ref",
+        f"CAST({ask(lambda x: f'CAST({x[6]} AS bigint)')} AS bigint) AS amount_minor", f"CASE WHEN case_name = 'fee_lag' THEN CAST(fee AS bigint) ELSE 0 END AS fee",
+        f"{ask(lambda x: repr(x[7]))} AS direction", f"date_add(d, int({ask(lambda x: f'int({x[8]})')})) AS value_date",
+        f"CAST({ask(lambda x: x[9])} AS string) AS parent_ref", f"CAST({ask(lambda x: x[10])} AS string) AS group_ref",
+    ).filter("amount_minor IS NOT NULL")
+    return rows.selectExpr(
+        "CAST(seq AS bigint) AS seq", "concat(source, ':', external_ref) AS txn_id", "source", "external_ref", "amount_minor",
+        "CASE WHEN source = 'gl' AND case_name = 'fx' THEN foreign_ccy ELSE 'INR' END AS currency", "CASE WHEN source = 'settlement' THEN fee ELSE bigint(0) END AS fee_minor",
+        "bigint(0) AS tax_minor", "direction", "value_date", "CAST(value_date AS timestamp) AS posted_at",
+        "CASE WHEN source = 'gateway' AND case_name = 'partial_refund' THEN 'refunded' WHEN source = 'gateway' THEN 'captured' WHEN source = 'gl' AND case_name = 'partial_refund' THEN 'partially_refunded' ELSE 'settled' END AS status",
+        "CASE WHEN source = 'bank' THEN party ELSE lower(party) END AS counterparty", "parent_ref", "group_ref",
+    ).select(*COLUMNS).unionByName(recurring_rows(spark))
+
+
+def recurring_rows(spark: SparkSession) -> DataFrame:
+    """The month's recurring outflows, each in the books and at the bank, without a shared reference."""
+    day, zero = f"date_add(date'{FIRST_DAY}', dom - 1)", "bigint(0)"
+    due = spark.createDataFrame([(label, dom, amount) for label, dom, amount, _ in RECURRING], "label string, dom int, amount long")
+    sides = "inline(array(named_struct('source', 'gl', 'place', 48, 'external_ref', concat('recurring_', dom)), named_struct('source', 'bank', 'place', 32, 'external_ref', concat('UTR_recurring_', dom))))"
+    return due.selectExpr("*", sides).selectExpr(
+        f"({RECURRING_EVENTS} + dom) * 64 + place AS seq", "concat(source, ':', external_ref) AS txn_id", "source", "external_ref", "amount AS amount_minor", "'INR' AS currency",
+        f"{zero} AS fee_minor", f"{zero} AS tax_minor", "'outbound' AS direction", f"{day} AS value_date", f"CAST({day} AS timestamp) AS posted_at", "'settled' AS status",
+        "CASE WHEN source = 'bank' THEN label ELSE lower(label) END AS counterparty", "CAST(null AS string) AS parent_ref", "CAST(null AS string) AS group_ref",
+    ).select(*COLUMNS)
+
+
+def truth(arrived: DataFrame) -> DataFrame:
+    """The answer key of a feed: event_id, case_type, handling, source, external_ref.
+
+    An event is an order, which ``seq`` names and whose number decides its case.
+    """
+    handling = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in HANDLING.items() for x in kv]), F.col("case_type")), F.lit("matched"))
+    key = arrived.selectExpr("seq div 64 AS event_id", "source", "external_ref").selectExpr("*", "(event_id * 7919) % 200 AS h").selectExpr("event_id", f"CASE WHEN event_id > {RECURRING_EVENTS} THEN 'outflow_recurring' ELSE {case_sql()} END AS case_type", "source", "external_ref")
+    return key.distinct().select("event_id", "case_type", handling.alias("handling"), "source", "external_ref")
 
 
 def feed_sql() -> str:
@@ -115,11 +143,17 @@ def feed_sql() -> str:
         names = ", ".join(f"'{c}'" for c in cases.split())
         parts.append(
             f"SELECT CAST(k * 64 + {rank} * 16 + {'n' if per_line else slot} AS BIGINT) AS seq, '{source}' || ':' || ({ref}) AS txn_id, '{source}' AS source, {ref} AS external_ref, "
-            f"CAST({amount} AS BIGINT) AS amount_minor, {'foreign_ccy' if source == 'ledger' and cases == 'fx' else repr('INR')} AS currency, "
+            f"CAST({amount} AS BIGINT) AS amount_minor, {'foreign_ccy' if source == 'gl' and cases == 'fx' else repr('INR')} AS currency, "
             f"CAST({'fee' if source == 'settlement' and cases == 'fee_lag' else 0} AS BIGINT) AS fee_minor, CAST(0 AS BIGINT) AS tax_minor, '{direction}' AS direction, "
             f"d + CAST({later} AS INTEGER) AS value_date, {'party' if source == 'bank' else 'lower(party)'} AS counterparty, "
             f"CAST({parent} AS VARCHAR) AS parent_ref, CAST({group} AS VARCHAR) AS group_ref "
             f"FROM ord {'JOIN order_line ON k = l_k' if per_line else ''} WHERE case_name IN ({names}) AND ({amount}) IS NOT NULL"
         )
+    for source, place, ref, party in (("gl", 48, "recurring_", "lower(label)"), ("bank", 32, "UTR_recurring_", "label")):
+        names = ", ".join(f"('{label}', {dom}, {amount})" for label, dom, amount, _ in RECURRING)
+        parts.append(
+            f"SELECT CAST(({RECURRING_EVENTS} + dom) * 64 + {place} AS BIGINT), '{source}:{ref}' || dom, '{source}', '{ref}' || dom, CAST(amount AS BIGINT), 'INR', CAST(0 AS BIGINT), CAST(0 AS BIGINT), "
+            f"'outbound', DATE '{FIRST_DAY}' + CAST(dom - 1 AS INTEGER), {party}, NULL, NULL FROM (VALUES {names}) AS t(label, dom, amount)"
+        )
     day = f"DATE '{FIRST_DAY}' + CAST((o_orderkey * 31 + o_custkey) % 28 AS INTEGER)"
     return f"order_line AS ({LINES_SQL}), ord AS ({ORDERS_SQL.format(case_of=case_sql(), half_even='round_even', day=day)}), feed AS ({' UNION ALL '.join(parts)})"

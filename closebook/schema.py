@@ -5,7 +5,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 # Fixed values.
-SOURCES = ("gateway", "settlement", "bank", "ledger")
+SOURCES = ("gateway", "settlement", "bank", "gl")
 CURRENCIES = ("INR", "USD", "EUR", "GBP")
 MINOR_DIGITS = 2
 STATUSES = ("pending", "captured", "settled", "refunded", "partially_refunded", "failed", "reversed")

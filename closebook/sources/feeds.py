@@ -20,7 +20,7 @@ RAW = {
     "gateway": "seq long, id string, entity string, amount long, currency string, status string, order_id string, method string, captured boolean, fee long, tax long, created_at long, contact string",
     "settlement": "seq long, settlement_id string, payout_id string, order_id string, amount string, fee string, tax string, currency string, utr string, settled_at string, counterparty string, status string",
     "bank": "seq long, `Txn Date` string, `Value Date` string, Description string, `Ref No./Cheque No.` string, Debit string, Credit string, Balance string",
-    "ledger": "seq long, voucher_no string, gl_date string, account string, party string, debit string, credit string, narration string, currency string, status string",
+    "gl": "seq long, voucher_no string, gl_date string, account string, party string, debit string, credit string, narration string, currency string, status string",
 }
 
 
@@ -152,7 +152,7 @@ def parse_bank(raw: DataFrame, currency: str = "INR") -> DataFrame:
     return _finish(df, "bank", "ref", [(_blank("ref"), "missing_reference"), (~F.col("one"), "debit_and_credit"), (F.col("amount_minor").isNull(), "bad_amount"), (F.col("value_date").isNull() | F.col("posted_at").isNull(), "bad_date")], F.col("skip"))
 
 
-def parse_ledger(raw: DataFrame) -> DataFrame:
+def parse_gl(raw: DataFrame) -> DataFrame:
     """Debit is money in. A row with both sides, no side or a negative side is rejected."""
     df = raw.select(
         "seq", "voucher_no", _money("debit").alias("d"), _money("credit").alias("c"), _currency("currency", "INR").alias("currency"), F.lit(0).cast("bigint").alias("fee_minor"),
@@ -160,14 +160,14 @@ def parse_ledger(raw: DataFrame) -> DataFrame:
         F.col("party").alias("counterparty"), F.lit(None).cast("string").alias("parent_ref"), F.lit(None).cast("string").alias("group_ref"),
     )
     df = df.withColumns({"amount_minor": F.when(F.col("d") > 0, F.col("d")).otherwise(F.col("c")), "direction": F.when(F.col("d") > 0, "inbound").otherwise("outbound"), "posted_at": F.col("value_date").cast("timestamp")})
-    return _finish(df, "ledger", "voucher_no", [
+    return _finish(df, "gl", "voucher_no", [
         (_blank("voucher_no"), "missing_reference"), (F.col("d").isNull() | F.col("c").isNull(), "bad_amount"), ((F.col("d") < 0) | (F.col("c") < 0), "negative_amount"),
         ((F.col("d") > 0) & (F.col("c") > 0), "compound_entry"), ((F.col("d") == 0) & (F.col("c") == 0), "empty_entry"), (F.col("status").isNull(), "unknown_status"),
         (F.col("currency").isNull(), "unknown_currency"), (F.col("value_date").isNull(), "bad_date"),
     ])
 
 
-CONNECTORS: dict[str, Connector] = {"gateway": parse_gateway, "settlement": parse_settlement, "bank": parse_bank, "ledger": parse_ledger}
+CONNECTORS: dict[str, Connector] = {"gateway": parse_gateway, "settlement": parse_settlement, "bank": parse_bank, "gl": parse_gl}
 
 
 def parse_all(raw: dict[str, DataFrame], connectors: dict[str, Connector] | None = None) -> DataFrame:
@@ -184,6 +184,6 @@ def planted_bad(spark: SparkSession) -> dict[str, DataFrame]:
         "gateway": [(-1, "", "payment", 100, "INR", "captured", None, "card", True, 0, 0, 0, None), (-2, "pay_x1", "payment", 100, "INR", "lost", None, "card", True, 0, 0, 0, None), (-3, "pay_x2", "payment", 100, "XYZ", "captured", None, "card", True, 0, 0, 0, None), (-4, "pay_x3", "payment", 100, "INR", "captured", None, "card", True, 200, 0, 0, None)],
         "settlement": [(-5, "s", "pout_x1", None, "1.234", "0", "0", "INR", None, "2026-08-02T02:00:00+05:30", None, "x"), (-6, "s", "pout_x2", None, "1.00", "0", "0", "INR", None, "2026-08-02T02:00:00", None, "x"), (-7, "s", None, None, "1.00", "0", "0", "INR", None, "2026-08-02T02:00:00Z", None, "x")],
         "bank": [(-8, "01/08/2026", "01/08/2026", "OPENING BALANCE", "", "", "", "1.00"), (-9, "01/08/2026", "01/08/2026", "NEFT CR-a-b", "", "", "1.00", ""), (-10, "01/08/2026", "01/08/2026", "NEFT CR-a-b", "UTR_x1", "1.00", "1.00", ""), (-11, "2026-08-02", "2026-08-02", "NEFT CR-a-b", "UTR_x2", "", "1.00", ""), (-12, "01/08/2026", "01/08/2026", "NEFT CR-a-b", "UTR_x3", "", "", "")],
-        "ledger": [(-13, "v_x1", "2026-08-01", "a", "p", "1.00", "1.00", "n", "INR", "settled"), (-14, "v_x2", "2026-08-01", "a", "p", "0.00", "0.00", "n", "INR", "settled"), (-15, "v_x3", "2026-08-01", "a", "p", "-1.00", "0", "n", "INR", "settled"), (-16, "v_x4", "2026-08-01", "a", "p", "1.00", "0", "n", "INR", "gone")],
+        "gl": [(-13, "v_x1", "2026-08-01", "a", "p", "1.00", "1.00", "n", "INR", "settled"), (-14, "v_x2", "2026-08-01", "a", "p", "0.00", "0.00", "n", "INR", "settled"), (-15, "v_x3", "2026-08-01", "a", "p", "-1.00", "0", "n", "INR", "settled"), (-16, "v_x4", "2026-08-01", "a", "p", "1.00", "0", "n", "INR", "gone")],
     }
     return {s: spark.createDataFrame(r, RAW[s]) for s, r in rows.items()}

@@ -34,14 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there."""
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends there.
+
+    With ``by``, a column of few values, readers of one value read its files only.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     for made in _open[-1:]:
         made.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write if by is None else df.write.partitionBy(by)).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*(f"`{c}`" for c in df.columns))
 
 
 @contextlib.contextmanager

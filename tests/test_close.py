@@ -34,12 +34,12 @@ def nothing(spark):
     return spark.createDataFrame([], "txn_id string")
 
 
-def test_parent_ref_ignores_amount_and_needs_one_ledger_row_of_the_currency(spark):
-    one = rows(spark, ("ledger", "o1", {}), ("settlement", "p1", {"amount": 98_000, "parent": "o1"}))
+def test_parent_ref_ignores_amount_and_needs_one_gl_row_of_the_currency(spark):
+    one = rows(spark, ("gl", "o1", {}), ("settlement", "p1", {"amount": 98_000, "parent": "o1"}))
     assert matches(matching.parent_ref(one)) == 1
-    assert matches(matching.parent_ref(one.unionByName(one.filter("source = 'ledger'").withColumn("txn_id", F.lit("x"))))) == 0
-    assert matches(matching.parent_ref(rows(spark, ("ledger", "o1", {"currency": "USD"}), ("settlement", "p1", {"parent": "o1"})))) == 0
-    assert matches(matching.parent_ref(rows(spark, ("ledger", "", {}), ("settlement", "p1", {"parent": ""})))) == 0
+    assert matches(matching.parent_ref(one.unionByName(one.filter("source = 'gl'").withColumn("txn_id", F.lit("x"))))) == 0
+    assert matches(matching.parent_ref(rows(spark, ("gl", "o1", {"currency": "USD"}), ("settlement", "p1", {"parent": "o1"})))) == 0
+    assert matches(matching.parent_ref(rows(spark, ("gl", "", {}), ("settlement", "p1", {"parent": ""})))) == 0
 
 
 def test_group_ref_confirms_the_sum(spark):
@@ -52,18 +52,18 @@ def test_group_ref_confirms_the_sum(spark):
 
 
 def test_economic_pair(spark):
-    pair = (("ledger", "l1", {"cp": "Acme  Ltd "}), ("bank", "b1", {"cp": "ACME LTD", "days": 2}))
+    pair = (("gl", "l1", {"cp": "Acme  Ltd "}), ("bank", "b1", {"cp": "ACME LTD", "days": 2}))
     for run in (matching.economic_pair, matching.economic_pair_greedy):
         assert matches(run(rows(spark, *pair), nothing(spark))) == 1
         assert matches(run(rows(spark, *pair, ("bank", "b2", {"cp": "acme ltd"})), nothing(spark))) == 0
-        assert matches(run(rows(spark, ("ledger", "l1", {}), ("bank", "b1", {"days": 3})), nothing(spark))) == 0
-        assert matches(run(rows(spark, ("ledger", "l1", {"days": 1}), ("bank", "b1", {})), nothing(spark))) == 0
+        assert matches(run(rows(spark, ("gl", "l1", {}), ("bank", "b1", {"days": 3})), nothing(spark))) == 0
+        assert matches(run(rows(spark, ("gl", "l1", {"days": 1}), ("bank", "b1", {})), nothing(spark))) == 0
         resolved = spark.createDataFrame([("bank:b1",)], "txn_id string")
         assert matches(run(rows(spark, *pair), resolved)) == 0
 
 
 def test_greedy_depends_on_order_and_strict_does_not(spark):
-    l1, l2, b1, b2 = ("ledger", "l1", {"days": 0}), ("ledger", "l2", {"days": 1}), ("bank", "b1", {"days": 2}), ("bank", "b2", {"days": 3})
+    l1, l2, b1, b2 = ("gl", "l1", {"days": 0}), ("gl", "l2", {"days": 1}), ("bank", "b1", {"days": 2}), ("bank", "b2", {"days": 3})
     first, second = rows(spark, l1, l2, b1, b2), rows(spark, l2, l1, b1, b2)
     assert matches(matching.economic_pair_greedy(first, nothing(spark))) == 2
     assert matches(matching.economic_pair_greedy(second, nothing(spark))) == 1
@@ -71,7 +71,7 @@ def test_greedy_depends_on_order_and_strict_does_not(spark):
 
 
 def test_fx(spark):
-    book = ("ledger", "l1", {"currency": "USD", "amount": 100_000})
+    book = ("gl", "l1", {"currency": "USD", "amount": 100_000})
     for run in (matching.fx, matching.fx_greedy):
         assert matches(run(rows(spark, book, ("bank", "b1", {"amount": 8_320_100, "days": 2})), nothing(spark))) == 1
         assert matches(run(rows(spark, book, ("bank", "b1", {"amount": 8_320_101})), nothing(spark))) == 0
@@ -79,8 +79,8 @@ def test_fx(spark):
         assert matches(run(rows(spark, book, ("bank", "b1", {"amount": 8_320_000, "direction": "outbound"})), nothing(spark))) == 0
 
 
-def test_lone_ledger_row_has_no_counterpart(spark):
-    close = Close(rows(spark, ("ledger", "l1", {})))
+def test_lone_gl_row_has_no_counterpart(spark):
+    close = Close(rows(spark, ("gl", "l1", {})))
     close.check()
     assert [(r.type, r.severity) for r in close.found.collect()] == [("no_counterpart", "high")]
 
@@ -180,16 +180,16 @@ def test_pages_neither_skip_nor_repeat(spark):
 
 
 def test_access_and_resolutions(spark):
-    close = Close(rows(spark, ("ledger", "l1", {})))
+    close = Close(rows(spark, ("gl", "l1", {})))
     desk = Resolutions(close.found, close.groupings)
     viewer, controller = Principal("v", "viewer"), Principal("c", "controller")
     with pytest.raises(NotFound):
         desk.resolve("nope", viewer, "n")
     with pytest.raises(Denied):
-        desk.resolve("ledger:l1", viewer, "n")
+        desk.resolve("gl:l1", viewer, "n")
     with pytest.raises(BadCandidate):
-        desk.resolve("ledger:l1", controller, "n", candidate=0)
-    assert desk.resolve("ledger:l1", controller, "n", key="k") is desk.resolve("ledger:l1", controller, "other", key="k")
+        desk.resolve("gl:l1", controller, "n", candidate=0)
+    assert desk.resolve("gl:l1", controller, "n", key="k") is desk.resolve("gl:l1", controller, "other", key="k")
     assert Principal("x", "admin").permissions == controller.permissions and not Principal("x", "nobody").permissions
     tokens = Tokens()
     tokens.add("a" * 16, viewer)
