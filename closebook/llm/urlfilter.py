@@ -1,14 +1,21 @@
 """URL filters: explicit rules first, then segmented host and path words scored by naive Bayes.
 
 Host names are often words run together. A unigram Viterbi pass splits each name into the likeliest words
-of a lexicon: known words, and the words that the table's own urls show apart (parts of hyphenated names,
-words of paths), counted by Spark over all rows. A multinomial naive Bayes model, learned from labelled
-example names, scores the words of host and path together; words that it has never met say nothing.
+of a lexicon: the words that the table's own urls show apart (parts of hyphenated names, words of paths), each
+with its count over all rows, and a few example words. A multinomial naive Bayes model scores the words of
+host and path together. Its labelled rows are the urls that the rules decide, of all the table; names that a
+rule itself names say nothing, or the model would only repeat the rules where they do not hold. The example
+words are its prior, ``PRIOR`` occurrences each. Words that neither shows say nothing.
+
+All of it runs over distinct names: names and their counts are one aggregation, each name is given the slice
+of the lexicon that its substrings hit by a join, and scores come back by a join. There is no bound on the
+lexicon or on the length of its words, and nothing of it goes through the driver.
 
 A rule ``host/path`` fits that host and its subdomains, for paths that start with its path; the longest
 fitting rule decides. Null urls and such without ``://`` have an empty host and path and, like all urls
-without a known word, take the class that is likelier at large: allow. Repeated rows are judged alike; an
-empty table gives no rows; extra columns are ignored; urls of any length are judged whole.
+without a known word, take the class that is likelier at large: allow. Equal likelihoods are allowed. Repeated
+rows are judged alike; an empty table gives no rows; extra columns are ignored; urls of any length are judged
+whole.
 """
 
 from __future__ import annotations
@@ -20,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEXICON_WORDS, LONGEST = 50_000, 24
+from .common import materialize, small
+
+LETTERS, PRIOR, PRIOR_BLOCK, SMOOTHING = 24, 5, 0.25, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rules as (verdict, host/path).
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
-#: Labelled example names for the model.
+#: The prior's words; a parameter of ``judge``.
 EXAMPLES = (
     ("block", "cheap pills online pharmacy no prescription cheap meds viagra cialis discount pills store"),
     ("block", "free bets casino poker slots jackpot betting bonus free spins roulette sportsbook odds"),
@@ -62,106 +71,111 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast("struct<rule:string,action:string>")
 
 
-class Words:
-    """Unigram Viterbi segmentation."""
-
-    def __init__(self, counts: dict[str, float]):
-        total = sum(counts.values())
-        self.log = {w: math.log(n / total) for w, n in counts.items()}
-        self.unknown, self.longest = math.log(1 / total), max(map(len, counts), default=1)
-        self.seen: dict[str, list[str]] = {}
-
-    def split(self, name: str) -> list[str]:
-        if name not in self.seen:
-            if len(self.seen) > 100_000:
-                self.seen.clear()
-            self.seen[name] = self._split(name)
-        return self.seen[name]
-
-    def _split(self, name: str) -> list[str]:
-        """The likeliest words; a piece outside the lexicon costs more the longer it is."""
-        best, back = [0.0], [0]
-        for end in range(1, len(name) + 1):
-            top = (-math.inf, 0)
-            for begin in range(max(0, end - max(self.longest, LONGEST)), end):
-                piece = name[begin:end]
-                known = self.log.get(piece)
-                value = best[begin] + (known if known is not None else self.unknown - 2.3 * len(piece))
-                if value > top[0]:
-                    top = (value, begin)
-            best.append(top[0])
-            back.append(top[1])
-        out, end = [], len(name)
-        while end:
-            out.append(name[back[end] : end])
-            end = back[end]
-        return out[::-1]
-
-
-class Bayes:
-    """Multinomial naive Bayes with additive smoothing over the words of the examples."""
-
-    def __init__(self, examples=EXAMPLES, prior_block: float = 0.25, smoothing: float = 0.2):
-        counts: dict[str, dict[str, int]] = {"block": {}, "allow": {}}
-        for label, line in examples:
-            for w in line.split():
-                counts[label][w] = counts[label].get(w, 0) + 1
-        vocabulary = set(counts["block"]) | set(counts["allow"])
-        total = {k: sum(v.values()) + smoothing * len(vocabulary) for k, v in counts.items()}
-        self.odds = {w: math.log((counts["block"].get(w, 0) + smoothing) / total["block"]) - math.log((counts["allow"].get(w, 0) + smoothing) / total["allow"]) for w in vocabulary}
-        self.prior = math.log(prior_block / (1 - prior_block))
-
-    def score(self, words: list[str]) -> float:
-        return self.prior + sum(self.odds.get(w, 0.0) for w in words)
-
-
-_NAME = re.compile(r"[^a-z]+")
-
-
-def words_of(host: str, path: str, words: Words) -> list[str]:
-    """Segmented words of all host labels and path names."""
-    return [w for name in _NAME.split(f"{host}/{path.lower()}") if name for w in words.split(name)]
-
-
-def lexicon(pages: DataFrame, most: int = LEXICON_WORDS) -> dict[str, float]:
-    """Example words, and the ``most`` frequent words that urls of the whole table show apart."""
-    host, path = host_of(F.col("url")), F.translate(path_of(F.col("url")), UPPER, LOWER)
-    apart = F.filter(F.flatten(F.transform(F.split(host, r"\."), lambda x: F.when(x.contains("-"), F.split(x, "-")).otherwise(F.array().cast("array<string>")))), lambda w: w.rlike("^[a-z]+$"))
-    names = F.concat(apart, F.filter(F.split(path, "[^a-z]+"), lambda w: F.length(w) > 0))
-    counted = pages.select(F.explode(names).alias("word")).filter(F.length("word") <= LONGEST).groupBy("word").count()
-    out = {r[0]: float(r[1]) for r in counted.orderBy(F.desc("count"), "word").limit(most).collect()}
-    base = 1 + sum(out.values()) / 1000  # an example word is as likely as a fairly frequent one
-    for _, line in EXAMPLES:
+def split_name(name: str, log: dict[str, float], unknown: float) -> list[str]:
+    """The likeliest words; a piece outside the lexicon costs more the longer it is.
+
+    ``log`` holds at least those words of the lexicon that occur in the name.
+    """
+    lengths = sorted({len(w) for w in log} | set(range(1, LETTERS + 1)))
+    best, back = [0.0], [0]
+    for end in range(1, len(name) + 1):
+        top = (-math.inf, 0)
+        for n in reversed(lengths):  # of equals the longest last word
+            if n > end:
+                continue
+            piece = name[end - n : end]
+            known = log.get(piece)
+            value = best[end - n] + (known if known is not None else unknown - 2.3 * n)
+            if value > top[0]:
+                top = (value, end - n)
+        best.append(top[0])
+        back.append(top[1])
+    out, end = [], len(name)
+    while end:
+        out.append(name[back[end] : end])
+        end = back[end]
+    return out[::-1]
+
+
+def _splitter(total: float):
+    def run(batches):
+        unknown = math.log(1 / total)
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+            names = batch.column("name").to_pylist()
+            words = [split_name(name, {w["word"]: math.log(w["n"] / total) for w in slice_ or ()}, unknown) for name, slice_ in zip(names, batch.column("slice").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(words, pa.list_(pa.string()))], names=["name", "words"])
+
+    return run
+
+
+def _names(rows: DataFrame) -> DataFrame:
+    """A row for each name of host labels and path, in order: the row's columns, at, name, apart; urls without names keep one."""
+    path = F.translate("path", UPPER, LOWER)
+    # Host labels as they lie between dots; what is hyphenated is shown apart.
+    labels = F.transform(F.split("host", r"\."), lambda x: F.transform(F.split(x, "[^a-z]+"), lambda w: F.struct(w.alias("name"), x.contains("-").alias("apart"))))
+    names = F.concat(F.flatten(labels), F.transform(F.split(path, "[^a-z]+"), lambda w: F.struct(w.alias("name"), F.lit(True).alias("apart"))))
+    return rows.select("*", F.posexplode_outer(F.filter(names, lambda x: x["name"] != "")).alias("at", "x")).select(
+        *rows.columns, "at", F.col("x.name").alias("name"), F.coalesce("x.apart", F.lit(False)).alias("apart")
+    )
+
+
+def _examples(spark, examples) -> DataFrame:
+    """(word, block, allow): occurrences among the example words."""
+    counts: dict[str, dict[str, int]] = {}
+    for label, line in examples:
         for w in line.split():
-            out[w] = out.get(w, 0.0) + base
-    return out
+            counts.setdefault(w, {"block": 0, "allow": 0})[label] += 1
+    return spark.createDataFrame([(w, c["block"], c["allow"]) for w, c in sorted(counts.items())], "word string, block long, allow long")
 
 
-_models: dict[int, tuple] = {}
+def lexicon(per_name: DataFrame, prior: DataFrame) -> tuple[DataFrame, float]:
+    """(word, n) and the sum of n: words shown apart, and example words, each as likely as a fairly frequent one."""
+    shown = per_name.filter("apart > 0").select(F.col("name").alias("word"), F.col("apart").cast("double").alias("n"))
+    base = 1 + (shown.agg(F.sum("n")).first()[0] or 0.0) / 1000
+    words = materialize(shown.unionByName(prior.select("word", ((F.col("block") + F.col("allow")) * base).alias("n"))).groupBy("word").agg(F.sum("n").alias("n")), "url-lexicon")
+    return words, words.agg(F.sum("n")).first()[0] or 1.0
 
 
-def _judge(shared, key: int):
-    def run(batches):
-        if key not in _models:
-            _models.clear()
-            _models[key] = (Words(shared.value), Bayes())
-        words, bayes = _models[key]
-        for batch in batches:
-            split, score = [], []
-            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                found = words_of(host, path, words)
-                split.append(" ".join(found))
-                score.append(bayes.score(found))
-            verdict = [a or ("block" if s > 0 else "allow") for a, s in zip(batch.column("action").to_pylist(), score, strict=True)]
-            columns = [*(batch.column(c) for c in ("page_id", "host", "path", "rule")), pa.array(verdict, pa.string()), pa.array(split, pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "host", "path", "rule", "verdict", "words", "log_odds"])
+def segmented(per_name: DataFrame, words: DataFrame, total: float) -> DataFrame:
+    """(name, words): every name with the words of the lexicon that its substrings are."""
+    long = [r[0] for r in words.filter(F.length("word") > LETTERS).select(F.length("word")).distinct().collect()]  # lengths, not words
+    lengths = F.array(*(F.lit(n) for n in [*range(1, LETTERS + 1), *sorted(long)]))
+    cuts = F.flatten(F.transform(F.filter(lengths, lambda n: n <= F.length("name")), lambda n: F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda i: F.substring("name", i, n))))
+    pieces = per_name.select("name", F.explode(F.array_distinct(cuts)).alias("word"))
+    slices = pieces.join(words, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("slice"))  # at most a name's substrings
+    return materialize(per_name.select("name").join(slices, "name", "left").mapInArrow(_splitter(total), "name string, words array<string>"), "url-segments")
 
-    return run
+
+def odds(per_name: DataFrame, segments: DataFrame, prior: DataFrame, weight: float = PRIOR) -> DataFrame:
+    """(word, odds): log-likelihood ratio of block to allow, with additive smoothing over the words that have counts."""
+    labelled = segments.join(per_name.filter("block + allow > 0").select("name", "block", "allow"), "name")
+    seen = labelled.select(F.explode("words").alias("word"), F.col("block").cast("double").alias("block"), F.col("allow").cast("double").alias("allow"))
+    both = seen.unionByName(prior.select("word", (F.col("block") * weight).alias("block"), (F.col("allow") * weight).alias("allow")))
+    counts = materialize(both.groupBy("word").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")), "url-counts")
+    n = counts.agg(F.count(F.lit(1)).alias("words"), F.sum("block").alias("block"), F.sum("allow").alias("allow")).first()
+    share = lambda c: (F.col(c) + SMOOTHING) / ((n[c] or 0.0) + SMOOTHING * n.words)
+    return counts.select("word", F.log(share("block") / share("allow")).alias("odds"))
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, examples=EXAMPLES, prior_block: float = PRIOR_BLOCK) -> DataFrame:
     """page_id, host, path, rule, verdict, words (as segmented), log_odds (of block, by the model)."""
-    shared = pages.sparkSession.sparkContext.broadcast(lexicon(pages))  # at most LEXICON_WORDS words and the examples
-    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select(F.col("page_id").cast("long"), "host", "path", "r.rule", "r.action")
-    return rows.mapInArrow(_judge(shared, shared._jbroadcast.id()), "page_id long, host string, path string, rule string, verdict string, words string, log_odds double")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "r.rule", "r.action")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "url-rows")
+    names = _names(rows)
+    ruled = sorted({w for _, rule in rules for w in re.split("[^a-z]+", rule.lower()) if w})
+    by_rule = lambda action: F.count_if((F.col("action") == action) & ~F.col("name").isin(*ruled))
+    per_name = names.filter("name IS NOT NULL").groupBy("name").agg(F.count_if("apart").alias("apart"), by_rule("block").alias("block"), by_rule("allow").alias("allow"))
+    per_name = materialize(per_name, "url-names")
+    prior = _examples(pages.sparkSession, examples)
+    segments = segmented(per_name, *lexicon(per_name, prior))
+    known = odds(per_name, segments, prior)
+    pieces = segments.select("name", F.posexplode("words").alias("place", "word"))
+    scored = pieces.filter(~F.col("name").isin(*ruled)).join(known, "word").groupBy("name").agg(F.sum("odds").alias("odds"))
+    scored = small(materialize(segments.join(scored, "name", "left"), "url-scores"))
+    judged = names.select("row", "at", "name").filter("name IS NOT NULL").join(scored, "name").groupBy("row").agg(
+        F.concat_ws(" ", F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"]))).alias("words"), F.sum("odds").alias("odds")
+    )
+    log_odds = F.lit(math.log(prior_block / (1 - prior_block))) + F.coalesce("odds", F.lit(0.0))
+    out = rows.join(judged, "row", "left").select("page_id", "host", "path", "rule", "action", F.coalesce("words", F.lit("")).alias("words"), log_odds.alias("log_odds"))
+    return out.select("page_id", "host", "path", "rule", F.coalesce("action", F.when(F.col("log_odds") > 0, "block").otherwise("allow")).alias("verdict"), "words", "log_odds")
