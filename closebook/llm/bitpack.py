@@ -99,7 +99,7 @@ class Encoder:
 
         self.tokenizer, self.end_id = Tokenizer.from_file(vocabulary), end_id
         self.width = width_of(self.tokenizer.get_vocab_size(with_added_tokens=True))
-        self.flat, self.index = np.zeros(0, np.uint32), WordIndex(self._describe, limit=96 << 20)
+        self.flat, self.index = np.zeros(0, np.uint32), WordIndex(self._describe, limit=64 << 20)
         made = json.loads(self.tokenizer.to_str())
         split = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         self.by_word = (

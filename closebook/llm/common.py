@@ -92,7 +92,7 @@ class WordIndex:
                 ids[w] = len(ids)
             rows = self.describe(fresh)
             self.columns = list(rows) if self.columns is None else [self._grow(i, r) for i, r in enumerate(rows)]
-            self.bytes += sum(map(len, fresh)) + 150 * len(fresh) + sum(r.nbytes for r in rows)
+            self.bytes += sum(map(len, fresh)) + 280 * len(fresh) + sum(r.nbytes for r in rows)
         return np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
 
     def _grow(self, i: int, rows: np.ndarray) -> np.ndarray:

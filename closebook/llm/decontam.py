@@ -2,12 +2,12 @@
 
 Texts and items are lower-cased (A-Z) and cut into words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. A window
 is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. The
-automaton's letters are words: it holds every distinct window as a sequence of word numbers and runs over a
-text's word numbers; a hit's place is a word range, and from there offsets in the original text.
+automaton holds every distinct window, framed by spaces, and runs over the text's words joined by single
+spaces; a hit's place is counted back to word numbers and from there to offsets in the original text.
 
-The items are a stated, small set. They are read through Spark and cut into blocks of at most ``BLOCK_NODES``
-words of windows, which bounds the automaton (about 80 bytes a node) in each Python worker; one block is the
-usual case, and more blocks mean more scans, not more memory. A block's automaton replaces the one before.
+The items are a stated, small set. They are read through Spark and cut into blocks of at most ``BLOCK_BYTES``
+of window text, which bounds the automaton (about 50 bytes a byte, 100 MB) in each Python worker; one block is
+the usual case, and more blocks mean more scans, not more memory. A block's automaton replaces the one before.
 
 Null text has no words. Items without words have no windows. Repeated items with one id count once; an item
 without an id marks words but is not counted. Empty tables give no rows or no hits. Extra columns are ignored.
@@ -25,15 +25,15 @@ from pyspark.sql import functions as F
 
 from .common import materialize, plain_words, remembered, texts, union_all
 
-BLOCK_NODES = 1_500_000
+BLOCK_BYTES = 2_000_000
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _REPORT = "row long, doc_id long, n_words long, begins array<long>, ends array<long>, items array<string>"
 
 
-def windows_of(words: list[bytes], window: int) -> list[tuple[bytes, ...]]:
+def windows_of(words: list[bytes], window: int) -> list[bytes]:
     if not words:
         return []
-    return [tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1))]
+    return [b" " + b" ".join(words[i : i + window]) + b" " for i in range(max(1, len(words) - window + 1))]
 
 
 def _blocks(items: DataFrame, window: int) -> Iterator[dict]:
@@ -42,7 +42,7 @@ def _blocks(items: DataFrame, window: int) -> Iterator[dict]:
     for row in items.select(F.col("item_id").cast("string"), F.col("text")).toLocalIterator():
         for w in windows_of(plain_words((row[1] or "").encode()), window):
             if w not in block:
-                if size + len(w) > BLOCK_NODES and block:
+                if size + len(w) > BLOCK_BYTES and block:
                     yield block
                     block, size = {}, 0
                 size += len(w)
@@ -51,23 +51,19 @@ def _blocks(items: DataFrame, window: int) -> Iterator[dict]:
         yield block
 
 
-class Machine:
-    """The automaton of one block, and the numbers of its words."""
+def automaton(block: dict):
+    """Of one block's windows; None for none."""
+    import ahocorasick
 
-    def __init__(self, block: dict):
-        import ahocorasick
+    machine = ahocorasick.Automaton()
+    for w, items in block.items():
+        machine.add_word(w.decode("latin-1"), (w.count(b" ") - 1, items))
+    machine.make_automaton()
+    return machine if len(machine) else None
 
-        self.numbers: dict[bytes, int] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for w, items in block.items():
-            self.automaton.add_word(tuple(self.numbers.setdefault(x, len(self.numbers) + 1) for x in w), (len(w), items))
-        if block:
-            self.automaton.make_automaton()
 
-    def hits(self, words: list[bytes]) -> Iterator[tuple[int, tuple[int, set]]]:
-        """(place of the last word, (length, items)) of each window in ``words``."""
-        number = self.numbers.get
-        return self.automaton.iter(tuple([number(w, 0) for w in words])) if self.numbers and words else iter(())
+def _joined(words: list[bytes]) -> str:
+    return " " + b" ".join(words).decode("latin-1") + " "
 
 
 class _Shared:
@@ -76,16 +72,20 @@ class _Shared:
     def __init__(self, broadcast, key: str):
         self.broadcast, self.key = broadcast, key
 
-    def machine(self) -> Machine:
-        return remembered(("windows", self.key), lambda: Machine(self.broadcast.value))
+    def machine(self):
+        return remembered(("windows", self.key), lambda: automaton(self.broadcast.value))
 
 
-def scan(machine: Machine, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-    """Hit word ranges [begin, end), merged and in order, and the items hit."""
+def scan(machine, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
+    """Hit word ranges [begin, end), merged and in order, and the items hit; no automaton, no hits."""
     ranges: list[tuple[int, int]] = []
     items: set = set()
-    for last, (n, ids) in machine.hits(words):
-        begin, stop = last + 1 - n, last + 1
+    if machine is None or not words:
+        return ranges, items
+    joined, seen, upto = _joined(words), 0, 0
+    for end, (n, ids) in machine.iter(joined):
+        seen, upto = seen + joined.count(" ", upto, end), end
+        begin, stop = seen - n, seen
         items |= ids
         while ranges and ranges[-1][1] >= begin:
             a, b = ranges.pop()
@@ -129,7 +129,7 @@ def _shared_blocks(sc, items: DataFrame, window: int) -> Iterator[_Shared]:
     for block in _blocks(items, window):
         key = hashlib.sha256()
         for w, ids in block.items():
-            key.update(b" ".join(w) + b"\n" + ",".join(sorted(map(str, ids))).encode() + b"\n")
+            key.update(w + b"\n" + ",".join(sorted(map(str, ids))).encode() + b"\n")
         yield _Shared(sc.broadcast(block), key.hexdigest())
 
 
@@ -177,7 +177,9 @@ def _clean(shared: _Shared):
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = shared.machine()
         for column in columns:
-            yield pa.array([next(iter(machine.hits(plain_words(raw or b""))), None) is None for raw in column.cast(pa.binary()).to_pylist()], pa.bool_())
+            raws = column.cast(pa.binary())
+            parts = (raws.slice(i, 64).to_pylist() for i in range(0, len(raws), 64))
+            yield pa.array([machine is None or next(machine.iter(_joined(plain_words(raw or b""))), None) is None for part in parts for raw in part], pa.bool_())
 
     return F.arrow_udf(run, "boolean")
 

@@ -154,9 +154,9 @@ def brute_hits(text, items, window=10):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block", [1_500_000, 60])
+@pytest.mark.parametrize("block", [2_000_000, 300])
 def test_decontamination_equals_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(decontam, "BLOCK_NODES", block)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
     rng = random.Random(2)
     items = [(i, words(rng, n, 60)) for i, n in enumerate((30, 12, 10, 4, 25))] + [(100, "Été über"), (101, ""), (102, None), (103, "?!")]
     texts = [None, "", "?!", "l'ÉTÉ Été  ÜBER été-über x", items[0][1].upper().replace(" ", ", "), f"{words(rng, 20)} {items[1][1]} {items[2][1]}", words(rng, 500, 60), items[0][1][:-1]] + [f"{words(rng, 50, 60)} {items[4][1]}"] * 2
@@ -317,6 +317,72 @@ def test_toxicity_learns_stems(spark):
     assert toxicity.score(table.limit(0), marks, held).count() == 0
 
 
+def test_toxicity_network_equals_plain_convolution_and_its_gradients():
+    net = toxicity.Network(3)
+    for k, w in net._weights().items():
+        setattr(net, k, w.astype(float)) if k in ("table", "out", "bias") else None
+    net.filters, net.biases = [f.astype(float) for f in net.filters], [b + 0.05 for b in map(np.float64, net.biases)]
+    flat, counts = toxicity.features([b"alpha", b"beta", b"gamma", b"of", b"\xc3\xa9t\xc3\xa9"])
+    assert counts.tolist() == [1 + 4, 1 + 3, 1 + 4, 1 + 1, 1 + 4]
+    texts = [np.array(t, dtype=np.int64) for t in ([0, 1, 2, 3, 4, 1], [2], [], [4, 4])]
+    y, offs = np.array([1.0, 0.0, 1.0, 0.0]), np.cumsum(counts) - counts
+
+    def plain(words):
+        """Every filter at every place of the padded text, the largest answer of each, a weighted sum."""
+        rows = [np.mean([net.table[i] for i in flat[offs[w] : offs[w] + counts[w]]], axis=0) for w in words]
+        rows += [np.zeros(toxicity.DIMS)] * toxicity.PAD
+        out = []
+        for f, b in zip(net.filters, net.biases, strict=True):
+            padded = rows + [np.zeros(toxicity.DIMS)] * toxicity.PAD
+            for k in range(toxicity.FILTERS):
+                out.append(max(0.0, *(sum(padded[i + j] @ f[j][:, k] for j in range(len(f))) + b[k] for i in range(len(rows)))))
+        return np.dot(out, net.out) + net.bias[0]
+
+    vectors = net.vectors(flat, counts)
+    z = net.raw_scores(vectors[np.concatenate(texts)], np.array([len(t) for t in texts]))
+    assert np.allclose(z, [plain(t) for t in texts], atol=1e-5)
+    loss = lambda: float(np.mean([np.log1p(np.exp(-(2 * a - 1) * plain(t))) for a, t in zip(y, texts, strict=True)]))
+    grads, (rows, g) = net.gradients(texts, y, flat, offs, counts)
+    rng = np.random.default_rng(0)
+    for weights, gradient in [(w, grads[k]) for k, w in net._weights().items() if k != "table"] + [(net.table, (rows, g))]:
+        for _ in range(6):
+            if isinstance(gradient, tuple):
+                i = rng.integers(len(rows))
+                at, want = (rows[i], rng.integers(toxicity.DIMS)), None
+                want = gradient[1][i][at[1]]
+            else:
+                at = tuple(rng.integers(n) for n in weights.shape)
+                want = gradient[at]
+            kept, step = weights[at], 1e-5
+            weights[at] = kept + step
+            up = loss()
+            weights[at] = kept - step
+            down = loss()
+            weights[at] = kept
+            assert abs((up - down) / (2 * step) - want) < 1e-5
+
+
+def test_toxicity_thresholds_are_drawn_together():
+    rng = np.random.default_rng(2)
+    lang, y = rng.integers(0, 3, 900), (rng.random(900) < 0.3).astype(float)
+    z = rng.normal(0, 1, 900) + 6 * y - 3 + np.array([0.0, 2.0, -1.0])[lang]
+    lang[:3], few = 3, toxicity.calibrated(z, y, np.ones(900), lang, 4)
+    assert few[1] > few[0] + 1 and few[2] < few[0] - 0.3 and abs(few[3] - few[:3].mean()) < 1.5
+    assert np.abs(toxicity.calibrated(z[:4], y[:4], np.ones(4), lang[:4], 4)).max() < 1.5
+
+
+def test_toxicity_bounds_its_sample_and_takes_odd_rows(spark):
+    rng = random.Random(15)
+    texts = [corpus(rng, "en", 30, ["zorking"] * 2 if i % 2 else ()) for i in range(60)]
+    texts[0] = "zorking " * 60_000  # longer than any text that is learned from
+    table = docs(spark, texts + texts[:5], ids=[*range(60), *range(5)])
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)] * 2, "doc_id long, toxic int")
+    net = toxicity.fit(table, marks, F.lit(True), class_bytes=8000)
+    assert net.trained
+    again = [r.score for r in toxicity.score(table, marks, F.lit(False)).orderBy("doc_id").collect()]
+    assert len(again) == 65 and all(again[2 * i] == again[2 * i + 1] for i in range(5))
+
+
 def test_quality_shrinks_sparse_sites(spark):
     rng = random.Random(6)
     texts, sources, labels = [], [], []
@@ -385,23 +451,143 @@ def test_near_copies_of_one_article_keep_their_text(spark):
     assert all(got[i] == " ".join(b) for i, b in enumerate(bodies))
 
 
-def test_simple_tree_matching_is_largest():
-    tree = lambda s: htmltext.parse(s)
-    a, b = tree("<div><p>1</p><ul><li>x</li><li>y</li></ul><p>2</p></div>"), tree("<div><ul><li>x</li></ul><p>2</p><table></table></div>")
-    n, pairs = htmltext.matched(a.kids, b.kids, lambda x: x.kids, lambda x: x.kids, lambda x: x.label, lambda x: x.label)
-    assert n == 4 and len(pairs) == 4
-    deep = tree("<div>" * 5000 + "x")
-    assert htmltext.extract("<div>" * 5000 + "x", None) == "x" and deep.kids
+def _most(a, b):
+    """Simple tree matching by trying everything."""
+    if not a or not b:
+        return 0
+    (x, *more_a), (y, *more_b) = a, b
+    best = max(_most(more_a, b), _most(a, more_b))
+    return max(best, 1 + _most(x.kids, y.kids) + _most(more_a, more_b)) if x.label == y.label else best
+
+
+def _random_tree(rng, depth=3):
+    return "".join(f"<{t}>{_random_tree(rng, depth - 1) if depth else ''}</{t}>" for t in (rng.choice(["div", "section", "main"]) for _ in range(rng.randrange(0, 4))))
+
+
+def test_simple_tree_matching_is_largest(monkeypatch):
+    monkeypatch.setattr(htmltext, "CELLS", 2)  # always in halves
+    rng = random.Random(21)
+    for _ in range(150):
+        a, b = htmltext.parse(_random_tree(rng)), htmltext.parse(_random_tree(rng))
+        pairs = htmltext.aligned(a, b)
+        assert len(pairs) == 1 + _most(a.kids, b.kids)
+        place_a, place_b = ({id(n): i for i, n in enumerate(htmltext.below(t))} for t in (a, b))
+        up = {id(k): n for t in (a, b) for n in htmltext.below(t) for k in n.kids}
+        met = {id(x): y for x, y in pairs}
+        assert all(x.label == y.label and (x is a or met[id(up[id(x)])] is up[id(y)]) for x, y in pairs)
+        order = sorted(pairs, key=lambda p: place_a[id(p[0])])
+        for (x, y), (v, w) in zip(order, order[1:], strict=False):
+            assert up.get(id(x)) is not up.get(id(v)) or place_b[id(y)] < place_b[id(w)]
+
+
+def test_wrappers_survive_storage_and_size():
+    rng = random.Random(22)
+    for _ in range(20):
+        wrapper = htmltext.as_wrapper(htmltext.parse(_random_tree(rng)))
+        stored = htmltext.unpacked(htmltext.packed(wrapper))
+        assert [(n.label, len(n.kids)) for n in htmltext.below(stored)] == [(n.label, len(n.kids)) for n in htmltext.below(wrapper)]
+    assert htmltext.extract("<div>" * 5000 + "x", None) == "x"
+    long = [f"<article>{''.join(f'<p>{i}</p>' if i % k else f'<h2>{i}</h2>' for i in range(6000))}</article>" for k in (5, 7)]
+    assert len(htmltext.extract(long[0], htmltext.unpacked(htmltext.packed(htmltext.induce(long)))).split()) == 6000
+
+
+@pytest.mark.parametrize("around", ['<article class="post no-comments">', '<article class="story share-enabled">', '<article class="post-header-image">', '<div class="layout with-sidebar">', '<div id="content" class="search-results">', '<main class="page no-sidebar">', '<div class="widget">'])
+def test_names_do_not_take_the_article(around):
+    tag = around[1:].split()[0]
+    page = f'<nav>Menu</nav>{around}<p class="share-price">First real paragraph.</p><p>Second one.</p><div class="related-posts"><p>See</p></div></{tag}><div class="cookie-notice">We</div><div class="ad-box">Buy</div><footer>f</footer>'
+    assert htmltext.extract(page, None) == "First real paragraph. Second one."
+
+
+def test_varying_slots_decide_where_the_content_is():
+    """Without names to go by, what pages of a host have in common is told from what varies; one page alone can't tell."""
+    rng = random.Random(23)
+    intro, legal = words(rng, 40), words(rng, 60)
+    page = lambda i: f"<div><div><div>{intro}</div></div><div><h1>Title {i}</h1><p>{words(rng, 20)} {i}</p><p>{words(rng, 25)} {i}</p></div><div><div>{legal}</div></div></div>"
+    pages = [page(i) for i in range(6)]
+    wrapper = htmltext.unpacked(htmltext.packed(htmltext.induce(pages[:5])))
+    text = re.sub(r" +", " ", re.sub(r"<[^>]*>", " ", re.search(r"<h1>.*</p>", pages[5])[0])).strip()
+    assert htmltext.extract(pages[5], wrapper) == text
+    assert intro in htmltext.extract(pages[5], None) and legal in htmltext.extract(pages[5], None)
+
+
+URLS = ["http://a.com/en/1", "https://EXAMPLE.com/en/7x?q=/", "http://www.example.net/de/8", "http://b.net/de/", "http://b.org/es/#t", "http://xcom/en/", "http://cheappills.example.com/x",
+        "http://citylibrary.example.org/fr/", None, "no scheme", "a://b://c/d", "http://free-bets.io", "http://x.example.net/de/8/" + "q" * 3000]
 
 
 def test_url_rules_and_words(spark):
-    urls = ["http://a.com/en/1", "https://EXAMPLE.com/en/7x?q=/", "http://www.example.net/de/8", "http://b.net/de/", "http://b.org/es/#t", "http://xcom/en/", "http://cheappills.example.com/x",
-            "http://citylibrary.example.org/fr/", None, "no scheme", "a://b://c/d", "http://free-bets.io"]
-    table = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
-    got = {r.page_id: r for r in urlfilter.judge(table).collect()}
+    table = spark.createDataFrame([(i, u, "h") for i, u in enumerate(URLS)] + [(6, URLS[6], "h")], "page_id long, url string, host string")
+    rows = urlfilter.judge(table).collect()
+    got = {r.page_id: r for r in rows}
+    assert len(rows) == len(URLS) + 1 and len({(r.verdict, r.log_odds) for r in rows if r.page_id == 6}) == 1
     assert [got[i].rule for i in range(6)] == ["com/en/", "example.com/en/7", "example.net/de/8", "net/de/", "org/es/", None]
-    assert [got[i].verdict for i in range(5)] == ["block", "allow", "block", "allow", "block"]
+    assert [got[i].verdict for i in range(5)] == ["block", "allow", "block", "allow", "block"] and got[12].rule == "example.net/de/8"
     assert (got[1].host, got[1].path, got[10].host, got[10].path) == ("example.com", "/en/7x", "b:", "//c/d")
     assert got[6].words.startswith("cheap pills") and got[6].verdict == "block" and got[11].verdict == "block"
     assert got[7].verdict == "allow" and (got[8].host, got[8].path, got[8].verdict) == ("", "", "allow") and got[9].host == ""
     assert urlfilter.judge(table.limit(0)).count() == 0
+
+
+def _plain_rule(url):
+    """Host, path and rule, read character by character."""
+    before, mark, rest = (url or "").partition("://")
+    if not mark:
+        return "", "", None
+    n = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest))
+    host, rest = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:n]), rest[n:]
+    path = rest[: next((i for i, c in enumerate(rest) if c in "?#"), len(rest))]
+    fits = [r for _, r in urlfilter.RULES if ("." + host).endswith("." + r.partition("/")[0]) and path.startswith("/" + r.partition("/")[2])]
+    return host, path, max(fits, key=len, default=None)
+
+
+def _every_split(name):
+    return [[name]] + [[name[:i], *rest] for i in range(1, len(name)) for rest in _every_split(name[i:])]
+
+
+def test_url_model_equals_brute_force(spark):
+    """Rules, the likeliest segmentation of all, and naive Bayes by plain counting; a word of 30 letters is one word."""
+    rng = random.Random(31)
+    long, stems = "pneumonoultramicroscopicsilico", ["red", "fox", "foxy", "run", "den", "sun"]
+    urls = list(URLS[:12]) + [f"http://{''.join(rng.sample(stems, 2))}.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['en', 'de', 'es', 'fr'])}/{rng.choice(stems)}-{rng.choice(stems)}" for _ in range(60)]
+    urls += [f"http://{long}.org/x", f"http://red{long}.org/es/{long}"]
+    table = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in urlfilter.judge(table).collect()}
+    ruled = {w for _, r in urlfilter.RULES for w in re.split("[^a-z]+", r) if w}
+    action = {r: a for a, r in urlfilter.RULES}
+    names = lambda h, p: [n for n in re.split("[^a-z]+", h + "/" + p.lower()) if n]
+    lexicon, prior, counts = Counter(), Counter(), {}
+    for a, line in urlfilter.EXAMPLES:
+        for w in line.split():
+            prior[w] += 1
+            counts.setdefault(w, {"block": 0.0, "allow": 0.0})[a] += urlfilter.PRIOR
+    plain = [_plain_rule(u) for u in urls]
+    for host, path, _ in plain:
+        lexicon.update(n for label in host.split(".") if "-" in label for n in re.split("[^a-z]+", label) if n)
+        lexicon.update(n for n in re.split("[^a-z]+", path.lower()) if n)
+    base = 1 + sum(lexicon.values()) / 1000
+    for w, n in prior.items():
+        lexicon[w] += n * base
+    total = sum(lexicon.values())
+    log, unknown = {w: np.log(n / total) for w, n in lexicon.items()}, np.log(1 / total)
+    value = lambda words: sum(log[w] if w in log else unknown - 2.3 * len(w) for w in words)
+    for i, (host, path, rule) in enumerate(plain):
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
+        at = 0
+        words_ = got[i].words.split()
+        for name in names(host, path):
+            own = []
+            while len("".join(own)) < len(name):
+                own.append(words_[at])
+                at += 1
+            assert "".join(own) == name
+            if len(name) <= 12:
+                assert value(own) >= max(map(value, _every_split(name))) - 1e-9
+            if rule and name not in ruled:
+                for w in own:
+                    counts.setdefault(w, {"block": 0.0, "allow": 0.0})[action[rule]] += 1
+    sums = {a: sum(c[a] for c in counts.values()) + urlfilter.SMOOTHING * len(counts) for a in ("block", "allow")}
+    odds = {w: np.log((c["block"] + urlfilter.SMOOTHING) / sums["block"]) - np.log((c["allow"] + urlfilter.SMOOTHING) / sums["allow"]) for w, c in counts.items()}
+    for i, (host, path, rule) in enumerate(plain):
+        pieces = {n: urlfilter.split_name(n, log, unknown) for n in names(host, path) if n not in ruled}
+        want = np.log(urlfilter.PRIOR_BLOCK / (1 - urlfilter.PRIOR_BLOCK)) + sum(odds.get(w, 0.0) for n in names(host, path) if n not in ruled for w in pieces[n])
+        assert abs(got[i].log_odds - want) < 1e-9 and got[i].verdict == (action[rule] if rule else "block" if want > 0 else "allow")
+    assert got[len(urls) - 2].words.startswith(long) and got[len(urls) - 1].words.split()[:2] == ["red", long]
