@@ -285,6 +285,69 @@ def test_language_mixtures(spark):
     assert langid.identify(docs(spark, ["abc"], [None]), F.lit(False)).first().lang_pred == "und"
 
 
+def test_mixture_equals_plain_expectation_maximisation():
+    """Proportions by EM written out, and the language set that the penalised likelihood picks among all nested ones."""
+    rng = np.random.default_rng(6)
+    langs, buckets = ["a", "b", "c"], np.arange(300)
+    n = rng.integers(0, 200, (3, 300)) * (rng.random((3, 300)) < 0.4)
+    at = np.nonzero(n)
+    model = langid.Model(langs, at[0], at[1], n[at])
+    p = (n + 0.5) / (n.sum(1, keepdims=True) + 0.5 * langid.BUCKETS)
+    for trial in range(20):
+        share = rng.dirichlet([0.4] * 3)
+        drawn = rng.choice(300, 400, p=(share @ (n / n.sum(1, keepdims=True))))
+        found, times = np.unique(drawn, return_counts=True)
+        rows = (p / p.max(0))[:, found].T
+
+        def plain(columns):
+            pi = [1 / len(columns)] * len(columns)
+            for _ in range(30):
+                new = [0.0] * len(columns)
+                for row, t in zip(rows.tolist(), times.tolist(), strict=True):
+                    whole = sum(q * row[c] for q, c in zip(pi, columns, strict=True))
+                    for k, c in enumerate(columns):
+                        new[k] += t * pi[k] * row[c] / whole
+                new = [x / times.sum() for x in new]
+                done, pi = max(abs(x - y) for x, y in zip(new, pi, strict=True)) < 1e-3, new
+                if done:
+                    break
+            pi = [x / sum(pi) for x in pi]
+            return pi, sum(t * np.log(sum(q * row[c] for q, c in zip(pi, columns, strict=True))) for row, t in zip(rows.tolist(), times.tolist(), strict=True))
+
+        assert np.allclose(model.rows(found), rows)
+        pi, _ = langid.proportions(model.rows(found), times)
+        assert np.allclose(pi, plain([0, 1, 2])[0])
+        order = sorted(range(3), key=lambda c: -pi[c])
+        value = {k: plain(order[:k])[1] / 3 - (k - 1) * 0.5 * np.log(400) for k in (1, 2, 3)}
+        best = max(value, key=lambda k: (value[k], -k))
+        chosen, parts = _mixture_of(drawn, model)
+        assert sorted(chosen) == sorted(order[:best]) and np.allclose(sorted(parts), sorted(plain(order[:best])[0]))
+
+
+def _mixture_of(drawn, model):
+    """``mixture`` for given trigram buckets."""
+    kept = langid.grams
+    langid.grams = lambda raw: drawn
+    try:
+        return langid.mixture(b"x", model)
+    finally:
+        langid.grams = kept
+
+
+def test_language_of_long_and_repeated_texts(spark):
+    rng = random.Random(16)
+    texts = [corpus(rng, x, 80) for x in ("en", "de", "fr") * 20] + ["Straße über " * 40_000, "a" * 500_000]
+    langs = ["en", "de", "fr"] * 20 + [None, None]
+    table = docs(spark, texts + texts[:4], langs + [None] * 4, ids=[*range(62), *range(4)])
+    rows = langid.identify(table, F.lit(False)).collect()
+    assert len(rows) == 66
+    for i in range(4):
+        assert len({(r.lang_pred, r.score) for r in rows if r.doc_id == i}) == 1
+    tie = langid.Model(["a", "b"], np.array([0, 1]), np.array([5, 5]), np.array([9, 9]))
+    kept = langid.proportions(tie.rows(np.array([5, 7])), np.array([3, 1]))[0]
+    assert kept[0] == kept[1] and _mixture_of(np.array([5, 5, 7]), tie)[0] == [0]
+
+
 def test_every_language_is_learned(spark):
     rng = random.Random(14)
     names = [f"l{i:02}" for i in range(80)]
@@ -407,6 +470,96 @@ def test_quality_shrinks_sparse_sites(spark):
     assert quality.classify(table, marks.limit(0), F.lit(True), F.col("source"), F.col("lang")).first().score == 0.5
 
 
+def _plain_quality(table, marks, rows):
+    """The same classifier in plain Python; Spark only hashes."""
+    import math
+    from statistics import fmean
+
+    import regex
+
+    hashes = {}
+    for r in table.select("doc_id", F.transform(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(quality.BUCKETS))).alias("b"),
+                          F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).alias("h")).collect():
+        hashes[r.doc_id] = (sorted(set(r.b)), r.h)
+    known = {}
+    for i, q, _ in marks:
+        if i is not None and q is not None:
+            known[i] = max(known.get(i, 0), q)
+    count = lambda p, t: len(regex.findall(p, t))
+    step = lambda x, w: min(math.floor(x / w), 40)
+
+    def bins(t, i):
+        words, lines = [w for w in regex.split(r"\s+", t.lower()) if w], [x for x in t.split("\n") if x]
+        n, length = max(1, len(words)), float(max(1, len(t)))
+        own, half = hashes[i]
+        ratios = []
+        good = [g for j, g in known.items() if j in hashes and hashes[j][1] != half]
+        for b in own:
+            with_b = [g for j, g in known.items() if j in hashes and hashes[j][1] != half and b in hashes[j][0]]
+            ratios.append(math.log((sum(with_b) + 1) / (sum(good) + 2) * (len(good) - sum(good) + 2) / (len(with_b) - sum(with_b) + 1)) if with_b else 0.0)
+        return (
+            step(count(r"[^\p{L}\p{N}\s]", t) / n, 0.1), step(count(r"[^\p{L}\p{N}\s]{2,}", t) / n, 0.05), step(count(r"\p{N}", t) / length, 0.02), step(count(r"\p{Lu}", t) / n, 0.05),
+            step(length / n, 0.5), math.floor(math.log2(n)), step(len(set(words)) / n, 0.05), step(len(set(lines)) / max(1, len(lines)), 0.1),
+            max(-100, min(100, math.floor(sum(ratios) / max(1, len(own)) / 0.02))),
+        )
+
+    binned = {i: bins(t or "", i) for i, t, _, _ in rows}
+    total = [known[i] for i in binned if i in known]
+    n, good = len(total), sum(total)
+    rate = (good + 1) / (n + 2)
+    evidence = dict.fromkeys(binned, 0.0)
+    for k in range(9):
+        cells = {}
+        for i, b in binned.items():
+            if i in known:
+                cells.setdefault(b[k], []).append(known[i])
+        width = len(cells) + 1
+        for i, b in binned.items():
+            c = cells.get(b[k])
+            if c:
+                evidence[i] += quality.TEMPER * math.log((sum(c) + 1) / (good + width) / ((len(c) - sum(c) + 1) / (n - good + width)))
+    logit, sigmoid = lambda p: math.log(p / (1 - p)), lambda x: 1 / (1 + math.exp(-x))
+    p = {i: float(known[i]) if i in known else sigmoid(evidence[i] + logit(rate)) for i in binned}
+    sites = {}
+    for i, _, h, path in rows:
+        sites.setdefault(h, {}).setdefault(path, []).append(p[i])
+    overall = fmean(p.values())
+
+    def weight(groups):
+        """``groups``: (n, sum, mean it is held against)."""
+        ss, k = sum(m * (g / m - mean) ** 2 for m, g, mean in groups), len(groups)
+        m, nn, within = sum(x[0] for x in groups), sum(x[0] ** 2 for x in groups), fmean(x[2] * (1 - x[2]) for x in groups)
+        return min(max(within / max((ss - (k - 1) * within) / max(m - nn / m, 1.0), 1e-6) - 1, 1.0), 1e6)
+
+    whole = {h: [x for own in paths.values() for x in own] for h, paths in sites.items()}
+    w = weight([(len(x), sum(x), overall) for x in whole.values()])
+    host = {h: (sum(x) + w * overall) / (len(x) + w) for h, x in whole.items()}
+    w = weight([(len(x), sum(x), host[h]) for h, paths in sites.items() for x in paths.values()])
+    path = {(h, q): (sum(x) + w * host[h]) / (len(x) + w) for h, paths in sites.items() for q, x in paths.items()}
+    return {i: (evidence[i], host[h], path[h, q], sigmoid(evidence[i] + logit(min(max(path[h, q], 1e-6), 1 - 1e-6)))) for i, _, h, q in rows}
+
+
+def test_quality_equals_plain_counting(spark):
+    rng = random.Random(41)
+    vocabulary = {1: "calm river stone field letter garden window".split(), 0: "click win offer bonus !!! $$$ 100% free".split()}
+    rows, marks = [], []
+    for i in range(140):
+        good, h = int(rng.random() < 0.6), rng.choice(["a", "b", "c", None])
+        text = " ".join(rng.choice(vocabulary[good if rng.random() < 0.8 else 1 - good]) for _ in range(rng.randrange(1, 40))) + rng.choice(["", "\nfooter\nfooter", " ÉTÉ 12"])
+        rows.append((i, text, h, rng.choice(["en", "de", None])))
+        if i % 3:
+            marks.append((i, good, 0))
+    rows += [(140, None, "d", "en"), (141, "", None, None), (142, "offer " * 20_000, "a", "en")]
+    marks += [marks[0], (None, 1, 0), (5, None, 0)]
+    table = docs(spark, [r[1] for r in rows], [r[3] for r in rows], [r[2] for r in rows])
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: (r.doc_evidence, r.host_rate, r.path_rate, r.score) for r in quality.classify(table, labels, F.lit(True), F.col("source"), F.col("lang")).collect()}
+    want = _plain_quality(table, marks, rows)
+    assert got.keys() == want.keys()
+    for i, x in want.items():
+        assert np.allclose(got[i], x, atol=1e-9), (i, got[i], x)
+
+
 # Pages.
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
