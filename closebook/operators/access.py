@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..sources.sinks import LOGGED, AuditSink, MemoryLog
 
 # Permissions of each role.
 VIEWER = frozenset({"read:transactions", "read:exceptions", "read:forecast"})
@@ -63,29 +68,37 @@ class Tokens:
         return found
 
 
-@dataclass
 class Resolutions:
-    """Human decisions on the exceptions of a batch; a repeated idempotency key replays the first answer."""
+    """Human decisions on the exceptions of a batch, kept in the batch's audit log.
+
+    A repeated idempotency key is answered from the log, also by another session, and applied once. Who may
+    not decide is refused before the key is looked up.
+    """
 
-    found: object  # DataFrame of exceptions
-    groups: object  # DataFrame of candidate groupings
-    log: list[dict] = field(default_factory=list)
-    _by_key: dict[str, dict] = field(default_factory=dict)
+    def __init__(self, found: DataFrame, groups: DataFrame, log: AuditSink | None = None):
+        """``found``: exceptions; ``groups``: their candidate groupings; ``log``: a sink of audit entries."""
+        self.found, self.groups, self.log = found, groups, log if log is not None else MemoryLog()
 
     def resolve(self, subject_id: str, principal: Principal, note: str, candidate: int | None = None, key: str | None = None) -> dict:
-        if self.found.filter(self.found.subject_id == subject_id).limit(1).count() == 0:
+        row = self.found.filter(F.col("subject_id") == subject_id).first()
+        if row is None:
             raise NotFound(subject_id)
         principal.require("write:resolve_exception")
         if candidate is not None:
             principal.require("write:approve_money_movement")
-            offered = self.groups.filter(self.groups.deposit_id == subject_id).count()
+            offered = self.groups.filter(F.col("deposit_id") == subject_id).count()
             if not 0 <= candidate < offered:
                 raise BadCandidate(f"{candidate} of {offered}")
-        if key is not None and key in self._by_key:
-            return self._by_key[key]
+        if key is not None and (earlier := self.find(key)) is not None:
+            return earlier | {"replayed": True}
+        spark = self.found.sparkSession
         decision = "exception_raised" if candidate is None else "match_made"
-        entry = {"decision": decision, "actor": principal.subject, "subjects": [subject_id], "reason": note, "candidate": candidate}
-        self.log.append(entry)
-        if key is not None:
-            self._by_key[key] = entry
-        return entry
+        told = f"resolved by {principal.role}: {note}"
+        self.log.write(spark.createDataFrame([(8, decision, f"human:{principal.subject}", [subject_id], told, None, None, row.at_risk, row.currency, candidate, key)], LOGGED))
+        return {"subject_id": subject_id, "decision": decision, "actor": f"human:{principal.subject}", "reason": told, "candidate": candidate, "replayed": False}
+
+    def find(self, key: str) -> dict | None:
+        """The logged answer to an idempotency key."""
+        entries = self.log.read()
+        row = None if entries is None else entries.filter(F.col("idempotency_key") == key).first()
+        return None if row is None else {"subject_id": row.subjects[0], "decision": row.decision, "actor": row.actor, "reason": row.reason, "candidate": row.candidate}

@@ -11,11 +11,11 @@ from .matching import describe
 ENTRY = ["phase", "decision", "actor", "subjects", "reason", "confidence", "tier", "amount_minor", "currency"]
 
 
-def _entries(rows: DataFrame, phase: int, decision: str, actor: str, subjects: Column, reason: Column, **more: Column) -> DataFrame:
+def _entries(rows: DataFrame, phase: int, decision: str, actor: str | Column, subjects: Column, reason: Column, **more: Column) -> DataFrame:
     null = lambda kind: F.lit(None).cast(kind)
     kinds = {"confidence": "double", "tier": "string", "amount_minor": "bigint", "currency": "string"}
     return rows.select(
-        F.lit(phase).alias("phase"), F.lit(decision).alias("decision"), F.lit(actor).alias("actor"), subjects.cast("array<string>").alias("subjects"),
+        F.lit(phase).alias("phase"), F.lit(decision).alias("decision"), (actor if isinstance(actor, Column) else F.lit(actor)).alias("actor"), subjects.cast("array<string>").alias("subjects"),
         reason.cast("string").alias("reason"), *(more.get(k, null(t)).cast(t).alias(k) for k, t in kinds.items()),
     )
 
@@ -29,15 +29,16 @@ def trail(report: DataFrame, rejects: DataFrame, edges: DataFrame, found: DataFr
     counted = describe(edges).join(edges.filter("side = 'right'").select("match_id", "txn_id"), "match_id")
     subject = F.array("subject_id")
     refused = found.filter("candidates > 0")
+    closing = edges.agg(F.count_distinct("txn_id").alias("matched")).join(F.broadcast(found.agg(F.count(F.lit(1)).alias("raised"), F.coalesce(F.sum("at_risk"), F.lit(0)).alias("at_risk"))))  # one row each
     parts = [
         _entries(report, 0, "batch_started", "pipeline", none, F.format_string("%d rows received", "total_in")),
         _entries(report, 1, "record_ingested", "pipeline", none, F.format_string("%d rows accepted", "accepted")),
         _entries(report.filter("deduplicated > 0"), 2, "record_deduplicated", "pipeline", none, F.format_string("%d re-imports dropped", "deduplicated")),
-        _entries(rejects, 3, "record_rejected", "pipeline", F.array(F.concat_ws(":", "source", "locator")), F.col("reason")),
-        _entries(counted, 4, "match_made", "matcher", F.array("txn_id"), F.format_string("%s of %d rows", "pass", F.col("n_left") + F.col("n_right")), confidence=F.col("confidence"), tier=F.col("tier")),
-        _entries(refused, 5, "match_refused", "exceptions", subject, F.format_string("%d candidates, none certain", "candidates")),
-        _entries(found, 6, "exception_raised", "exceptions", subject, F.col("category"), amount_minor=F.col("at_risk"), currency=F.col("currency")),
-        _entries(report, 7, "batch_completed", "pipeline", none, F.lit("batch completed")),
+        _entries(rejects, 3, "record_rejected", F.concat(F.lit("connector."), "source"), F.array(F.concat_ws(":", "source", "locator")), F.col("reason")),
+        _entries(counted, 4, "match_made", F.concat(F.lit("matcher."), "tier"), F.array("txn_id"), F.format_string("%s of %d rows", "pass", F.col("n_left") + F.col("n_right")), confidence=F.col("confidence"), tier=F.col("tier")),
+        _entries(refused, 5, "match_refused", F.concat(F.lit("exception."), "category"), subject, F.format_string("%d candidates, none certain", "candidates")),
+        _entries(found, 6, "exception_raised", F.concat(F.lit("exception."), "category"), subject, F.col("category"), amount_minor=F.col("at_risk"), currency=F.col("currency")),
+        _entries(closing, 7, "batch_completed", "pipeline", none, F.format_string("%d records matched, %d exceptions, %d minor units at risk", "matched", "raised", "at_risk")),
     ]
     return union_all(parts)
 

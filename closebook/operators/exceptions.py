@@ -130,13 +130,34 @@ def cascade(rows: DataFrame, unresolved: DataFrame, lines: DataFrame, anomalies:
     return union_all(typed)
 
 
+#: Why an exception of each category is one, and what to do about it; by direction where that matters.
+REASONS = {
+    "one_to_many": ("groups of settlement lines add up to this deposit, and no reference tells them apart", "confirm the group from the payout advice"),
+    "duplicate": ("a matched bank row has the same party and amount on a near day", "check whether this is a second payment, and recover it if so"),
+    "fx": ("no bank row is near the amount converted at the recorded rate", "check the rate that was applied on the day"),
+    "settled_never_received": ("the settlement report has this payout, the bank has not", "ask the gateway where the payout is"),
+    "no_counterpart inbound": ("nothing on another source accounts for this money in", "find the party and the missing entry"),
+    "no_counterpart outbound": ("nothing on another source accounts for this payment", "find the party and the missing entry"),
+}
+
+
+def explained(found: DataFrame) -> DataFrame:
+    """``found`` with ``reason`` and ``suggestion``."""
+    key = F.when(F.col("category") == "no_counterpart", F.concat_ws(" ", "category", "direction")).otherwise(F.col("category"))
+    texts = F.create_map(*[x for k, (why, what) in REASONS.items() for x in (F.lit(k), F.struct(F.lit(why).alias("why"), F.lit(what).alias("what")))])
+    told = found.withColumn("told", F.try_element_at(texts, key))
+    counted = F.when(F.col("category") == "one_to_many", F.concat(F.col("candidates").cast("string"), F.lit(" "), "told.why")).otherwise(F.col("told.why"))
+    return told.select(*found.columns, counted.alias("reason"), F.col("told.what").alias("suggestion"))
+
+
 def unexplained(unresolved: DataFrame, found: DataFrame) -> DataFrame:
     """Records that are neither matched nor the subject of an exception; there must be none."""
     return unresolved.join(found.select(F.col("subject_id").alias("txn_id")), "txn_id", "left_anti").select("txn_id")
 
 
 def by_type(found: DataFrame) -> DataFrame:
-    return found.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum("at_risk").alias("at_risk"))
+    """Types with their numbers and money at risk, the most frequent first."""
+    return found.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum("at_risk").alias("at_risk")).orderBy(F.desc("n"), "type")
 
 
 def by_type_and_currency(found: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.money import band, fx_to_inr
 from ..functions.text import collapsed
 from ..schema import BAND, FX_TOLERANCE, LAG_DAYS, PASSES
+from ..storage import materialize
 
 EDGES = "match_id string, pass string, side string, txn_id string"
 
@@ -117,29 +118,71 @@ def _greedy_group(frame):
     return pd.DataFrame(out, columns=["left_id", "right_id"])
 
 
+def _contested(book: DataFrame, bank: DataFrame, strict: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both sides without the pairs of the strict mode, which the ordered claims make too and nothing else can touch."""
+    strict = materialize(strict, "strict")
+    done = strict.select("txn_id")
+    return book.join(done, "txn_id", "left_anti"), bank.join(done, "txn_id", "left_anti"), strict
+
+
 def economic_pair_greedy(rows: DataFrame, resolved: DataFrame) -> DataFrame:
-    """The ordered variant: all candidates of a gl row share its key, so claims never cross keys.
+    """The ordered variant: a ledger row takes its only bank row that no earlier one has taken.
 
-    A key is one task's work; use it where keys are selective, and the strict mode elsewhere.
+    The strict pairs come first. A day of a key with two or more free bank rows can never be claimed from, as
+    every claim needs a single candidate, so rows that see such a day are out, and each day left has one bank
+    row at most. What is still contested is replayed by key and run of days; of entries that follow each other
+    on one day only the first can claim, so the others are dropped before anything is gathered.
     """
     book, bank = _sides(rows.withColumn("party", collapsed(F.col("counterparty"))), resolved, F.lit(True), F.lit(True))
-    both = book.unionByName(bank).select("source", "seq", "txn_id", F.unix_date("value_date").alias("day"), F.lit(0).cast("bigint").alias("amount"), *ECONOMIC)
-    return _edges(both.groupBy(*ECONOMIC).applyInPandas(lambda f: _greedy_group(f), "left_id string, right_id string"), "economic_pair")
+    book, bank, strict = _contested(book, bank, economic_pair(rows, resolved))
+    days = F.explode(F.sequence(F.lit(0), F.lit(LAG_DAYS))).alias("lag")
+    per_day = bank.groupBy(*ECONOMIC, F.col("value_date").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.min("txn_id").alias("bank_id"), F.min("seq").alias("bank_seq"))
+    per_day = materialize(per_day, "bank-days")
+    seen = book.select("txn_id", "seq", *ECONOMIC, "value_date", days).withColumn("day", F.date_add("value_date", F.col("lag"))).join(per_day, [*ECONOMIC, "day"])
+    able = seen.groupBy("txn_id", "seq", *ECONOMIC, "value_date").agg(F.max("n").alias("most")).filter("most = 1").drop("most")
+    before = F.lag("value_date").over(Window.partitionBy(*ECONOMIC).orderBy("seq"))
+    able = able.withColumn("before", before).filter("before IS NULL OR before <> value_date").drop("before")
+    single = per_day.filter("n = 1").select(*ECONOMIC, F.col("day").alias("value_date"), F.col("bank_id").alias("txn_id"), F.col("bank_seq").alias("seq")).join(able.select(*ECONOMIC).distinct(), ECONOMIC, "left_semi")
+    both = able.withColumn("source", F.lit("gl")).unionByName(single.withColumn("source", F.lit("bank"))).withColumns({"day": F.unix_date("value_date"), "amount": F.lit(0).cast("bigint")})
+    found = both.groupBy(*ECONOMIC).applyInPandas(lambda f: _greedy_group(f), "left_id string, right_id string")
+    return strict.unionByName(_edges(found, "economic_pair"))
 
 
 def fx_greedy(rows: DataFrame, resolved: DataFrame) -> DataFrame:
-    """The ordered variant: amounts further apart than the tolerance part the rows into closed islands.
+    """The ordered variant of the converted range join, for rows that the strict mode leaves contested.
 
-    The islands need the amounts of a direction in order, in one task: the variant is for residues that the
-    strict mode leaves, of foreign currency only, not for whole batches.
+    Only foreign entries with a candidate, and bank rows near one, are replayed. Cells as wide as the tolerance
+    part them into closed islands: rows more than one empty cell apart can't meet.
     """
-    book, bank = _sides(rows, resolved, F.col("currency") != "INR", F.col("currency") == "INR")
-    book = book.withColumn("amount", fx_to_inr(F.col("amount_minor"), F.col("currency"))).filter("amount IS NOT NULL")
-    both = book.unionByName(bank.withColumn("amount", F.col("amount_minor"))).select("source", "seq", "txn_id", "direction", F.unix_date("value_date").alias("day"), "amount")
-    order = Window.partitionBy("direction").orderBy("amount", "seq")
-    gap = (F.col("amount") - F.lag("amount", 1).over(order) > FX_TOLERANCE).cast("int")
-    island = both.withColumn("island", F.sum(F.coalesce(gap, F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return _edges(island.groupBy("direction", "island").applyInPandas(lambda f: _greedy_group(f), "left_id string, right_id string"), "fx")
+    strict = materialize(fx(rows, resolved), "strict")
+    done = resolved.unionByName(strict.select("txn_id")).distinct()
+    book, bank, near = fx_candidates(rows, done)
+    near = materialize(near.select("left_id", "direction", "value_date", "amount_minor").distinct(), "fx-near")
+    book = book.join(near.select(F.col("left_id").alias("txn_id")).distinct(), "txn_id", "left_semi").withColumn("amount", F.col("expected"))
+    bank = bank.join(near.select("direction", "value_date", "amount_minor").distinct(), ["direction", "value_date", "amount_minor"], "left_semi").withColumn("amount", F.col("amount_minor"))
+    both = materialize(book.unionByName(bank, allowMissingColumns=True).select("source", "seq", "txn_id", "direction", F.unix_date("value_date").alias("day"), "amount", band(F.col("amount"), FX_TOLERANCE + 1).alias("cell")), "fx-contested")
+    cells = both.select("direction", "cell").distinct()  # of contested rows; neighbours have one number
+    numbered = cells.withColumn("island", F.col("cell") - F.row_number().over(Window.partitionBy("direction").orderBy("cell")))
+    found = both.join(numbered, ["direction", "cell"]).groupBy("direction", "island").applyInPandas(lambda f: _greedy_group(f), "left_id string, right_id string")
+    return strict.unionByName(_edges(found, "fx"))
+
+
+def reasons(edges: DataFrame, rows: DataFrame) -> DataFrame:
+    """(match_id, reason): the evidence behind each match, in words."""
+    known = edges.join(rows.select("txn_id", "source", "external_ref", "amount_minor", "currency", "direction", "value_date", "group_ref"), "txn_id")
+    side = lambda s, c: F.when(F.col("side") == s, F.col(c))
+    one = known.groupBy("match_id", "pass").agg(
+        F.count(side("left", "txn_id")).alias("n"), F.sum(side("left", "amount_minor")).alias("total"), F.min(side("left", "source")).alias("source"), F.min(side("left", "currency")).alias("currency"),
+        F.min(side("left", "direction")).alias("direction"), F.min(side("left", "value_date")).alias("booked"), F.min(side("left", "group_ref")).alias("group_ref"),
+        F.min(side("right", "external_ref")).alias("ref"), F.min(side("right", "amount_minor")).alias("amount"), F.min(side("right", "value_date")).alias("paid"),
+    )
+    text = (
+        F.when(F.col("pass") == "parent_ref", F.concat(F.lit("exact: the "), "source", F.lit(" row names gl entry "), "ref"))
+        .when(F.col("pass") == "group_ref", F.concat(F.lit("exact: "), F.col("n").cast("string"), F.lit(" lines of "), "group_ref", F.lit(" add up to the bank's "), F.col("amount").cast("string")))
+        .when(F.col("pass") == "economic_pair", F.concat(F.lit("rule: "), F.col("amount").cast("string"), F.lit(" "), "currency", F.lit(" "), "direction", F.lit(", same party, T+"), F.datediff("paid", "booked").cast("string")))
+        .otherwise(F.concat(F.lit("rule: "), F.col("total").cast("string"), F.lit(" "), "currency", F.lit(" is "), fx_to_inr(F.col("total"), F.col("currency")).cast("string"), F.lit(" INR, the bank has "), F.col("amount").cast("string")))
+    )
+    return one.select("match_id", text.alias("reason"))
 
 
 def describe(edges: DataFrame) -> DataFrame:

@@ -1,10 +1,18 @@
-"""Filtered pages over a run: keyset paging, so that no page is skipped or repeated and none scans the others."""
+"""Filtered pages over a run. Cursors are opaque and hold the last row's key, so no page is skipped or repeated and none
+scans the others."""
 
 from __future__ import annotations
 
+import base64
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .exceptions import explained
+from .matching import describe, reasons
+
 LIMIT, MOST = 100, 500
 TRANSACTION = ["txn_id", "source", "external_ref", "amount_minor", "currency", "fee_minor", "tax_minor", "direction", "value_date", "posted_at", "status", "counterparty", "parent_ref", "group_ref"]
 
@@ -27,26 +35,88 @@ def _where(df: DataFrame, **wanted) -> DataFrame:
     return df
 
 
+@dataclass(frozen=True)
+class Page:
+    """Rows of one page, and the opaque cursor of the next, which is None on the last."""
+
+    items: list
+    next: str | None
+
+
+#: List -> its order, as (column, descending?).
+ORDERS = {
+    "transactions": (("txn_id", False),),
+    "exceptions": (("at_risk", True), ("subject_id", False)),
+    "matches": (("match_id", False),),
+    "audit": (("phase", False), ("subject", False), ("reason", False)),
+    "cash": (("day", False),),
+}
+
+
+def _cursor(values: list) -> str:
+    return base64.urlsafe_b64encode(json.dumps(values, default=str).encode()).decode()
+
+
+def _opened(cursor: str, n: int) -> list:
+    try:
+        values = json.loads(base64.urlsafe_b64decode(cursor.encode()))
+    except ValueError:
+        raise BadPage("no page has this cursor") from None
+    if not isinstance(values, list) or len(values) != n:
+        raise BadPage("no page has this cursor")
+    return values
+
+
+def rows_after(df: DataFrame, name: str, cursor: str | None) -> DataFrame:
+    """The rows of a list behind a cursor, in the list's order."""
+    order = ORDERS[name]
+    if cursor is not None:
+        behind, equal = F.lit(False), F.lit(True)
+        for (c, down), value in zip(order, _opened(cursor, len(order)), strict=True):
+            at = F.lit(value).cast(df.schema[c].dataType)
+            behind = behind | (equal & ((F.col(c) < at) if down else (F.col(c) > at)))
+            equal = equal & (F.col(c) == at)
+        df = df.filter(behind)
+    return df.orderBy(*(F.desc(c) if down else F.asc(c) for c, down in order))
+
+
+def page(df: DataFrame, name: str, cursor: str | None = None, limit: int = LIMIT) -> Page:
+    """One page of a list; one row more than asked for tells whether there is another."""
+    limit = _limit(limit)
+    found = rows_after(df, name, cursor).limit(limit + 1).collect()
+    items = found[:limit]
+    return Page(items, _cursor([items[-1][c] for c, _ in ORDERS[name]]) if len(found) > limit else None)
+
+
+def transactions(rows: DataFrame, source: str | None = None) -> DataFrame:
+    return _where(rows.select(*TRANSACTION), source=source)
+
+
 def transactions_page(rows: DataFrame, source: str | None = None, after: str | None = None, limit: int = LIMIT) -> DataFrame:
-    page = _where(rows.select(*TRANSACTION), source=source)
-    return (page.filter(F.col("txn_id") > after) if after is not None else page).orderBy("txn_id").limit(_limit(limit))
+    return rows_after(transactions(rows, source), "transactions", None if after is None else _cursor([after])).limit(_limit(limit))
 
 
 def exceptions_page(found: DataFrame, type: str | None = None, severity: str | None = None, after: tuple[int, str] | None = None, limit: int = LIMIT) -> DataFrame:
     """Most money at risk first; ``after`` is (at_risk, subject_id) of the last row seen."""
-    page = _where(found, type=type, severity=severity)
-    if after is not None:
-        page = page.filter((F.col("at_risk") < after[0]) | ((F.col("at_risk") == after[0]) & (F.col("subject_id") > after[1])))
-    return page.orderBy(F.desc("at_risk"), "subject_id").limit(_limit(limit))
+    return rows_after(_where(found, type=type, severity=severity), "exceptions", None if after is None else _cursor(list(after))).limit(_limit(limit))
 
 
 def matches_page(matches: DataFrame, tier: str | None = None, after: str | None = None, limit: int = LIMIT) -> DataFrame:
-    page = _where(matches, tier=tier)
-    return (page.filter(F.col("match_id") > after) if after is not None else page).orderBy("match_id").limit(_limit(limit))
+    return rows_after(_where(matches, tier=tier), "matches", None if after is None else _cursor([after])).limit(_limit(limit))
+
+
+def audit_list(entries: DataFrame, decision: str | None = None) -> DataFrame:
+    """Entries with the key that orders them; equal keys are one place, so repeated entries stay on one page."""
+    return _where(entries, decision=decision).withColumns({"subject": F.concat_ws(",", "subjects"), "reason": F.coalesce("reason", F.lit(""))})
+
+
+def audit_page(entries: DataFrame, decision: str | None = None, after: str | None = None, limit: int = LIMIT) -> DataFrame:
+    return rows_after(audit_list(entries, decision), "audit", after).drop("subject").limit(_limit(limit))
 
 
-def audit_page(entries: DataFrame, decision: str | None = None, limit: int = LIMIT) -> DataFrame:
-    return _where(entries, decision=decision).orderBy("phase", F.concat_ws(",", "subjects"), "reason").limit(_limit(limit))
+def exception(found: DataFrame, subject_id: str):
+    """Point lookup: the exception of a subject, or None."""
+    return found.filter(F.col("subject_id") == subject_id).first()
 
 
 def summary(rows: DataFrame, edges: DataFrame, found: DataFrame) -> DataFrame:
@@ -57,6 +127,21 @@ def summary(rows: DataFrame, edges: DataFrame, found: DataFrame) -> DataFrame:
     return total.join(F.broadcast(matched)).join(F.broadcast(open_))  # one row each
 
 
+def wire_matches(edges: DataFrame, rows: DataFrame) -> DataFrame:
+    """Matches as they are served: pass, tier, confidence, sizes and the reason."""
+    return describe(edges).join(reasons(edges, rows), "match_id")
+
+
+def wire_exceptions(found: DataFrame) -> DataFrame:
+    """Exceptions as they are served: money as one struct, with reason and suggestion."""
+    return money_out(explained(found), "at_risk")
+
+
+def totals(found: DataFrame) -> DataFrame:
+    """Money at risk and number of exceptions by currency."""
+    return found.groupBy("currency").agg(F.count(F.lit(1)).alias("n"), F.sum("at_risk").alias("at_risk")).orderBy("currency")
+
+
 def money_out(df: DataFrame, amount: str = "amount_minor") -> DataFrame:
     """The wire form of money: one struct of amount and currency."""
     return df.withColumn("money", F.struct(F.col(amount).alias("amount_minor"), "currency")).drop(amount, "currency")

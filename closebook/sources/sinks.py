@@ -7,12 +7,14 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOGGED = "phase int, decision string, actor string, subjects array<string>, reason string, confidence double, tier string, amount_minor long, currency string"
+LOGGED = "phase int, decision string, actor string, subjects array<string>, reason string, confidence double, tier string, amount_minor long, currency string, candidate int, idempotency_key string"
 
 
 class AuditSink(Protocol):
     def write(self, entries: DataFrame) -> None: ...
 
+    def read(self) -> DataFrame | None: ...
+
 
 def as_lines(entries: DataFrame) -> DataFrame:
     return entries.select(F.to_json(F.struct(*entries.columns)).alias("value"))
@@ -28,6 +30,10 @@ class JsonLog:
         as_lines(entries).write.mode("append").text(self.path)
 
     def read(self) -> DataFrame:
+        """All entries; none yet is an empty table."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], LOGGED)
         return self.spark.read.schema(LOGGED).json(self.path)
 
     def __len__(self) -> int:
@@ -41,7 +47,7 @@ class MemoryLog:
         self.entries: DataFrame | None = None
 
     def write(self, entries: DataFrame) -> None:
-        self.entries = entries if self.entries is None else self.entries.unionByName(entries)
+        self.entries = entries if self.entries is None else self.entries.unionByName(entries, allowMissingColumns=True)
 
     def read(self) -> DataFrame | None:
         return self.entries

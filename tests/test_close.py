@@ -189,7 +189,11 @@ def test_access_and_resolutions(spark):
         desk.resolve("gl:l1", viewer, "n")
     with pytest.raises(BadCandidate):
         desk.resolve("gl:l1", controller, "n", candidate=0)
-    assert desk.resolve("gl:l1", controller, "n", key="k") is desk.resolve("gl:l1", controller, "other", key="k")
+    first, again = desk.resolve("gl:l1", controller, "n", key="k"), desk.resolve("gl:l1", controller, "other", key="k")
+    assert (first["replayed"], again["replayed"]) == (False, True) and first | {"replayed": True} == again
+    assert [(r.actor, r.amount_minor, r.currency, r.reason) for r in desk.log.read().collect()] == [("human:c", 100_000, "INR", "resolved by controller: n")]
+    with pytest.raises(Denied):
+        desk.resolve("gl:l1", viewer, "n", key="k")
     assert Principal("x", "admin").permissions == controller.permissions and not Principal("x", "nobody").permissions
     tokens = Tokens()
     tokens.add("a" * 16, viewer)
@@ -198,6 +202,67 @@ def test_access_and_resolutions(spark):
         tokens.add("short", viewer)
 
 
+def test_resolutions_survive_their_session(spark, tmp_path):
+    close = Close(rows(spark, ("gl", "l1", {})))
+    log = JsonLog(spark, str(tmp_path / "decisions"))
+    assert len(log) == 0
+    Resolutions(close.found, close.groupings, log).resolve("gl:l1", Principal("c", "controller"), "n", key="k")
+    again = Resolutions(close.found, close.groupings, JsonLog(spark, str(tmp_path / "decisions"))).resolve("gl:l1", Principal("c", "controller"), "m", key="k")
+    assert again["replayed"] and again["reason"] == "resolved by controller: n" and len(log) == 1
+
+
+def test_cursors_walk_every_list(spark):
+    close = Close(rows(spark, *[("gl", f"l{i:02}", {"amount": 100 * (1 + i % 3)}) for i in range(7)]))
+    seen, cursor = [], None
+    while True:
+        page = serving.page(close.found, "exceptions", cursor, limit=3)
+        seen += [r.subject_id for r in page.items]
+        if (cursor := page.next) is None:
+            break
+    assert seen == [r.subject_id for r in sorted(close.found.collect(), key=lambda r: (-r.at_risk, r.subject_id))] and len(seen) == 7
+    entries = spark.createDataFrame([(p, "d", ["s"], r) for p in (1, 2) for r in ("a", None)], "phase int, decision string, subjects array<string>, reason string")
+    first = serving.page(serving.audit_list(entries), "audit", limit=3)
+    assert [(r.phase, r.reason) for r in serving.page(serving.audit_list(entries), "audit", first.next).items] == [(2, "a")]
+    with pytest.raises(serving.BadPage):
+        serving.page(close.found, "exceptions", "nonsense")
+    assert serving.exception(close.found, "gl:l03").at_risk == 100 and serving.exception(close.found, "gl:x") is None
+
+
+def test_greedy_equals_a_plain_replay(spark):
+    """Claims in list order over all unresolved rows, one after another, as the passes are described."""
+    import random
+
+    for seed in range(3):
+        rng = random.Random(seed)
+        specs = [(rng.choice(["gl", "bank"]), f"r{i}", {"amount": rng.choice([100, 200]), "days": rng.randrange(8), "cp": rng.choice("ab")}) for i in range(60)]
+        specs += [("gl", f"f{i}", {"currency": "USD", "amount": 1000 + rng.randrange(6), "days": rng.randrange(5)}) for i in range(15)]
+        specs += [("bank", f"g{i}", {"amount": 83_200 + rng.randrange(500), "days": rng.randrange(7), "cp": "z"}) for i in range(15)]
+        table = rows(spark, *specs)
+        held = [r.asDict() for r in table.orderBy("seq").collect()]
+        days = lambda a, b: (b["value_date"] - a["value_date"]).days
+
+        def replay(book, bank, near):
+            taken, out = set(), set()
+            for e in book:
+                free = [b["txn_id"] for b in bank if b["txn_id"] not in taken and 0 <= days(e, b) <= 2 and e["direction"] == b["direction"] and near(e, b)]
+                if len(free) == 1:
+                    taken.add(free[0])
+                    out |= {(e["txn_id"], free[0])}
+            return out
+
+        def pairs(edges):
+            sides = {}
+            for r in edges.collect():
+                sides.setdefault(r.match_id, {})[r.side] = r.txn_id
+            return {(x["left"], x["right"]) for x in sides.values()}
+
+        same = lambda e, b: (e["currency"], e["amount_minor"], e["counterparty"]) == (b["currency"], b["amount_minor"], b["counterparty"])
+        book, bank = ([r for r in held if r["source"] == s] for s in ("gl", "bank"))
+        assert pairs(matching.economic_pair_greedy(table, nothing(spark))) == replay(book, bank, same)
+        foreign = [e | {"expected": round(e["amount_minor"] * 83.2)} for e in book if e["currency"] != "INR"]
+        assert pairs(matching.fx_greedy(table, nothing(spark))) == replay(foreign, bank, lambda e, b: abs(b["amount_minor"] - e["expected"]) <= 100)
+
+
 def test_audit_log_appends(spark, tmp_path):
     log = JsonLog(spark, str(tmp_path / "log"))
     entry = spark.sql("select 0 as phase, 'batch_started' as decision, 'p' as actor, array('bank:U1') as subjects, 'r' as reason, cast(null as double) as confidence, cast(null as string) as tier, 1L as amount_minor, 'INR' as currency")
