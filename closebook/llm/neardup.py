@@ -17,8 +17,8 @@ reaches ``threshold``; a component is what links connect.
 4. In lists whose members are still apart, those outside the list's commonest component are held against
    all members, in blocks of bounded size: the union-sketch estimate of each pair with different labels
    filters, and what passes goes to step 5. Members of one component never meet again, so a family of
-   copies costs its stragglers times its size. Nothing is capped, and no block emits pairs that the estimate
-   rejects or that are joined already.
+   copies costs its stragglers times its size. Sketches that hold whole sets leave no doubt: of such pairs a
+   block passes on only as many as join its components, and none that those join already. Nothing is capped.
 5. Candidates are confirmed on the full sets. The side that many pairs have in common is joined last, so its
    set is sent once for each task, not for each pair.
 
@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .common import WordIndex, ascii_words, materialize, passing, remembered, shared_dir, small, texts
 
-SHINGLE, INDEX_K, ESTIMATE_K, LOST, SIGMAS = 5, 64, 256, 1e-8, 6.0
+SHINGLE, INDEX_K, ESTIMATE_K, LOST, SIGMAS, BITS = 5, 64, 1024, 1e-8, 6.0, 0.01
 BLOCK = 1000
 _SKETCH = "doc_id long, n_shingles long, set_id binary, retained array<long>, sketch binary"
 
@@ -227,16 +227,43 @@ def _block_pairs(percent: int, cut: float):
         good = shared >= np.float32(cut) * both
         # Sketches that hold their whole sets need no margin but for values that agree in 32 bits.
         whole = np.array([len(s) < ESTIMATE_K for s in ska], bool)[:, None] & np.array([len(s) < ESTIMATE_K for s in skb], bool)[None, :]
-        good &= ~whole | (shared >= np.float32(max(cut, percent / 100 - 0.01)) * both)
+        good &= ~whole | (shared >= np.float32(max(cut, percent / 100 - BITS)) * both)
         good &= la[:, None] != lb[None, :]
         good &= 100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])
-        i, j = np.nonzero(good)
+        sure = good & whole & (shared >= np.float32(percent / 100 + BITS) * both)
+        i, j = _needed(good, sure, la, lb)
         a, b = np.minimum(ra[i], rb[j]), np.maximum(ra[i], rb[j])
         return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
     return run
 
 
+def _needed(good: np.ndarray, sure: np.ndarray, la: np.ndarray, lb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of candidate pairs between members with labels ``la`` and ``lb`` those that can still join anything.
+
+    Pairs that are sure join labels; of those only a spanning forest is needed, and no other pair within it.
+    """
+    labels, codes = np.unique(np.concatenate([la, lb]), return_inverse=True)
+    ca, cb, n = codes[: len(la)], codes[len(la) :], len(labels)
+    i, j = np.nonzero(sure)
+    key, first = np.unique(np.minimum(ca[i], cb[j]) * n + np.maximum(ca[i], cb[j]), return_index=True)
+    near = np.zeros((n, n), bool)
+    near[key // n, key % n] = near[key % n, key // n] = True
+    group, tree = np.full(n, -1), []
+    for start in range(n):
+        if group[start] >= 0:
+            continue
+        group[start], reached = start, [start]
+        while len(reached):
+            fresh = np.flatnonzero(near[reached].any(0) & (group < 0))
+            group[fresh] = start
+            tree += [(min(u, v), max(u, v)) for v in fresh for u in [reached[int(near[reached, v].argmax())]]]
+            reached = fresh
+    kept = first[np.searchsorted(key, [u * n + v for u, v in tree])] if tree else np.zeros(0, np.int64)
+    open_i, open_j = np.nonzero(good & ~sure & (group[ca][:, None] != group[cb][None, :]))
+    return np.concatenate([i[kept], open_i]), np.concatenate([j[kept], open_j])
+
+
 def _overlaps(ska: list[np.ndarray], skb: list[np.ndarray], width: int = 2048) -> np.ndarray:
     """Common values of each pair of sketches, by products of incidence matrices a few columns at a time."""
     va, vb = np.concatenate(ska or [np.zeros(0, np.uint32)]), np.concatenate(skb or [np.zeros(0, np.uint32)])

@@ -42,3 +42,19 @@ def test_pipeline(spark):
     assert len(clean & set(ids[1])) >= 0.95 * len(clean) and len(toxic & set(ids[1])) < len(toxic)
     tokens = corpus_pipeline.run(spark, SF)
     assert sorted(r.doc_id for r in tokens.collect()) == ids[-1]
+
+
+def test_pipeline_on_empty_and_odd_tables(spark, tmp_path):
+    """No documents at all, and documents with nulls everywhere, repeated rows and one very long text."""
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "a b c d e f g", None, None, 13), (2, "a b c d e f g", None, None, 13), (3, "w" * 200_000 + " x" * 200_000, "en", "s", 600_000)]
+    for rows, want in (([], []), (odd, ["1", "2", "3", "None"])):
+        seen = spark.createDataFrame(rows, docs.schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            seen = stage(spark, seen, str(tmp_path))
+            assert seen.columns == docs.columns
+        got = {str(r[0]) for r in seen.select("doc_id").collect()}
+        assert got <= set(want) and ("3" in got) == ("3" in want)
+        assert corpus_pipeline.STAGES[-1][1](spark, seen, str(tmp_path)).count() == seen.count()

@@ -117,6 +117,27 @@ def test_block_pairs_split_large_lists(spark, monkeypatch):
     assert [got[i] for i in range(24)] == brute_components(texts)[1]
 
 
+def test_pairs_that_join_nothing_new_are_left_out():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        la, lb = rng.integers(0, 9, 12), rng.integers(0, 9, 10)
+        good = (rng.random((12, 10)) < 0.25) & (la[:, None] != lb[None, :])
+        sure = good & (rng.random(good.shape) < 0.5)
+        i, j = neardup._needed(good, sure, la, lb)
+        assert good[i, j].all()
+
+        def joined(pairs):
+            label = {x: x for x in range(9)}
+            for a, b in pairs:
+                old, new = label[la[a]], label[lb[b]]
+                label = {k: new if v == old else v for k, v in label.items()}
+            return sorted(sorted(k for k in label if label[k] == v) for v in set(label.values()))
+
+        assert joined(zip(i, j, strict=True)) == joined(zip(*np.nonzero(good), strict=True))
+        forest = sure[i, j]
+        assert joined(zip(i[forest], j[forest], strict=True)) == joined(zip(*np.nonzero(sure), strict=True)) and forest.sum() <= 8
+
+
 def test_least_shared_values_follow_the_threshold(spark):
     assert [neardup.shared_least(p) for p in (100, 85)] == [64, 36]
     rng = random.Random(12)
@@ -177,6 +198,19 @@ def test_decontamination_spans_and_empty_tables(spark):
     assert decontam.report(docs(spark, ["a"]).limit(0), bench).count() == 0
 
 
+def test_long_texts_are_read_whole(spark):
+    """What stands at the very end of a long text counts like anything else."""
+    rng = random.Random(19)
+    item = words(rng, 14, 9000)
+    long = words(rng, 150_000, 9000)
+    table = docs(spark, [f"{long} {item}", f"{long} {item} {item}", long])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit) for r in decontam.report(table, bench).collect()}
+    assert got == {0: (150_014, 14), 1: (150_028, 28), 2: (150_000, 0)}
+    assert {r.component_id for r in neardup.near_duplicates(table).collect()} == {0}
+    assert {r.doc_id: r.size for r in mixing.mix(table).collect()} == {0: 150_014, 1: 150_028, 2: 150_000}
+
+
 # Exact search.
 
 
