@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .common import WordIndex, ascii_words, materialize, passing, remembered, shared_dir, small, texts
 
-SHINGLE, INDEX_K, ESTIMATE_K, LOST, SIGMAS, BITS = 5, 64, 1024, 1e-8, 6.0, 0.01
+SHINGLE, INDEX_K, ESTIMATE_K, LOST, SIGMAS, BITS = 5, 64, 512, 1e-8, 6.0, 0.01
 BLOCK = 1000
 _SKETCH = "doc_id long, n_shingles long, set_id binary, retained array<long>, sketch binary"
 
@@ -215,11 +215,11 @@ def _block_pairs(percent: int, cut: float):
         left = frame if own else frame[frame["part"] == key[1]]
         right = frame if own else frame[frame["part"] == key[2]]
         sides = []
-        for f in (left, right):
+        for f in (left,) if own else (left, right):
             sk = [np.frombuffer(x, np.uint32) for x in f["sketch"]]
             upto = np.array([s[-1] if len(s) >= ESTIMATE_K else 0xFFFFFFFF for s in sk], dtype=np.uint32)
             sides.append((f["rep"].to_numpy(), f["label"].to_numpy(), f["n_shingles"].to_numpy(), sk, upto))
-        (ra, la, na, ska, ua), (rb, lb, nb, skb, ub) = sides
+        (ra, la, na, ska, ua), (rb, lb, nb, skb, ub) = sides[0], sides[-1]
         shared = _overlaps(ska, skb)
         in_a = np.stack([np.searchsorted(s, ub, "right").astype(np.int16) for s in ska]) if len(ska) else np.zeros((0, len(skb)), np.int16)
         in_b = np.stack([np.searchsorted(s, ua, "right").astype(np.int16) for s in skb]).T if len(skb) else np.zeros((len(ska), 0), np.int16)
@@ -268,7 +268,11 @@ def _overlaps(ska: list[np.ndarray], skb: list[np.ndarray], width: int = 2048) -
     """Common values of each pair of sketches, by products of incidence matrices a few columns at a time."""
     va, vb = np.concatenate(ska or [np.zeros(0, np.uint32)]), np.concatenate(skb or [np.zeros(0, np.uint32)])
     ia, ib = np.repeat(np.arange(len(ska)), [len(s) for s in ska]), np.repeat(np.arange(len(skb)), [len(s) for s in skb])
-    common = np.intersect1d(va, vb)
+    if ska is skb:  # a value of one member only is in no pair
+        common, held = np.unique(va, return_counts=True)
+        common = common[held > 1]
+    else:
+        common = np.intersect1d(va, vb)
     pa_, pb_ = np.searchsorted(common, va), np.searchsorted(common, vb)
     oka = (pa_ < len(common)) & (common[np.minimum(pa_, len(common) - 1)] == va) if len(common) else np.zeros(len(va), bool)
     okb = (pb_ < len(common)) & (common[np.minimum(pb_, len(common) - 1)] == vb) if len(common) else np.zeros(len(vb), bool)
