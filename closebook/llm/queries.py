@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bitpack, decontam, htmltext, langid, mixing, neardup, quality, runs, secretscan, topk, toxicity, urlfilter
+from . import alignment, bitpack, decontam, htmltext, langid, mixing, neardup, quality, runs, secretscan, topk, toxicity, urlfilter
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op10_pack_tokens(spark, sf_dir):
     return bitpack.read_digests(spark, bitpack.write_tokens(table(spark, sf_dir, "documents")))
 
 
+def op11_align_tokenizers(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def op12_scan_secrets(spark, sf_dir):
     return secretscan.report(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,6 @@ def op13_find_runs(spark, sf_dir):
     return runs.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_score_quality, op2_identify_language, op3_mix_sources, op4_score_toxicity, op5_near_duplicates, op6_extract_text, op7_filter_urls, op8_topk_search, op9_decontaminate, op10_pack_tokens, op12_scan_secrets, op13_find_runs)}
+QUERIES = {f.__name__: f for f in (op1_score_quality, op2_identify_language, op3_mix_sources, op4_score_toxicity, op5_near_duplicates, op6_extract_text, op7_filter_urls, op8_topk_search, op9_decontaminate, op10_pack_tokens, op11_align_tokenizers, op12_scan_secrets, op13_find_runs)}
 
 ORACLES = {"op3_mix_sources": mixing.ORACLE_SQL, "op5_near_duplicates": neardup.ORACLE_SQL, "op8_topk_search": topk.ORACLE_SQL, "op9_decontaminate": decontam.ORACLE_SQL}
