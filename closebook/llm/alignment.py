@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import WordIndex, materialize, remembered
 
-BLOCK_BYTES, CHUNK = 4 << 20, 1 << 20
+BLOCK_BYTES, CHUNK, DESCRIBED = 2 << 20, 1 << 19, 1 << 14
 SPACE = "▁"
 # Unicode's white space, and how a vocabulary must split texts to be encoded stretch by stretch.
 _WHITE = "\\t-\\r\\x85\\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + f"{chr(0x2000)}-{chr(0x200A)}"
@@ -72,6 +74,7 @@ class Both:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         self.a, self.b = Tokenizer.from_file(a), sentencepiece.SentencePieceProcessor(model_file=b)
         self.a.encode_special_tokens = True
         letters = byte_letters()
@@ -87,35 +90,52 @@ class Both:
             made["normalizer"] is None and made["pre_tokenizer"] == _SPLIT and all(x["special"] for x in made["added_tokens"])
             and not any(SPACE in p.lstrip(SPACE) for p in pieces) and pieces[self.blank] == SPACE and self.b.normalize(_PROBE) == (" " + _PROBE).replace(" ", SPACE)
         )
+        self.raw, self.starts, self.sizes = {}, {}, {}
+        for name, known in (("a", self.a_bytes), ("b", self.b_bytes)):
+            self.raw[name] = np.frombuffer(b"".join(known), dtype=np.uint8)
+            self.sizes[name] = np.fromiter(map(len, known), np.int32, len(known))
+            self.starts[name] = np.cumsum(self.sizes[name]) - self.sizes[name]
         widest = max(len(self.a_bytes), len(self.b_bytes))
         self.width = len(str(widest - 1))
         self.digits = np.array([[ord(c) for c in str(i).rjust(self.width)] for i in range(widest)], dtype=np.uint8)
         self.n_digits = np.array([len(str(i)) for i in range(widest)], dtype=np.int64)
-        self.index = WordIndex(self._describe, limit=48 << 20)
-        self._forget()
-
-    def _forget(self) -> None:
-        none = np.zeros(0, np.int64)
-        self.flat = {"a": none, "a_size": none, "b": none, "b_size": none}
+        self.index = WordIndex(self._describe, limit=40 << 20)
+        self.flat: dict[str, np.ndarray] = {}
 
     def _describe(self, words: list[str]) -> list[np.ndarray]:
         """Per stretch: where its A and B ids begin and how many there are, its bytes, and whether its bytes come back."""
         if self.index.columns is None:
-            self._forget()
+            self.flat = {"a": np.zeros(0, np.int32), "b": np.zeros(0, np.int32)}
+        parts = [self._described(words[i : i + DESCRIBED]) for i in range(0, len(words), DESCRIBED)]
+        return [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+    def _described(self, words: list[str]) -> list[np.ndarray]:
         a = [x.ids for x in self.a.encode_batch_fast(words, add_special_tokens=False)]
         b = self.b.encode([w[1:] for w in words], num_threads=1)
-        out = []
         if self.by_stretch:
             b = [ids or [self.blank] for ids in b]  # a space alone
-        for name, found, known in (("a", a, self.a_bytes), ("b", b, self.b_bytes)):
+        raw = [w.encode() for w in words]
+        joined, sizes = np.frombuffer(b"".join(raw), dtype=np.uint8), np.fromiter(map(len, raw), np.int64, len(raw))
+        out, same = [], np.ones(len(words), dtype=bool)
+        for name, found in (("a", a), ("b", b)):
             counts = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter((i for x in found for i in x), np.int64, counts.sum())
+            ids = np.fromiter(chain.from_iterable(found), np.int32, counts.sum())
             out += [len(self.flat[name]) + np.cumsum(counts) - counts, counts]
             self.flat[name] = np.concatenate([self.flat[name], ids])
-            self.flat[f"{name}_size"] = np.concatenate([self.flat[f"{name}_size"], np.fromiter((len(known[i]) for i in ids.tolist()), np.int64, len(ids))])
-        raw = [w.encode() for w in words]
-        same = [r == b"".join([self.a_bytes[i] for i in x]) == b"".join([self.b_bytes[i] for i in y]) for r, x, y in zip(raw, a, b, strict=True)]
-        return [*out, np.fromiter(map(len, raw), np.int64, len(raw)), np.array(same, dtype=bool)]
+            same &= self._comes_back(name, ids, counts, joined, sizes)
+        return [*out, sizes, same]
+
+    def _comes_back(self, name: str, ids: np.ndarray, counts: np.ndarray, joined: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """For each stretch, whether its ids' bytes are its own."""
+        own = self.sizes[name][ids]
+        upto = np.r_[0, np.cumsum(own, dtype=np.int64)]
+        spelt = self.raw[name][np.repeat(self.starts[name][ids] - upto[:-1], own) + np.arange(upto[-1])]
+        begins = upto[np.cumsum(counts) - counts]
+        same = upto[np.cumsum(counts)] - begins == sizes
+        at = np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(len(joined))
+        unlike = spelt[np.minimum(at, len(spelt) - 1)] != joined if len(spelt) else np.ones(len(joined), dtype=bool)
+        wrong = np.r_[0, np.cumsum(unlike)]
+        return same & (wrong[np.cumsum(sizes)] == wrong[np.cumsum(sizes) - sizes])
 
     def stretches(self, text: str) -> list[str]:
         """Of a text that begins with a space."""
@@ -132,7 +152,7 @@ class Both:
                 words += found
         at = self.index(words)
         if not words:
-            return {k: np.zeros(0, np.int64) for k in self.flat}, counts
+            return {k: np.zeros(0, np.int64) for k in ("a", "a_size", "b", "b_size")}, counts
         a0, n_a, b0, n_b, sizes, same = (c[at] for c in self.index.columns)
         owner = np.repeat(np.arange(len(texts)), counts)
         odd = np.unique(owner[~same])
@@ -142,7 +162,8 @@ class Both:
         for name, starts, n in (("a", a0[good], n_a[good]), ("b", b0[good], n_b[good])):
             ends = np.cumsum(n)
             place = np.repeat(starts - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
-            ids[name], ids[f"{name}_size"] = self.flat[name][place], self.flat[f"{name}_size"][place]
+            ids[name] = self.flat[name][place]
+            ids[f"{name}_size"] = self.sizes[name][ids[name]]
         if not self.by_stretch:
             self.index.clear()
         return ids, lengths
@@ -191,8 +212,8 @@ def block_of(both: Both, docs: list, texts: list, keep: bool = False) -> dict:
     ids, sizes = both(texts)
     doc_ends = np.cumsum(sizes)
     total = int(doc_ends[-1]) if len(doc_ends) else 0
-    a_at = np.bincount(np.cumsum(ids["a_size"]), minlength=total + 1).astype(bool)
-    b_at = np.bincount(np.cumsum(ids["b_size"]), minlength=total + 1).astype(bool)
+    a_at = np.bincount(np.cumsum(ids["a_size"], dtype=np.int64), minlength=total + 1).astype(bool)
+    b_at = np.bincount(np.cumsum(ids["b_size"], dtype=np.int64), minlength=total + 1).astype(bool)
     bounds = np.flatnonzero(a_at | b_at)
     is_a, is_b = a_at[bounds], b_at[bounds]
     del a_at, b_at
@@ -205,7 +226,7 @@ def block_of(both: Both, docs: list, texts: list, keep: bool = False) -> dict:
     cuts = np.flatnonzero(cut)
     a_group, b_group = n_cut[:-1][is_a], n_cut[:-1][is_b]
     b_before, a_upto = np.r_[0, n_b[1:][cuts]], n_a[1:][cuts]
-    order, mark = np.empty(n_a[-1] + n_b[-1], dtype=np.int64), np.empty(n_a[-1] + n_b[-1], dtype=np.uint8)
+    order, mark = np.empty(n_a[-1] + n_b[-1], dtype=np.int32), np.empty(n_a[-1] + n_b[-1], dtype=np.uint8)
     a_place, b_place = np.arange(n_a[-1]) + b_before[a_group], np.arange(n_b[-1]) + a_upto[b_group]
     order[a_place], order[b_place] = ids["a"], ids["b"]
     mark[a_place], mark[b_place] = np.where(cut[is_a], ord("|"), ord(",")), np.where(cut[is_b], ord(";"), ord(","))
@@ -214,7 +235,7 @@ def block_of(both: Both, docs: list, texts: list, keep: bool = False) -> dict:
     groups = _hashes(both, order, mark, ends, keep)
     del order, mark, a_place, b_place, a_group, b_group
     # Links: one for each boundary, of the tokens that hold the byte before it.
-    pair = (ids["a"][n_a[:-1]] << 32) | ids["b"][n_b[:-1]] if len(bounds) else np.zeros(0, np.int64)
+    pair = (ids["a"][n_a[:-1]].astype(np.int64) << 32) | ids["b"][n_b[:-1]] if len(bounds) else np.zeros(0, np.int64)
     pairs, number = np.unique(pair, return_inverse=True)
     key, times = np.unique(np.repeat(np.arange(len(docs)), links) * max(1, len(pairs)) + number, return_counts=True)
     holder, at = np.divmod(key, max(1, len(pairs)))
