@@ -99,7 +99,7 @@ class Both:
         self.width = len(str(widest - 1))
         self.digits = np.array([[ord(c) for c in str(i).rjust(self.width)] for i in range(widest)], dtype=np.uint8)
         self.n_digits = np.array([len(str(i)) for i in range(widest)], dtype=np.int64)
-        self.index = WordIndex(self._describe, limit=40 << 20)
+        self.index = WordIndex(self._describe, limit=160 << 20)
         self.flat: dict[str, np.ndarray] = {}
 
     def _describe(self, words: list[str]) -> list[np.ndarray]:
