@@ -480,6 +480,19 @@ def test_toxicity_bounds_its_sample_and_takes_odd_rows(spark):
     assert len(again) == 65 and all(again[2 * i] == again[2 * i + 1] for i in range(5))
 
 
+def test_toxicity_scores_do_not_depend_on_the_batch():
+    rng = random.Random(16)
+    rows = [(corpus(rng, ("en", "de")[i % 2], rng.randrange(5, 60), ["zorking"] * 2 if i % 3 == 0 else ()).encode(), int(i % 3 == 0), ("en", "de")[i % 2]) for i in range(120)]
+    net = toxicity.learn(rows, 2.0)
+    texts = [r[0] for r in rows] + [b"", "\u00e9 x".encode(), rows[0][0] * 50]
+    alone = [toxicity._scores(net, toxicity._index(net, ("alone", i)), [t])[0] for i, t in enumerate(texts)]
+    for k in range(20):
+        order = rng.sample(range(len(texts)), len(texts))
+        index, step = toxicity._index(net, ("batch", k)), rng.choice([1, 3, 17, 64, 200])
+        got = [s for i in range(0, len(order), step) for s in toxicity._scores(net, index, [texts[j] for j in order[i : i + step]])]
+        assert got == [alone[j] for j in order]
+
+
 def test_quality_shrinks_sparse_sites(spark):
     rng = random.Random(6)
     texts, sources, labels = [], [], []
