@@ -7,13 +7,13 @@ a third of all rows share costs no more than any other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import band, fx_to_inr
 from ..functions.text import collapsed
 from ..schema import BAND, FX_TOLERANCE, LAG_DAYS, PASSES
-from ..storage import materialize
+from ..storage import materialize, union_all
 
 EDGES = "match_id string, pass string, side string, txn_id string"
 
@@ -101,21 +101,44 @@ def fx(rows: DataFrame, resolved: DataFrame) -> DataFrame:
     return _edges(only.join(claimed, ["left_id", "right_id"]), "fx")
 
 
-def _greedy_group(frame):
-    """Replay of the ordered claims inside one closed group: gl rows in order take their only free bank row."""
-    import pandas as pd
+PAIRS = ["left_id", "seq", "alike", "zone", "right_id"]
 
-    book, bank = frame[frame["source"] == "gl"].sort_values("seq"), frame[frame["source"] == "bank"].sort_values("seq")
-    out, taken = [], set()
-    days, amounts, ids = bank["day"].to_numpy(), bank["amount"].to_numpy(), bank["txn_id"].to_numpy()
-    for left, day, amount in zip(book["txn_id"], book["day"], book["amount"], strict=True):
-        lag = days - day
-        near = (lag >= 0) & (lag <= LAG_DAYS) & (abs(amounts - amount) <= FX_TOLERANCE)
-        free = [i for i in ids[near] if i not in taken]
-        if len(free) == 1:
-            taken.add(free[0])
-            out.append((left, free[0]))
-    return pd.DataFrame(out, columns=["left_id", "right_id"])
+
+def _claims(pairs: DataFrame) -> DataFrame:
+    """(left_id, right_id) of the claims that entries make in order, each taking its only row that is still free.
+
+    ``pairs`` has entries (left_id, seq) with the rows that each may take; entries of one ``alike`` may take the same
+    rows, and no two ``zone`` have a row in common. Claims are settled in rounds of joins and grouped minima. In each round:
+
+    * An entry with one free row claims it if no earlier open entry sees that row, or none in its zone has a single row.
+    * Before the first entry of a zone that has a single row, nothing in the zone is claimed: earlier entries are refused.
+    * An entry that sees two rows which no earlier open entry of another kind sees will find both free, and is refused.
+
+    What is settled leaves, with the rows claimed. Every round settles at least one entry in each zone, and all before it; a zone needs at
+    most as many rounds as it has claims. No entry's or row's pairs are gathered anywhere.
+    """
+    claimed: list[DataFrame] = []
+    ordered = pairs.select(*PAIRS).distinct().withColumn("seq", F.struct("seq", "left_id"))  # no two entries are at one place
+    live = materialize(ordered, "claims-open")
+    while not live.isEmpty():
+        mine = live.groupBy("left_id", "seq", "zone").agg(F.count(F.lit(1)).alias("free"))
+        first_single = mine.filter("free = 1").groupBy("zone").agg(F.min("seq").alias("starts"))
+        seen = live.groupBy("right_id", "alike").agg(F.min("seq").alias("seq"))
+        first = seen.groupBy("right_id").agg(F.min(F.struct("seq", "alike")).alias("first"))
+        second = seen.join(first, "right_id").filter("alike <> first.alike").groupBy("right_id").agg(F.min("seq").alias("second"))
+        bank = first.join(second, "right_id", "left")
+        told = live.join(bank, "right_id").withColumn("other", F.when(F.col("alike") == F.col("first.alike"), F.col("second")).otherwise(F.col("first.seq")))
+        judged = told.groupBy("left_id", "seq", "zone").agg(
+            F.count(F.lit(1)).alias("free"), F.min("right_id").alias("right_id"), F.min(F.col("first.seq")).alias("earliest"), F.count_if(F.col("other").isNull() | (F.col("other") > F.col("seq"))).alias("sure"),
+        ).join(first_single, "zone", "left")
+        now = (F.col("free") == 1) & ((F.col("earliest") == F.col("seq")) | (F.col("starts") == F.col("seq")))
+        refused = (F.col("free") > 1) & (F.col("starts").isNull() | (F.col("seq") < F.col("starts")) | (F.col("sure") > 1))
+        settled = materialize(judged.select("left_id", "right_id", now.alias("claims"), refused.alias("refused")).filter("claims OR refused"), "claims-settled")
+        won = settled.filter("claims").select("left_id", "right_id")
+        claimed.append(won)
+        left = live.join(settled.select("left_id"), "left_id", "left_anti").join(won.select("right_id"), "right_id", "left_anti")
+        live = materialize(left.select(*PAIRS), "claims-open")
+    return union_all(claimed) if claimed else live.select("left_id", "right_id")
 
 
 def _contested(book: DataFrame, bank: DataFrame, strict: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -126,45 +149,54 @@ def _contested(book: DataFrame, bank: DataFrame, strict: DataFrame) -> tuple[Dat
 
 
 def economic_pair_greedy(rows: DataFrame, resolved: DataFrame) -> DataFrame:
-    """The ordered variant: a ledger row takes its only bank row that no earlier one has taken.
+    """The ordered variant: a gl row takes its only bank row that no earlier one has taken.
 
     The strict pairs come first. A day of a key with two or more free bank rows can never be claimed from, as
     every claim needs a single candidate, so rows that see such a day are out, and each day left has one bank
-    row at most. What is still contested is replayed by key and run of days; of entries that follow each other
-    on one day only the first can claim, so the others are dropped before anything is gathered.
+    row at most: a gl row has at most a row for each day of the lag.
     """
     book, bank = _sides(rows.withColumn("party", collapsed(F.col("counterparty"))), resolved, F.lit(True), F.lit(True))
     book, bank, strict = _contested(book, bank, economic_pair(rows, resolved))
     days = F.explode(F.sequence(F.lit(0), F.lit(LAG_DAYS))).alias("lag")
-    per_day = bank.groupBy(*ECONOMIC, F.col("value_date").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.min("txn_id").alias("bank_id"), F.min("seq").alias("bank_seq"))
-    per_day = materialize(per_day, "bank-days")
-    seen = book.select("txn_id", "seq", *ECONOMIC, "value_date", days).withColumn("day", F.date_add("value_date", F.col("lag"))).join(per_day, [*ECONOMIC, "day"])
-    able = seen.groupBy("txn_id", "seq", *ECONOMIC, "value_date").agg(F.max("n").alias("most")).filter("most = 1").drop("most")
-    before = F.lag("value_date").over(Window.partitionBy(*ECONOMIC).orderBy("seq"))
-    able = able.withColumn("before", before).filter("before IS NULL OR before <> value_date").drop("before")
-    single = per_day.filter("n = 1").select(*ECONOMIC, F.col("day").alias("value_date"), F.col("bank_id").alias("txn_id"), F.col("bank_seq").alias("seq")).join(able.select(*ECONOMIC).distinct(), ECONOMIC, "left_semi")
-    both = able.withColumn("source", F.lit("gl")).unionByName(single.withColumn("source", F.lit("bank"))).withColumns({"day": F.unix_date("value_date"), "amount": F.lit(0).cast("bigint")})
-    found = both.groupBy(*ECONOMIC).applyInPandas(lambda f: _greedy_group(f), "left_id string, right_id string")
-    return strict.unionByName(_edges(found, "economic_pair"))
+    per_day = bank.groupBy(*ECONOMIC, F.col("value_date").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.min("txn_id").alias("right_id"))
+    seen = book.select(F.col("txn_id").alias("left_id"), "seq", *ECONOMIC, "value_date", days).withColumn("day", F.date_add("value_date", F.col("lag"))).join(per_day, [*ECONOMIC, "day"])
+    zone = F.to_json(F.struct(*ECONOMIC))
+    seen = seen.select("left_id", "seq", F.concat(zone, F.col("value_date").cast("string")).alias("alike"), zone.alias("zone"), "right_id", "n")
+    return strict.unionByName(_edges(_claims(_single(seen)), "economic_pair"))
 
 
-def fx_greedy(rows: DataFrame, resolved: DataFrame) -> DataFrame:
-    """The ordered variant of the converted range join, for rows that the strict mode leaves contested.
+def _single(seen: DataFrame) -> DataFrame:
+    """The pairs of entries that see no place with ``n`` > 1 rows: such rows are never claimed, and who sees them claims none."""
+    return seen.join(seen.filter("n > 1").select("left_id").distinct(), "left_id", "left_anti")
 
-    Only foreign entries with a candidate, and bank rows near one, are replayed. Cells as wide as the tolerance
-    part them into closed islands: rows more than one empty cell apart can't meet.
-    """
+
+def fx_greedy(rows: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The ordered variant of the converted range join, for rows that the strict mode leaves contested."""
     strict = materialize(fx(rows, resolved), "strict")
     done = resolved.unionByName(strict.select("txn_id")).distinct()
-    book, bank, near = fx_candidates(rows, done)
-    near = materialize(near.select("left_id", "direction", "value_date", "amount_minor").distinct(), "fx-near")
-    book = book.join(near.select(F.col("left_id").alias("txn_id")).distinct(), "txn_id", "left_semi").withColumn("amount", F.col("expected"))
-    bank = bank.join(near.select("direction", "value_date", "amount_minor").distinct(), ["direction", "value_date", "amount_minor"], "left_semi").withColumn("amount", F.col("amount_minor"))
-    both = materialize(book.unionByName(bank, allowMissingColumns=True).select("source", "seq", "txn_id", "direction", F.unix_date("value_date").alias("day"), "amount", band(F.col("amount"), FX_TOLERANCE + 1).alias("cell")), "fx-contested")
-    cells = both.select("direction", "cell").distinct()  # of contested rows; neighbours have one number
-    numbered = cells.withColumn("island", F.col("cell") - F.row_number().over(Window.partitionBy("direction").orderBy("cell")))
-    found = both.join(numbered, ["direction", "cell"]).groupBy("direction", "island").applyInPandas(lambda f: _greedy_group(f), "left_id string, right_id string")
-    return strict.unionByName(_edges(found, "fx"))
+    book, _, near = fx_candidates(rows, done)
+    order = book.select(F.col("txn_id").alias("left_id"), "seq")
+    near = near.withColumn("cell", band(F.col("expected"), FX_TOLERANCE + 1)).withColumn("alike", F.concat_ws(":", "direction", "expected", "from_day"))
+    seen = materialize(_single(near.select("left_id", "direction", "cell", "alike", "right_id", "n")).join(order, "left_id"), "fx-near")
+    return strict.unionByName(_edges(_claims(seen.join(_islands(seen), ["direction", "cell"])), "fx"))
+
+
+def _islands(seen: DataFrame) -> DataFrame:
+    """(direction, cell, zone): cells of entries in a row have one zone.
+
+    Entries of cells three or more apart can't see one row, so islands part where two cells in a row are missing. Each
+    cell points to the one before it and the pointers are followed twice as far each time, by joins, so no order is made.
+    """
+    cells = materialize(seen.select("direction", "cell").distinct(), "cells")
+    back = lambda k: cells.select("direction", (F.col("cell") + k).alias("cell"), F.lit(k).alias(f"by{k}"))
+    near = cells.join(back(1), ["direction", "cell"], "left").join(back(2), ["direction", "cell"], "left")
+    at = materialize(near.select("direction", "cell", (F.col("cell") - F.coalesce("by1", "by2", F.lit(0))).alias("to")), "islands")
+    while True:
+        far = at.select("direction", F.col("cell").alias("to"), F.col("to").alias("further"))
+        step = materialize(at.join(far, ["direction", "to"]).select("direction", "cell", F.col("further").alias("to"), (F.col("to") != F.col("further")).alias("moved")), "islands")
+        at = step.select("direction", "cell", "to")
+        if step.filter("moved").isEmpty():
+            return at.select("direction", "cell", F.concat_ws(":", "direction", "to").alias("zone"))
 
 
 def reasons(edges: DataFrame, rows: DataFrame) -> DataFrame:

@@ -83,7 +83,15 @@ class Close:
 
 
 class WorkloadClose(Close):
-    """The close of the derived workload, whose events are known."""
+    """The close of a workload whose events are known: the derived one, or one with an answer key of its own."""
+
+    def __init__(self, arrived: DataFrame, greedy: bool = False, truth: DataFrame | None = None):
+        super().__init__(arrived, greedy)
+        self.given = truth
+
+    @cached_property
+    def truth(self) -> DataFrame:
+        return self.given if self.given is not None else workload.truth(self.feed)
 
     @cached_property
     def parsed(self) -> DataFrame:
@@ -96,12 +104,15 @@ class WorkloadClose(Close):
     @cached_property
     def owned(self) -> DataFrame:
         """Records with their event."""
-        return materialize(scoring.owned(self.rows, workload.truth(self.feed)), "owned")
+        return materialize(scoring.owned(self.rows, self.truth), "owned")
 
     @cached_property
     def per_event(self) -> DataFrame:
         return materialize(scoring.events(self.owned, self.edges, self.found), "events")
 
+    def scores(self) -> DataFrame:
+        return scoring.scores(self.per_event, scoring.false_matches(self.owned, self.edges), exceptions.unexplained(self.unresolved, self.found))
+
 
 _closes: dict[tuple[str, str], WorkloadClose] = {}
 

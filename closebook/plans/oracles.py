@@ -81,9 +81,35 @@ _CHAIN = [
 ]
 
 
-def chain(select: str) -> str:
-    """``select`` after the whole chain; DuckDB plans only what it needs."""
-    return f"WITH {workload.feed_sql()}, " + ", ".join(f"{n} AS ({q})" for n, q in _CHAIN) + f" {select}"
+def chain(select: str, feed: str | None = None) -> str:
+    """``select`` after the whole chain, over the workload or another ``feed``; DuckDB plans only what it needs."""
+    return f"WITH {feed or workload.feed_sql()}, " + ", ".join(f"{n} AS ({q})" for n, q in _CHAIN) + f" {select}"
+
+
+def _replay(name: str, near: str) -> str:
+    """CTEs that replay ordered claims over ``near`` (left_id, right_id, seq), entry after entry of each group of rows that may meet."""
+    return f"""{name}_n AS (SELECT *, dense_rank() OVER (ORDER BY seq, left_id) AS place FROM {near}),
+        {name}_r AS (SELECT CAST(0 AS BIGINT) AS place, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS left_id, CAST(NULL AS VARCHAR) AS right_id
+          UNION ALL SELECT r.place + 1, CASE WHEN len(f.free) = 1 THEN list_append(r.taken, f.free[1]) ELSE r.taken END, CASE WHEN len(f.free) = 1 THEN f.left_id END, CASE WHEN len(f.free) = 1 THEN f.free[1] END
+          FROM {name}_r r JOIN (SELECT place, min(left_id) AS left_id, list(right_id) AS rights FROM {name}_n GROUP BY 1) n ON n.place = r.place + 1,
+          LATERAL (SELECT n.left_id, list_filter(n.rights, lambda x: NOT list_contains(r.taken, x)) AS free) f)"""
+
+
+def greedy(select: str) -> str:
+    """``select`` after the claims in list order, one entry after the other."""
+    near1 = """(SELECT l.txn_id AS left_id, b.txn_id AS right_id, l.seq FROM free1 l JOIN free1 b ON l.source = 'gl' AND b.source = 'bank' AND l.currency = b.currency AND l.direction = b.direction
+        AND l.amount_minor = b.amount_minor AND l.party = b.party AND b.value_date - l.value_date BETWEEN 0 AND 2)"""
+    near2 = """(SELECT l.txn_id AS left_id, b.txn_id AS right_id, l.seq FROM gfree l JOIN gfree b ON l.source = 'gl' AND l.currency <> 'INR' AND b.source = 'bank' AND b.currency = 'INR' AND l.direction = b.direction
+        AND b.value_date - l.value_date BETWEEN 0 AND 2 AND abs(b.amount_minor - l.expected) <= 100)"""
+    chained = ", ".join(f"{n} AS ({q})" for n, q in _CHAIN if n in ("rows", "j1", "j2g", "exact", "free1"))
+    later = dict(_CHAIN)["free2"].replace("SELECT left_id FROM j3 UNION ALL SELECT right_id FROM j3", "SELECT left_id FROM g1 UNION ALL SELECT right_id FROM g1")
+    # A pair whose two ends have no other candidate is claimed whatever the order; only the rest is replayed.
+    sole = lambda near: f"(SELECT *, count(*) OVER (PARTITION BY left_id) = 1 AND count(*) OVER (PARTITION BY right_id) = 1 AS sole FROM {near})"
+    return f"""WITH RECURSIVE {workload.feed_sql()}, {chained}, w1 AS MATERIALIZED {sole(near1)}, {_replay("p1", "(SELECT left_id, right_id, seq FROM w1 WHERE NOT sole)")},
+        g1 AS MATERIALIZED (SELECT left_id, right_id FROM w1 WHERE sole UNION ALL SELECT left_id, right_id FROM p1_r WHERE left_id IS NOT NULL), gfree AS MATERIALIZED ({later}),
+        w2 AS MATERIALIZED {sole(near2)}, {_replay("p2", "(SELECT left_id, right_id, seq FROM w2 WHERE NOT sole)")},
+        claimed AS (SELECT 'economic_pair' AS pass, left_id, right_id FROM g1 UNION ALL SELECT 'fx', left_id, right_id FROM w2 WHERE sole UNION ALL SELECT 'fx', left_id, right_id FROM p2_r WHERE left_id IS NOT NULL)
+        {select}"""
 
 
 SPARSE = """

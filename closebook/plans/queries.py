@@ -11,7 +11,7 @@ from ..functions import money, text
 from ..operators import audit, exceptions, forecast, ingest, matching, scoring
 from ..sources import feeds
 from ..storage import materialize, table, union_all
-from . import oracles, workload
+from . import generator, oracles, workload
 from .close import over_workload
 
 QUERIES: dict = {}
@@ -160,14 +160,15 @@ def blocking_stats(spark, sf_dir):
     return matching.blocking_stats(over_workload(spark, sf_dir).rows)
 
 
-@query()
+@query(oracles.greedy("SELECT pass, left_id, right_id FROM claimed"))
 def match_greedy(spark, sf_dir):
-    """The ordered variants of the two economic passes, side by side with the exact ones."""
+    """The pairs of the ordered variants of the two economic passes."""
     c = over_workload(spark, sf_dir)
     done = c.exact.select("txn_id").distinct()
     pairs = materialize(matching.economic_pair_greedy(c.rows, done), "greedy")
-    rest = matching.fx_greedy(c.rows, done.unionByName(pairs.select("txn_id")).distinct())
-    return union_all([c.exact, pairs, rest]).groupBy("pass").agg(F.count_distinct("match_id").alias("n"))
+    both = pairs.unionByName(matching.fx_greedy(c.rows, done.unionByName(pairs.select("txn_id")).distinct()))
+    side = lambda s: F.max(F.when(F.col("side") == s, F.col("txn_id"))).alias(f"{s}_id")
+    return both.groupBy("match_id", "pass").agg(side("left"), side("right")).select("pass", "left_id", "right_id")
 
 
 @chained("""SELECT match_id, CASE pass WHEN 'parent_ref' THEN 'exact: the ' || source || ' row names gl entry ' || ref WHEN 'group_ref' THEN 'exact: ' || n || ' lines of ' || group_ref || ' add up to the bank''s ' || amount
@@ -282,17 +283,49 @@ def unexplained(spark, sf_dir):
     return exceptions.unexplained(c.unresolved, c.found)
 
 
-# Scoring and audit.
+# Generated batches: as many events as there are orders.
+
+_N_ORDERS = "(SELECT count(*) FROM orders)"
+
+
+def _generated(spark, sf_dir, **options):
+    return generator.generate(spark, table(spark, sf_dir, "orders").count(), **options)
+
+
+@query(f"WITH {generator.feed_sql(_N_ORDERS)} SELECT source, currency, direction, count(*) AS n, CAST(sum(amount_minor) AS BIGINT) AS amount, CAST(sum(fee_minor) AS BIGINT) AS fee, CAST(sum(seq % 1000003) AS BIGINT) AS seqs, min(value_date) AS first_day, max(value_date) AS last_day, count(DISTINCT external_ref) AS refs, count(DISTINCT counterparty) AS parties FROM feed GROUP BY 1, 2, 3")
+def generated_feed(spark, sf_dir):
+    """A seeded batch by source, currency and direction."""
+    return _generated(spark, sf_dir).rows.groupBy("source", "currency", "direction").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("amount_minor").alias("amount"), F.sum("fee_minor").alias("fee"), F.sum(F.expr("seq % 1000003")).alias("seqs"), F.min("value_date").alias("first_day"), F.max("value_date").alias("last_day"),
+        F.count_distinct("external_ref").alias("refs"), F.count_distinct("counterparty").alias("parties"),
+    )
+
 
+@query(f"WITH {generator.feed_sql(_N_ORDERS, seed=7, history_days=365, mix={'fx': 1.0, 'clean': 2.0, 'one_to_many': 1.0})} SELECT case_name AS case_type, count(*) AS n, CAST(sum(amt) AS BIGINT) AS amount FROM ord GROUP BY 1")
+def generated_cases(spark, sf_dir):
+    """Cases of a batch with another seed, mix and span."""
+    drawn = generator.events(spark, table(spark, sf_dir, "orders").count(), seed=7, history_days=365, mix={"fx": 1.0, "clean": 2.0, "one_to_many": 1.0})
+    return drawn.groupBy(F.col("case_name").alias("case_type")).agg(F.count(F.lit(1)).alias("n"), F.sum("amt").alias("amount"))
 
-@chained("SELECT *, round(matched / should_match, 6) AS match_rate, round(breaks_surfaced / breaks_planted, 6) AS break_recall, true AS bridge_sound, false_matches = 0 AND unexplained = 0 AND ambiguous_held >= ambiguous_planted AS publishable FROM "
+
+# Scoring and audit.
+
+_SCORES = ("SELECT *, round(matched / should_match, 6) AS match_rate, round(breaks_surfaced / breaks_planted, 6) AS break_recall, true AS bridge_sound, false_matches = 0 AND unexplained = 0 AND ambiguous_held >= ambiguous_planted AS publishable FROM "
          "(SELECT count(*) FILTER (handling = 'matched') AS should_match, count(*) FILTER (handling = 'matched' AND whole) AS matched, count(*) FILTER (handling = 'exception') AS breaks_planted, "
          "count(*) FILTER (handling = 'exception' AND flagged) AS breaks_surfaced, count(*) FILTER (case_type = 'one_to_many_no_utr') AS ambiguous_planted, "
          "count(*) FILTER (case_type = 'one_to_many_no_utr' AND NOT banked) AS ambiguous_held, (SELECT count(*) FROM wrong) AS false_matches, "
          "(SELECT count(*) FROM unresolved WHERE txn_id NOT IN (SELECT subject_id FROM found)) AS unexplained FROM events)")
+
+
+@query(oracles.chain(_SCORES, generator.feed_sql(_N_ORDERS, seed=generator.HELD_OUT_SEED)))
+def held_out_scores(spark, sf_dir):
+    """The close of a batch from a seed that nothing was tuned on, judged by its answer key."""
+    return generator.run(spark, table(spark, sf_dir, "orders").count()).scores()
+
+
+@chained(_SCORES)
 def eval_scores(spark, sf_dir):
-    c = over_workload(spark, sf_dir)
-    return scoring.scores(c.per_event, scoring.false_matches(c.owned, c.edges), exceptions.unexplained(c.unresolved, c.found))
+    return over_workload(spark, sf_dir).scores()
 
 
 @chained("SELECT case_type, count(*) AS missed FROM events WHERE handling = 'matched' AND NOT whole GROUP BY 1")

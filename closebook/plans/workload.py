@@ -35,14 +35,14 @@ _ROWS = (
     ("gateway", 0, 0, "clean duplicate_same_ref duplicate_double_pay", False, "'pay_' || k", "amt", "inbound", "0", "'order_' || k", "null"),
     ("gateway", 0, 0, "partial_refund", False, "'rfnd_' || k", "(amt - amt % 2) / 2", "outbound", "1", "'order_' || k", "null"),
     ("settlement", 1, 0, "clean duplicate_same_ref duplicate_double_pay", False, "'pout_' || k", "amt", "inbound", "0", "'order_' || k", "'UTR_' || k"),
-    ("settlement", 1, 0, "fee_lag", False, "'pout_' || k", "amt - fee", "inbound", "1 + k % 2", "'order_' || k", "'UTR_' || k"),
+    ("settlement", 1, 0, "fee_lag", False, "'pout_' || k", "amt - fee", "inbound", "lag", "'order_' || k", "'UTR_' || k"),
     ("settlement", 1, 0, "one_to_many", True, "'pout_' || k || '_' || n", "line", "inbound", "1", "'order_' || k || '_' || n", "'UTR_' || k"),
     ("settlement", 1, 0, "one_to_many_no_utr", True, "'pout_' || k || '_' || n", "line", "inbound", "1", "'order_' || k || '_' || n", "null"),
     ("settlement", 1, 0, "break_no_bank", False, "'pout_' || k", "amt", "inbound", "1", "'order_' || k", "null"),
     ("bank", 2, 0, "clean duplicate_same_ref duplicate_double_pay break_no_gl", False, "'UTR_' || k", "amt", "inbound", "0", "null", "null"),
-    ("bank", 2, 0, "fee_lag", False, "'UTR_' || k", "amt - fee", "inbound", "1 + k % 2", "null", "null"),
+    ("bank", 2, 0, "fee_lag", False, "'UTR_' || k", "amt - fee", "inbound", "lag", "null", "null"),
     ("bank", 2, 0, "one_to_many one_to_many_no_utr", False, "'UTR_' || k", "total", "inbound", "1", "null", "null"),
-    ("bank", 2, 0, "fx", False, "'UTR_' || k", "inr + case when k % 7 = 0 then 500 else 0 end", "inbound", "2", "null", "null"),
+    ("bank", 2, 0, "fx", False, "'UTR_' || k", "inr + off", "inbound", "2", "null", "null"),
     ("bank", 2, 1, "duplicate_same_ref", False, "'UTR_' || k", "amt", "inbound", "0", "null", "null"),
     ("bank", 2, 1, "duplicate_double_pay", False, "'UTRX_' || k", "amt", "inbound", "0", "null", "null"),
     ("bank", 2, 0, "outflow_vendor", False, "'UTR_' || k", "amt", "outbound", "0", "null", "null"),
@@ -52,7 +52,8 @@ _ROWS = (
 ORDERS_SQL = """
 SELECT k, h, amt, (amt - amt % 50) / 50 AS fee, d, party, total, {case_of} AS case_name,
        CASE k % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'GBP' END AS foreign_ccy,
-       CAST({half_even}(CAST(amt - amt % 100 AS decimal(18,0)) * CAST(CASE k % 3 WHEN 0 THEN 83.20 WHEN 1 THEN 90.10 ELSE 105.40 END AS decimal(10,2)), 0) AS bigint) AS inr
+       CAST({half_even}(CAST(amt - amt % 100 AS decimal(18,0)) * CAST(CASE k % 3 WHEN 0 THEN 83.20 WHEN 1 THEN 90.10 ELSE 105.40 END AS decimal(10,2)), 0) AS bigint) AS inr,
+       1 + k % 2 AS lag, CASE WHEN k % 7 = 0 THEN 500 ELSE 0 END AS off
 FROM (SELECT CAST(o_orderkey AS bigint) AS k, (CAST(o_orderkey AS bigint) * 7919) % 200 AS h, CAST(round(o_totalprice * 100) AS bigint) AS amt,
              {day} AS d, c_mktsegment || ' ' || n_name AS party
       FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
@@ -82,9 +83,14 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows as they arrive, re-imports included, in one pass over the orders.
+    """All rows as they arrive, re-imports included, in one pass over the orders."""
+    return rows_of(orders(spark, sf_dir)).unionByName(recurring_rows(spark, month_due()))
 
-    An order gives the list of the rows that its case yields, as (spec, n, line); they are exploded, and each
+
+def rows_of(events: DataFrame, *kept: str) -> DataFrame:
+    """The rows that events yield, with the ``kept`` columns of their event.
+
+    An event gives the list of the rows that its case yields, as (spec, n, line); they are exploded, and each
     column then asks the spec. The explosion keeps the planner from copying the derived numbers into every spec.
     """
     specs = list(enumerate(_ROWS))
@@ -95,7 +101,7 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         return f"concat({', '.join([f'array({plain})', *per_line] if plain else per_line)})"
 
     chosen = "CASE case_name " + " ".join(f"WHEN '{name}' THEN {yielded(name)}" for name, _, _ in CASES) + " END"
-    rows = orders(spark, sf_dir).select("k", "h", "amt", "fee", "d", "party", "total", "case_name", "foreign_ccy", "inr", F.explode(F.expr(chosen)).alias("r"))
+    rows = events.select("k", "amt", "fee", "d", "party", "total", "case_name", "foreign_ccy", "inr", "lag", "off", F.explode(F.expr(chosen)).alias("r"))
     rows = rows.select("*", "r.*")
     ask = lambda at: "CASE spec " + " ".join(f"WHEN {i} THEN {at(x)}" for i, x in specs) + " END"
     rows = rows.selectExpr(
@@ -104,23 +110,29 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"CAST({ask(lambda x: f'CAST({x[6]} AS bigint)')} AS bigint) AS amount_minor", f"CASE WHEN case_name = 'fee_lag' THEN CAST(fee AS bigint) ELSE 0 END AS fee",
         f"{ask(lambda x: repr(x[7]))} AS direction", f"date_add(d, int({ask(lambda x: f'int({x[8]})')})) AS value_date",
         f"CAST({ask(lambda x: x[9])} AS string) AS parent_ref", f"CAST({ask(lambda x: x[10])} AS string) AS group_ref",
+        *(c for c in kept if c not in ("case_name", "k")),
     ).filter("amount_minor IS NOT NULL")
     return rows.selectExpr(
         "CAST(seq AS bigint) AS seq", "concat(source, ':', external_ref) AS txn_id", "source", "external_ref", "amount_minor",
         "CASE WHEN source = 'gl' AND case_name = 'fx' THEN foreign_ccy ELSE 'INR' END AS currency", "CASE WHEN source = 'settlement' THEN fee ELSE bigint(0) END AS fee_minor",
         "bigint(0) AS tax_minor", "direction", "value_date", "CAST(value_date AS timestamp) AS posted_at",
         "CASE WHEN source = 'gateway' AND case_name = 'partial_refund' THEN 'refunded' WHEN source = 'gateway' THEN 'captured' WHEN source = 'gl' AND case_name = 'partial_refund' THEN 'partially_refunded' ELSE 'settled' END AS status",
-        "CASE WHEN source = 'bank' THEN party ELSE lower(party) END AS counterparty", "parent_ref", "group_ref",
-    ).select(*COLUMNS).unionByName(recurring_rows(spark))
+        "CASE WHEN source = 'bank' THEN party ELSE lower(party) END AS counterparty", "parent_ref", "group_ref", *kept,
+    ).select(*COLUMNS, *kept)
+
+
+def month_due() -> list[tuple[str, str, int, int]]:
+    """(label, day, amount, number) of the month's recurring outflows."""
+    return [(label, f"{FIRST_DAY[:8]}{dom:02d}", amount, dom) for label, dom, amount, _ in RECURRING]
 
 
-def recurring_rows(spark: SparkSession) -> DataFrame:
-    """The month's recurring outflows, each in the books and at the bank, without a shared reference."""
-    day, zero = f"date_add(date'{FIRST_DAY}', dom - 1)", "bigint(0)"
-    due = spark.createDataFrame([(label, dom, amount) for label, dom, amount, _ in RECURRING], "label string, dom int, amount long")
-    sides = "inline(array(named_struct('source', 'gl', 'place', 48, 'external_ref', concat('recurring_', dom)), named_struct('source', 'bank', 'place', 32, 'external_ref', concat('UTR_recurring_', dom))))"
-    return due.selectExpr("*", sides).selectExpr(
-        f"({RECURRING_EVENTS} + dom) * 64 + place AS seq", "concat(source, ':', external_ref) AS txn_id", "source", "external_ref", "amount AS amount_minor", "'INR' AS currency",
+def recurring_rows(spark: SparkSession, due: list[tuple[str, str, int, int]]) -> DataFrame:
+    """Recurring outflows, each in the books and at the bank, without a shared reference."""
+    day, zero = "CAST(day AS date)", "bigint(0)"
+    listed = spark.createDataFrame(due, "label string, day string, amount long, number long")
+    sides = "inline(array(named_struct('source', 'gl', 'place', 48, 'external_ref', concat('recurring_', number)), named_struct('source', 'bank', 'place', 32, 'external_ref', concat('UTR_recurring_', number))))"
+    return listed.selectExpr("*", sides).selectExpr(
+        f"({RECURRING_EVENTS} + number) * 64 + place AS seq", "concat(source, ':', external_ref) AS txn_id", "source", "external_ref", "amount AS amount_minor", "'INR' AS currency",
         f"{zero} AS fee_minor", f"{zero} AS tax_minor", "'outbound' AS direction", f"{day} AS value_date", f"CAST({day} AS timestamp) AS posted_at", "'settled' AS status",
         "CASE WHEN source = 'bank' THEN label ELSE lower(label) END AS counterparty", "CAST(null AS string) AS parent_ref", "CAST(null AS string) AS group_ref",
     ).select(*COLUMNS)
@@ -136,8 +148,8 @@ def truth(arrived: DataFrame) -> DataFrame:
     return key.distinct().select("event_id", "case_type", handling.alias("handling"), "source", "external_ref")
 
 
-def feed_sql() -> str:
-    """The CTEs order_line, ord and feed in DuckDB's SQL."""
+def feed_sql(events_sql: str | None = None, due: list[tuple[str, str, int, int]] | None = None) -> str:
+    """The CTEs order_line, ord and feed in DuckDB's SQL; ``events_sql`` replaces the first two."""
     parts = []
     for source, rank, slot, cases, per_line, ref, amount, direction, later, parent, group in _ROWS:
         names = ", ".join(f"'{c}'" for c in cases.split())
@@ -150,10 +162,11 @@ def feed_sql() -> str:
             f"FROM ord {'JOIN order_line ON k = l_k' if per_line else ''} WHERE case_name IN ({names}) AND ({amount}) IS NOT NULL"
         )
     for source, place, ref, party in (("gl", 48, "recurring_", "lower(label)"), ("bank", 32, "UTR_recurring_", "label")):
-        names = ", ".join(f"('{label}', {dom}, {amount})" for label, dom, amount, _ in RECURRING)
+        names = ", ".join(f"('{label}', DATE '{day}', {amount}, {number})" for label, day, amount, number in due or month_due())
         parts.append(
-            f"SELECT CAST(({RECURRING_EVENTS} + dom) * 64 + {place} AS BIGINT), '{source}:{ref}' || dom, '{source}', '{ref}' || dom, CAST(amount AS BIGINT), 'INR', CAST(0 AS BIGINT), CAST(0 AS BIGINT), "
-            f"'outbound', DATE '{FIRST_DAY}' + CAST(dom - 1 AS INTEGER), {party}, NULL, NULL FROM (VALUES {names}) AS t(label, dom, amount)"
+            f"SELECT CAST(({RECURRING_EVENTS} + number) * 64 + {place} AS BIGINT), '{source}:{ref}' || number, '{source}', '{ref}' || number, CAST(amount AS BIGINT), 'INR', CAST(0 AS BIGINT), CAST(0 AS BIGINT), "
+            f"'outbound', day, {party}, NULL, NULL FROM (VALUES {names}) AS t(label, day, amount, number)"
         )
     day = f"DATE '{FIRST_DAY}' + CAST((o_orderkey * 31 + o_custkey) % 28 AS INTEGER)"
-    return f"order_line AS ({LINES_SQL}), ord AS ({ORDERS_SQL.format(case_of=case_sql(), half_even='round_even', day=day)}), feed AS ({' UNION ALL '.join(parts)})"
+    events_sql = events_sql or f"order_line AS ({LINES_SQL}), ord AS ({ORDERS_SQL.format(case_of=case_sql(), half_even='round_even', day=day)})"
+    return f"{events_sql}, feed AS ({' UNION ALL '.join(parts)})"
