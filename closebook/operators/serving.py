@@ -7,7 +7,7 @@ import base64
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .exceptions import explained
@@ -57,35 +57,66 @@ def _cursor(values: list) -> str:
     return base64.urlsafe_b64encode(json.dumps(values, default=str).encode()).decode()
 
 
-def _opened(cursor: str, n: int) -> list:
+def _opened(cursor: str) -> list:
     try:
         values = json.loads(base64.urlsafe_b64decode(cursor.encode()))
     except ValueError:
         raise BadPage("no page has this cursor") from None
-    if not isinstance(values, list) or len(values) != n:
+    if not isinstance(values, list):
         raise BadPage("no page has this cursor")
     return values
 
 
-def rows_after(df: DataFrame, name: str, cursor: str | None) -> DataFrame:
-    """The rows of a list behind a cursor, in the list's order."""
-    order = ORDERS[name]
+#: What orders rows that are equal in a list's own order: only rows that are alike in all columns share it.
+ROW = "row_key"
+
+
+def _behind(df: DataFrame, order: list[tuple[str, bool]], values: list, also_equal: bool) -> DataFrame:
+    """Rows after ``values`` in an order that has nulls last, and those at it if wanted."""
+    behind, equal = F.lit(False), F.lit(True)
+    for (c, down), value in zip(order, values, strict=True):
+        at = F.lit(value).cast(df.schema[c].dataType)
+        further = F.lit(False) if value is None else F.coalesce((F.col(c) < at) if down else (F.col(c) > at), F.lit(True))
+        behind = behind | (equal & further)
+        equal = equal & F.col(c).eqNullSafe(at)
+    return df.filter(behind | equal if also_equal else behind)
+
+
+def rows_after(df: DataFrame, name: str, cursor: str | None, keyed: bool = False) -> DataFrame:
+    """The rows of a list behind a cursor, in the list's order; rows alike in all columns are told apart by their number.
+
+    A cursor holds the last row's key and how many rows with just this key have been served. One that holds only the
+    list's own columns stands behind all rows that are equal in them.
+    """
+    own = list(ORDERS[name])
+    order = [*own, (ROW, False)]
+    listed = df.withColumn(ROW, F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))), 256))
+    skip = 0
     if cursor is not None:
-        behind, equal = F.lit(False), F.lit(True)
-        for (c, down), value in zip(order, _opened(cursor, len(order)), strict=True):
-            at = F.lit(value).cast(df.schema[c].dataType)
-            behind = behind | (equal & ((F.col(c) < at) if down else (F.col(c) > at)))
-            equal = equal & (F.col(c) == at)
-        df = df.filter(behind)
-    return df.orderBy(*(F.desc(c) if down else F.asc(c) for c, down in order))
+        values = _opened(cursor)
+        if len(values) == len(own):
+            listed = _behind(listed, own, values, False)
+        elif len(values) == len(order) + 1 and isinstance(values[-1], int) and values[-1] >= 0:
+            listed, skip = _behind(listed, order, values[:-1], True), values[-1]
+        else:
+            raise BadPage("no page has this cursor")
+    listed = listed.orderBy(*(F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in order))
+    listed = listed.offset(skip) if skip else listed
+    return listed if keyed else listed.drop(ROW)
 
 
 def page(df: DataFrame, name: str, cursor: str | None = None, limit: int = LIMIT) -> Page:
-    """One page of a list; one row more than asked for tells whether there is another."""
+    """One page of a list; one row more than asked for tells whether there is another. Every row is on one page."""
     limit = _limit(limit)
-    found = rows_after(df, name, cursor).limit(limit + 1).collect()
-    items = found[:limit]
-    return Page(items, _cursor([items[-1][c] for c, _ in ORDERS[name]]) if len(found) > limit else None)
+    found = rows_after(df, name, cursor, keyed=True).limit(limit + 1).collect()
+    items = [Row(**{c: r[c] for c in df.columns}) for r in found[:limit]]
+    if len(found) <= limit:
+        return Page(items, None)
+    last = [found[limit - 1][c] for c, _ in [*ORDERS[name], (ROW, False)]]
+    served = sum(r[ROW] == last[-1] for r in found[:limit])
+    if served == limit and cursor is not None and len(before := _opened(cursor)) == len(last) + 1 and before[-2] == last[-1]:
+        served += before[-1]  # the page is full of rows like the last one of the page before
+    return Page(items, _cursor([*last, served]))
 
 
 def transactions(rows: DataFrame, source: str | None = None) -> DataFrame:
@@ -106,7 +137,7 @@ def matches_page(matches: DataFrame, tier: str | None = None, after: str | None
 
 
 def audit_list(entries: DataFrame, decision: str | None = None) -> DataFrame:
-    """Entries with the key that orders them; equal keys are one place, so repeated entries stay on one page."""
+    """Entries with the columns that order them."""
     return _where(entries, decision=decision).withColumns({"subject": F.concat_ws(",", "subjects"), "reason": F.coalesce("reason", F.lit(""))})
 
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import money, text
 from ..operators import audit, exceptions, forecast, ingest, matching, scoring
-from ..sources import feeds
-from ..storage import materialize, table, union_all
+from ..sources import feeds, files
+from ..storage import materialize, shared_dir, table, union_all
 from . import generator, oracles, workload
 from .close import over_workload
 
@@ -55,6 +56,29 @@ for _s in feeds.CONNECTORS:
     _parsed(_s)
 
 
+#: Of the written lines, every so many is cut short, and every so many has no reference.
+_CUT, _BLANK = 97, 89
+
+
+@chained(f"""SELECT source, CASE WHEN seq % {_CUT} = 0 THEN 'malformed_record' ELSE 'missing_reference' END AS reason, count(*) AS n, count(*) AS located
+             FROM feed WHERE source IN ('gateway', 'settlement', 'gl') AND (seq % {_CUT} = 0 OR seq % {_BLANK} = 0) GROUP BY 1, 2""")
+def ingest_damaged_files(spark, sf_dir):
+    """Written JSON lines, some of them damaged, read back: rejected lines, and how many of their locators name the right line."""
+    ref, out = {"gateway": "id", "settlement": "payout_id", "gl": "voucher_no"}, []
+    for source, name in ref.items():
+        raw = feeds.emit(over_workload(spark, sf_dir).feed, source).withColumn(name, F.when(F.col("seq") % _BLANK == 0, "").otherwise(F.col(name)))
+        line = F.to_json(F.struct(*(F.col(f"`{c}`") for c in raw.columns)))
+        cut = F.when(F.col("seq") % _CUT == 0, F.substring(line, 1, 30)).otherwise(line).alias("value")
+        folder = f"{shared_dir(spark)}/damaged-{uuid.uuid4().hex}"
+        raw.select("seq", cut).repartitionByRange(6, "seq").sortWithinPartitions("seq").select("value").write.text(folder)
+        rejected = files.scan(spark, source, folder).filter("outcome = 'reject'").select("locator", "reason")
+        # The line that stands at a locator, told by its own number.
+        there = files.lines(spark, folder).select(F.concat("file", F.lit(", record #"), F.col("record").cast("string")).alias("locator"), F.regexp_extract("value", r'^."seq":([0-9]+)', 1).cast("long").alias("seq"))
+        right = F.when(F.col("reason") == "malformed_record", F.col("seq") % _CUT == 0).otherwise((F.col("seq") % _BLANK == 0) & (F.col("seq") % _CUT != 0))
+        out.append(rejected.join(there, "locator", "left").groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.count_if(right).alias("located")).select(F.lit(source).alias("source"), "reason", "n", "located"))
+    return union_all(out)
+
+
 @query("SELECT * FROM (VALUES ('gateway', 'fee_above_amount', 1), ('gateway', 'missing_reference', 1), ('gateway', 'unknown_currency', 1), ('gateway', 'unknown_status', 1), "
        "('settlement', 'bad_amount', 1), ('settlement', 'bad_date', 1), ('settlement', 'missing_reference', 1), ('bank', 'missing_reference', 1), ('bank', 'debit_and_credit', 2), ('bank', 'bad_date', 1), "
        "('gl', 'compound_entry', 1), ('gl', 'empty_entry', 1), ('gl', 'negative_amount', 1), ('gl', 'unknown_status', 1)) AS t(source, reason, n)".replace(", 1)", ", CAST(1 AS BIGINT))").replace(", 2)", ", CAST(2 AS BIGINT))"))

@@ -98,13 +98,24 @@ def _money(c: str) -> Column:
     return to_minor(F.coalesce(plain(F.col(c)), F.lit("0")))
 
 
+def _carried(raw: DataFrame) -> list[str]:
+    """Where a row stood and the text of a line that can't be read, if the reader tells."""
+    return [c for c in ("_place", "_damaged") if c in raw.columns]
+
+
 def _finish(df: DataFrame, source: str, ref: str, reasons: list[tuple[Column, str]], skip: Column | None = None) -> DataFrame:
-    """The first reason that holds rejects a row; skipped rows are judged before any reason."""
-    checks = [*reasons, (F.col("amount_minor") < 0, "negative_amount"), ((F.col("fee_minor") < 0) | (F.col("tax_minor") < 0), "negative_fee"), ((F.col("amount_minor") > 0) & (F.col("fee_minor") > F.col("amount_minor")), "fee_above_amount")]
+    """The first reason that holds rejects a row; skipped rows are judged before any reason.
+
+    A row is located by its reference, or by its place where it has none or can't be read.
+    """
+    damaged = [(F.col("_damaged").isNotNull(), "malformed_record")] if "_damaged" in df.columns else []
+    place = [F.col("_place")] if "_place" in df.columns else []
+    read = [F.when(damaged[0][0], place[0])] if damaged and place else []  # what was read of a damaged line is not relied on
+    checks = [*damaged, *reasons, (F.col("amount_minor") < 0, "negative_amount"), ((F.col("fee_minor") < 0) | (F.col("tax_minor") < 0), "negative_fee"), ((F.col("amount_minor") > 0) & (F.col("fee_minor") > F.col("amount_minor")), "fee_above_amount")]
     reason = F.coalesce(*(F.when(F.coalesce(bad, F.lit(True)), name) for bad, name in checks))
     skipped = F.coalesce(skip, F.lit(False)) if skip is not None else F.lit(False)
     named = df.withColumns({"source": F.lit(source), "external_ref": F.trim(F.col(f"`{ref}`"))})
-    named = named.withColumns({"txn_id": F.concat_ws(":", "source", "external_ref"), "locator": F.coalesce("external_ref", F.lit("")), "reason": F.when(~skipped, reason)})
+    named = named.withColumns({"txn_id": F.concat_ws(":", "source", "external_ref"), "locator": F.coalesce(*read, F.nullif("external_ref", F.lit("")), *place, F.lit("")), "reason": F.when(~skipped, reason)})
     outcome = F.when(skipped, "skip").when(F.col("reason").isNotNull(), "reject").otherwise("ok")
     return named.withColumn("outcome", outcome).select(*COLUMNS, "outcome", "reason", "locator")
 
@@ -114,7 +125,7 @@ def parse_gateway(raw: DataFrame) -> DataFrame:
     df = raw.select(
         "seq", "id", F.col("amount").alias("amount_minor"), _currency("currency").alias("currency"), F.coalesce("fee", F.lit(0)).alias("fee_minor"), F.coalesce("tax", F.lit(0)).alias("tax_minor"),
         F.when(F.col("status").isin(*OUTBOUND_GATEWAY), "outbound").otherwise("inbound").alias("direction"), F.to_date(posted).alias("value_date"), posted.alias("posted_at"),
-        _lookup(GATEWAY_STATUS, F.col("status")).alias("status"), F.col("contact").alias("counterparty"), F.col("order_id").alias("parent_ref"), F.lit(None).cast("string").alias("group_ref"),
+        _lookup(GATEWAY_STATUS, F.col("status")).alias("status"), F.col("contact").alias("counterparty"), F.col("order_id").alias("parent_ref"), F.lit(None).cast("string").alias("group_ref"), *_carried(raw),
     )
     return _finish(df, "gateway", "id", [(_blank("id"), "missing_reference"), (F.col("status").isNull(), "unknown_status"), (F.col("currency").isNull(), "unknown_currency"), (F.col("amount_minor").isNull(), "bad_amount"), (F.col("posted_at").isNull(), "bad_date")])
 
@@ -125,7 +136,7 @@ def parse_settlement(raw: DataFrame) -> DataFrame:
     df = raw.select(
         "seq", "payout_id", _money("amount").alias("amount_minor"), _currency("currency").alias("currency"), _money("fee").alias("fee_minor"), _money("tax").alias("tax_minor"),
         F.lit("inbound").alias("direction"), F.to_date(zoned).alias("value_date"), zoned.alias("posted_at"), F.lit("settled").alias("status"), "counterparty",
-        F.col("order_id").alias("parent_ref"), F.nullif("utr", F.lit("")).alias("group_ref"),
+        F.col("order_id").alias("parent_ref"), F.nullif("utr", F.lit("")).alias("group_ref"), *_carried(raw),
     )
     bad = F.col("amount_minor").isNull() | F.col("fee_minor").isNull() | F.col("tax_minor").isNull()
     return _finish(df, "settlement", "payout_id", [(_blank("payout_id"), "missing_reference"), (F.col("currency").isNull(), "unknown_currency"), (bad, "bad_amount"), (F.col("posted_at").isNull(), "bad_date")])
@@ -147,7 +158,7 @@ def parse_bank(raw: DataFrame, currency: str = "INR") -> DataFrame:
         "seq", F.col(f"`{ref}`").alias("ref"), to_minor(F.coalesce(credit, debit)).alias("amount_minor"), F.lit(currency).alias("currency"), F.lit(0).cast("bigint").alias("fee_minor"),
         F.lit(0).cast("bigint").alias("tax_minor"), F.when(credit.isNotNull(), "inbound").otherwise("outbound").alias("direction"), value.alias("value_date"),
         txn.cast("timestamp").alias("posted_at"), F.lit("settled").alias("status"), F.nullif(F.trim(F.try_element_at(F.split("Description", "-"), F.lit(3))), F.lit("")).alias("counterparty"),
-        F.lit(None).cast("string").alias("parent_ref"), F.lit(None).cast("string").alias("group_ref"), one.alias("one"), skip.alias("skip"),
+        F.lit(None).cast("string").alias("parent_ref"), F.lit(None).cast("string").alias("group_ref"), one.alias("one"), skip.alias("skip"), *_carried(raw),
     )
     return _finish(df, "bank", "ref", [(_blank("ref"), "missing_reference"), (~F.col("one"), "debit_and_credit"), (F.col("amount_minor").isNull(), "bad_amount"), (F.col("value_date").isNull() | F.col("posted_at").isNull(), "bad_date")], F.col("skip"))
 
@@ -157,7 +168,7 @@ def parse_gl(raw: DataFrame) -> DataFrame:
     df = raw.select(
         "seq", "voucher_no", _money("debit").alias("d"), _money("credit").alias("c"), _currency("currency", "INR").alias("currency"), F.lit(0).cast("bigint").alias("fee_minor"),
         F.lit(0).cast("bigint").alias("tax_minor"), F.to_date(F.try_to_timestamp("gl_date", F.lit("yyyy-MM-dd"))).alias("value_date"), _lookup(GL_STATUS, F.col("status")).alias("status"),
-        F.col("party").alias("counterparty"), F.lit(None).cast("string").alias("parent_ref"), F.lit(None).cast("string").alias("group_ref"),
+        F.col("party").alias("counterparty"), F.lit(None).cast("string").alias("parent_ref"), F.lit(None).cast("string").alias("group_ref"), *_carried(raw),
     )
     df = df.withColumns({"amount_minor": F.when(F.col("d") > 0, F.col("d")).otherwise(F.col("c")), "direction": F.when(F.col("d") > 0, "inbound").otherwise("outbound"), "posted_at": F.col("value_date").cast("timestamp")})
     return _finish(df, "gl", "voucher_no", [
