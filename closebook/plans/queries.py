@@ -79,6 +79,16 @@ def ingest_damaged_files(spark, sf_dir):
     return union_all(out)
 
 
+@chained(f"SELECT {_PARSED} FROM feed WHERE source = 'gl'")
+def ingest_source_gl(spark, sf_dir):
+    """The gl feed as written JSON lines, through the data source."""
+    from ..sources import datasource
+
+    raw, folder = feeds.emit(over_workload(spark, sf_dir).feed, "gl"), f"{shared_dir(spark)}/gl-{uuid.uuid4().hex}"
+    raw.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in raw.columns))).alias("value")).write.text(folder)
+    return datasource.load(spark, "gl", folder).filter("outcome = 'ok'").selectExpr(*_PARSED.split(", "))
+
+
 @query("SELECT * FROM (VALUES ('gateway', 'fee_above_amount', 1), ('gateway', 'missing_reference', 1), ('gateway', 'unknown_currency', 1), ('gateway', 'unknown_status', 1), "
        "('settlement', 'bad_amount', 1), ('settlement', 'bad_date', 1), ('settlement', 'missing_reference', 1), ('bank', 'missing_reference', 1), ('bank', 'debit_and_credit', 2), ('bank', 'bad_date', 1), "
        "('gl', 'compound_entry', 1), ('gl', 'empty_entry', 1), ('gl', 'negative_amount', 1), ('gl', 'unknown_status', 1)) AS t(source, reason, n)".replace(", 1)", ", CAST(1 AS BIGINT))").replace(", 2)", ", CAST(2 AS BIGINT))"))
@@ -291,6 +301,18 @@ def batch_summary(spark, sf_dir):
     return serving.summary(c.rows, c.edges, c.found)
 
 
+@chained("SELECT source, type, count(*) AS n, CAST(sum(at_risk) AS BIGINT) AS at_risk FROM found GROUP BY ALL")
+def stored_run_exceptions(spark, sf_dir):
+    """Exceptions of a stored run, read by another session."""
+    from . import runs
+
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    runs.RunStore(spark, root).store(over_workload(spark, sf_dir))
+    stored = runs.RunStore(spark.newSession(), root).open()
+    found = spark.read.parquet(f"{stored.folder}/exceptions")
+    return found.groupBy("source", "type").agg(F.count(F.lit(1)).alias("n"), F.sum("at_risk").alias("at_risk"))
+
+
 @chained("SELECT type, count(*) AS n, CAST(sum(at_risk) AS BIGINT) AS at_risk FROM found GROUP BY type")
 def exceptions_by_type(spark, sf_dir):
     return exceptions.by_type(over_workload(spark, sf_dir).found)
