@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small
 
-LETTERS, PRIOR, PRIOR_BLOCK, SMOOTHING = 24, 5, 0.25, 0.5
+LETTERS, PART, PRIOR, PRIOR_BLOCK, SMOOTHING = 24, 256, 5, 0.25, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rules as (verdict, host/path).
@@ -76,15 +76,21 @@ def split_name(name: str, log: dict[str, float], unknown: float) -> list[str]:
 
     ``log`` holds at least those words of the lexicon that occur in the name.
     """
-    lengths = sorted({len(w) for w in log} | set(range(1, LETTERS + 1)))
+    long = [w for w in log if len(w) > LETTERS and w in name]
+    lengths = sorted({len(w) for w in long} | set(range(1, LETTERS + 1)), reverse=True)
+    ends: dict[tuple[int, int], str] = {}  # of long words, found by search and never cut out
+    for w in long:
+        at = name.find(w)
+        while at >= 0:
+            ends[at + len(w), len(w)] = w
+            at = name.find(w, at + 1)
     best, back = [0.0], [0]
     for end in range(1, len(name) + 1):
         top = (-math.inf, 0)
-        for n in reversed(lengths):  # of equals the longest last word
+        for n in lengths:  # of equals the longest last word
             if n > end:
                 continue
-            piece = name[end - n : end]
-            known = log.get(piece)
+            known = log.get(name[end - n : end] if n <= LETTERS else ends.get((end, n), ""))
             value = best[end - n] + (known if known is not None else unknown - 2.3 * n)
             if value > top[0]:
                 top = (value, end - n)
@@ -137,13 +143,22 @@ def lexicon(per_name: DataFrame, prior: DataFrame) -> tuple[DataFrame, float]:
 
 
 def segmented(per_name: DataFrame, words: DataFrame, total: float) -> DataFrame:
-    """(name, words): every name with the words of the lexicon that its substrings are."""
-    long = [r[0] for r in words.filter(F.length("word") > LETTERS).select(F.length("word")).distinct().collect()]  # lengths, not words
-    lengths = F.array(*(F.lit(n) for n in [*range(1, LETTERS + 1), *sorted(long)]))
-    cuts = F.flatten(F.transform(F.filter(lengths, lambda n: n <= F.length("name")), lambda n: F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda i: F.substring("name", i, n))))
-    pieces = per_name.select("name", F.explode(F.array_distinct(cuts)).alias("word"))
-    slices = pieces.join(words, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("slice"))  # at most a name's substrings
-    return materialize(per_name.select("name").join(slices, "name", "left").mapInArrow(_splitter(total), "name string, words array<string>"), "url-segments")
+    """(name, words): every name with the words of the lexicon that it may hold.
+
+    A name gives its pieces of up to ``LETTERS`` letters; a longer word is met by its first ``LETTERS``, and whether all of
+    it is there is seen when the name is split. Long names are cut into overlapping parts first, and
+    travel under a digest, so their pieces cost what those of many short names do.
+    """
+    key = F.when(F.length("name") > 2 * LETTERS, F.concat(F.lit("#"), F.sha2("name", 256))).otherwise(F.col("name"))
+    keyed = per_name.select("name", key.alias("key"))
+    begins = F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1)), F.lit(PART))
+    parts = keyed.select("key", F.explode(F.transform(begins, lambda i: F.substring("name", i, PART + LETTERS - 1))).alias("part"))
+    lengths = F.filter(F.sequence(F.lit(1), F.lit(LETTERS)), lambda n: n <= F.length("part"))
+    cuts = F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.length("part") - n + 1), lambda i: F.substring("part", i, n))))
+    pieces = parts.select("key", F.explode(F.array_distinct(cuts)).alias("begin"))
+    known = words.withColumn("begin", F.substring("word", 1, LETTERS))
+    slices = pieces.join(known, "begin").groupBy("key").agg(F.collect_set(F.struct("word", "n")).alias("slice"))  # at most a name's pieces
+    return materialize(keyed.join(slices, "key", "left").select("name", "slice").mapInArrow(_splitter(total), "name string, words array<string>"), "url-segments")
 
 
 def odds(per_name: DataFrame, segments: DataFrame, prior: DataFrame, weight: float = PRIOR) -> DataFrame:
