@@ -27,6 +27,10 @@ def test_a_tag_ends_at_the_next_one():
     assert [x for x in got if x[0] in ("li", "p", "td")] == [("li", "a"), ("li", "bc"), ("p", "e"), ("p", "f"), ("td", "g"), ("td", "h")]
 
 
+def test_formulas_stay_in_their_block():
+    assert [htmltext.own_text(n) for n in htmltext.below(htmltext.parse("<p>a <math><mi>x</mi><mo>+</mo></math> b</p>"))] == ["", "a x+ b"]
+
+
 def test_damaged_pages_do_not_hold_up_others(spark):
     good = "<html><body><nav><a>home</a></nav><article><p>The text number {0} of this page is long enough to stay here.</p></article></body></html>"
     pages = [(i, f"https://h.example/{i}", good.format(i)) for i in range(6)] + [(6 + i, f"https://h.example/x{i}", part * (20_000 // len(part))) for i, part in enumerate(DAMAGED)]
