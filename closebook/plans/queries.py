@@ -79,6 +79,19 @@ def ingest_damaged_files(spark, sf_dir):
     return union_all(out)
 
 
+@chained("""SELECT 'gl' AS source, * FROM (SELECT 'narration' AS key, 'missing' AS drift, CAST(NULL AS VARCHAR) AS type, CAST(0 AS BIGINT) AS n
+            UNION ALL SELECT 'branch', 'unexpected', 'STRING', count(*) FILTER (seq % 3 = 0) FROM feed WHERE source = 'gl' UNION ALL SELECT 'branch', 'unexpected', 'BIGINT', count(*) FILTER (seq % 3 = 1) FROM feed WHERE source = 'gl'
+            UNION ALL SELECT 'party', 'type_changed', 'BOOLEAN', count(*) FILTER (seq % 5 = 0) FROM feed WHERE source = 'gl')""")
+def ingest_drift(spark, sf_dir):
+    """Drift planted in the gl feed's lines: a key gone, one of two types new, one of another type at times."""
+    from ..sources import drift
+
+    raw = feeds.emit(over_workload(spark, sf_dir).feed, "gl").drop("narration")
+    kept = F.to_json(F.struct(*(F.col(c) for c in raw.columns if c != "party")), {"ignoreNullFields": "true"})
+    more = F.concat(F.when(F.col("seq") % 3 == 0, ',"branch":"b"').when(F.col("seq") % 3 == 1, ',"branch":7').otherwise(""), F.when(F.col("seq") % 5 == 0, ',"party":true').otherwise(',"party":"p"'), F.lit("}"))
+    return drift.report("gl", raw.select(kept.alias("line"), more.alias("more")).selectExpr("left(line, length(line) - 1) || more AS value"))
+
+
 @chained(f"SELECT {_PARSED} FROM feed WHERE source = 'gl'")
 def ingest_source_gl(spark, sf_dir):
     """The gl feed as written JSON lines, through the data source."""
