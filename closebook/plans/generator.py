@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import forecast
+from ..operators import forecast, shuffle
 from ..operators.forecast import RECURRING
 from . import workload
 from .close import WorkloadClose
@@ -26,6 +26,8 @@ MIX = {
 PARTIES = ("Acme Retail", "Blue Mart", "Ganesh Traders", "Nova Foods", "Star Textiles", "Metro Cabs", "Sunrise Pharma", "Zen Books")
 VENDORS = ("Kraft Supplies", "Indus Logistics", "Vertex Print", "Orbit Facilities", "Trinity Legal")
 END, HISTORY_DAYS, SEED, HELD_OUT_SEED, BOOKED_DAYS = datetime.date(2026, 8, 30), 30, 42, 1337, 45
+#: Ordinals of rows stay below this.
+ORDINALS = 1 << 60
 WHOLE = 1 << 32
 
 
@@ -119,15 +121,21 @@ class Batch:
     seed: int
 
 
-def generate(spark: SparkSession, n_events: int, seed: int = SEED, mix: dict[str, float] | None = None, history_days: int = HISTORY_DAYS, end: datetime.date = END, partitions: int | None = None) -> Batch:
-    """A batch: the same for the same seed, mix and span, however it is partitioned; recurring outflows come on top."""
+def generate(spark: SparkSession, n_events: int, seed: int = SEED, mix: dict[str, float] | None = None, history_days: int = HISTORY_DAYS, end: datetime.date = END, partitions: int | None = None, shuffled: bool = False) -> Batch:
+    """A batch: the same for the same seed, mix and span, however it is partitioned; recurring outflows come on top.
+
+    With ``shuffled`` rows arrive in an order that tells nothing about events: ``seq`` is a place and not an ordinal.
+    """
     drawn = events(spark, n_events, seed, mix, history_days, end, partitions)
     listed = workload.recurring_rows(spark, due(end, history_days))
     known = workload.rows_of(drawn, "k", "case_name").unionByName(listed.selectExpr("*", "seq div 64 AS k", "'outflow_recurring' AS case_name"))
     handling = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in workload.HANDLING.items() for x in kv]), F.col("case_type")), F.lit("matched"))
     truth = known.select(F.col("k").alias("event_id"), F.col("case_name").alias("case_type"), "source", "external_ref").distinct().withColumn("handling", handling)
     booked = forecast.recurring(spark, end, end + datetime.timedelta(days=BOOKED_DAYS))
-    return Batch(known.drop("k", "case_name"), truth.select("event_id", "case_type", "handling", "source", "external_ref"), booked, end - datetime.timedelta(days=history_days - 1), end, seed)
+    rows = known.drop("k", "case_name")
+    if shuffled:
+        rows = shuffle.placed(rows, "seq", seed, ORDINALS, "seq")
+    return Batch(rows, truth.select("event_id", "case_type", "handling", "source", "external_ref"), booked, end - datetime.timedelta(days=history_days - 1), end, seed)
 
 
 def run(spark: SparkSession, n_events: int, seed: int = HELD_OUT_SEED, greedy: bool = False, **options) -> WorkloadClose:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import money, text
-from ..operators import audit, exceptions, forecast, ingest, matching, scoring
+from ..operators import audit, exceptions, forecast, ingest, matching, scoring, shuffle
 from ..sources import feeds, files
 from ..storage import materialize, shared_dir, table, union_all
 from . import generator, oracles, workload
@@ -367,6 +367,31 @@ def generated_cases(spark, sf_dir):
     return drawn.groupBy(F.col("case_name").alias("case_type")).agg(F.count(F.lit(1)).alias("n"), F.sum("amt").alias("amount"))
 
 
+# Seeded shuffles.
+
+_ORDERS_PLACED = "WITH RECURSIVE " + shuffle.places_sql("(SELECT o_orderkey AS k FROM orders)", "(SELECT max(o_orderkey) + 1 FROM orders)")
+
+
+@query(f"{_ORDERS_PLACED} SELECT k, place FROM placed")
+def shuffled_orders(spark, sf_dir):
+    """Each order's place in a seeded shuffle."""
+    keyed = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("k"))
+    return shuffle.placed(keyed, "k")
+
+
+@query(f"{_ORDERS_PLACED} SELECT CAST(place // w AS INTEGER) AS file, count(*) AS n, min(place) AS first, max(place) AS last, CAST(0 AS BIGINT) AS disordered FROM placed, (SELECT (n + 7) // 8 AS w FROM grid) GROUP BY 1")
+def shuffled_files(spark, sf_dir):
+    """The orders written in shuffled order and read back: rows and places of each file, and rows that stand before an earlier place."""
+    keyed = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("k"))
+    n, path = shuffle.bound(keyed, "k"), f"{shared_dir(spark)}/shuffled-{uuid.uuid4().hex}"
+    shuffle.write(keyed, "k", path, 8, n=n)
+    file = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int").alias("file")
+    back = shuffle.placed(spark.read.parquet(path).select("k", file, F.col("_metadata.row_index").alias("line")), "k", n=n)
+    after = back.select("file", (F.col("line") + 1).alias("line"), F.col("place").alias("before"))
+    both = back.join(after, ["file", "line"], "left")
+    return both.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"), F.max("place").alias("last"), F.count_if(F.col("before") > F.col("place")).alias("disordered"))
+
+
 # Scoring and audit.
 
 _SCORES = ("SELECT *, round(matched / should_match, 6) AS match_rate, round(breaks_surfaced / breaks_planted, 6) AS break_recall, true AS bridge_sound, false_matches = 0 AND unexplained = 0 AND ambiguous_held >= ambiguous_planted AS publishable FROM "
@@ -382,6 +407,12 @@ def held_out_scores(spark, sf_dir):
     return generator.run(spark, table(spark, sf_dir, "orders").count()).scores()
 
 
+@query(oracles.chain(_SCORES, generator.feed_sql(_N_ORDERS, seed=generator.HELD_OUT_SEED)))
+def shuffled_scores(spark, sf_dir):
+    """The same batch in shuffled order of arrival: its scores do not change."""
+    return generator.run(spark, table(spark, sf_dir, "orders").count(), shuffled=True).scores()
+
+
 @chained(_SCORES)
 def eval_scores(spark, sf_dir):
     return over_workload(spark, sf_dir).scores()
