@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import measured
+
 KEY = ("source", "external_ref")
 
 
@@ -30,6 +32,21 @@ def report(parsed: DataFrame) -> DataFrame:
     return counts.select("total_in", "accepted", "deduplicated", "rejected", "skipped")
 
 
+def in_flight(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The accepted rows, written, and a row like that of ``report`` with seconds and records_per_sec.
+
+    Both come from the two writes themselves: what is read is counted as it is written, and so is what is kept.
+    """
+    is_ = lambda outcome: F.count_if(F.col("outcome") == outcome)
+    read = measured(parsed, "parsed", total_in=F.count(F.lit(1)), good=is_("ok"), rejected=is_("reject"), skipped=is_("skip"))
+    kept = measured(dedupe(read.rows.filter("outcome = 'ok'")), "accepted", accepted=F.count(F.lit(1)))
+    n, accepted, seconds = read.counts, kept.counts["accepted"], read.seconds + kept.seconds
+    row = (n["total_in"], accepted, n["good"] - accepted, n["rejected"], n["skipped"], seconds, n["total_in"] / seconds)
+    told = parsed.sparkSession.createDataFrame([row], "total_in long, accepted long, deduplicated long, rejected long, skipped long, seconds double, records_per_sec double")
+    check(told.first())
+    return kept.rows, told
+
+
 def per_source(accepted: DataFrame) -> DataFrame:
     return accepted.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import exceptions, ingest, matching, scoring
+from ..operators import exceptions, ingest, matching, metrics, scoring
 from ..storage import materialize, union_all
 from . import workload
 
@@ -21,6 +22,12 @@ class Close:
     def __init__(self, arrived: DataFrame, greedy: bool = False):
         """``greedy``: the two economic passes claim in list order, also where keys are contested."""
         self.arrived, self.greedy = arrived, greedy
+        #: Stages of the reconciliation with their number of rows and seconds, as they were written.
+        self.measured: dict[str, metrics.Measured] = {}
+
+    def _measure(self, df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+        self.measured[label] = metrics.measured(df, label, by, n=F.count(F.lit(1)))
+        return self.measured[label].rows
 
     @cached_property
     def feed(self) -> DataFrame:
@@ -28,16 +35,17 @@ class Close:
 
     @cached_property
     def rows(self) -> DataFrame:
-        return materialize(ingest.dedupe(self.feed), "rows", by="source")
+        feed = self.feed
+        return self._measure(ingest.dedupe(feed), "rows", by="source")
 
     @cached_property
     def exact(self) -> DataFrame:
-        return materialize(matching.parent_ref(self.rows).unionByName(matching.group_ref(self.rows)), "exact")
+        return self._measure(matching.parent_ref(self.rows).unionByName(matching.group_ref(self.rows)), "exact")
 
     @cached_property
     def economic(self) -> DataFrame:
         run = matching.economic_pair_greedy if self.greedy else matching.economic_pair
-        return materialize(run(self.rows, self.exact.select("txn_id").distinct()), "economic")
+        return self._measure(run(self.rows, self.exact.select("txn_id").distinct()), "economic")
 
     @cached_property
     def fx(self) -> DataFrame:
@@ -46,11 +54,22 @@ class Close:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return materialize(union_all([self.exact, self.economic, self.fx]), "edges")
+        return self._measure(union_all([self.exact, self.economic, self.fx]), "edges")
 
     @cached_property
     def unresolved(self) -> DataFrame:
-        return materialize(self.rows.join(self.edges.select("txn_id"), "txn_id", "left_anti"), "unresolved")
+        return self._measure(self.rows.join(self.edges.select("txn_id"), "txn_id", "left_anti"), "unresolved")
+
+    def throughput(self) -> DataFrame:
+        """One row: total_in, matched, unresolved, match_rate, seconds of the matching stages, records_per_sec.
+
+        Rows are counted while the stages are written: no job is run for it. An empty batch has a rate of 0.
+        """
+        _ = self.unresolved  # makes all stages
+        total, left = (self.measured[x].counts["n"] for x in ("rows", "unresolved"))
+        seconds = sum(self.measured[x].seconds for x in ("exact", "economic", "edges", "unresolved"))
+        row = (total, total - left, left, (total - left) / total if total else 0.0, seconds, total / seconds)
+        return self.rows.sparkSession.createDataFrame([row], "total_in long, matched long, unresolved long, match_rate double, seconds double, records_per_sec double")
 
     @cached_property
     def unbanked(self) -> DataFrame:

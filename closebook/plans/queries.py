@@ -114,6 +114,14 @@ def ingest_report(spark, sf_dir):
     return ingest.report(over_workload(spark, sf_dir).parsed)
 
 
+@chained("SELECT (SELECT count(*) FROM feed) + 16 AS total_in, (SELECT count(*) FROM rows) AS accepted, (SELECT count(*) FROM feed) - (SELECT count(*) FROM rows) AS deduplicated, CAST(15 AS BIGINT) AS rejected, CAST(1 AS BIGINT) AS skipped, true AS timed")
+def ingest_in_flight(spark, sf_dir):
+    """The report of an ingestion, counted by its own writes."""
+    raw = {s: df.unionByName(feeds.planted_bad(spark)[s]) if s in feeds.planted_bad(spark) else df for s, df in _raw(spark, sf_dir).items()}
+    _, told = ingest.in_flight(feeds.parse_all(raw))
+    return told.select("total_in", "accepted", "deduplicated", "rejected", "skipped", (F.col("records_per_sec") > 0).alias("timed"))
+
+
 @chained("SELECT source, count(*) AS n FROM rows GROUP BY source")
 def ingest_per_source(spark, sf_dir):
     return ingest.per_source(over_workload(spark, sf_dir).rows)
@@ -192,6 +200,13 @@ def match_rate(spark, sf_dir):
     return counts.withColumn("match_rate", F.round(F.col("matched") / F.col("total"), 6))
 
 
+@chained("SELECT total AS total_in, total - n AS matched, n AS unresolved, round((total - n) / total, 6) AS match_rate, true AS timed FROM (SELECT (SELECT count(*) FROM rows) AS total, (SELECT count(*) FROM unresolved) AS n)")
+def reconcile_throughput(spark, sf_dir):
+    """Counts and speed of the matching stages, from their own writes."""
+    told = over_workload(spark, sf_dir).throughput()
+    return told.select("total_in", "matched", "unresolved", F.round("match_rate", 6).alias("match_rate"), (F.col("records_per_sec") > 0).alias("timed"))
+
+
 @chained("SELECT CAST(0 AS BIGINT) AS overlap, CAST(0 AS BIGINT) AS lost")
 def partition_invariant(spark, sf_dir):
     """Records both matched and unresolved, and records that are neither."""
