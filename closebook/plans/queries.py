@@ -382,6 +382,41 @@ def generated_cases(spark, sf_dir):
     return drawn.groupBy(F.col("case_name").alias("case_type")).agg(F.count(F.lit(1)).alias("n"), F.sum("amt").alias("amount"))
 
 
+# Summaries.
+
+
+def _grouped(v: str) -> str:
+    return f"format('{{:,}}', CAST({v} AS BIGINT))"
+
+
+@chained("SELECT 'ingest' AS about, " + " || ".join([_grouped("accepted"), "' of '", _grouped("total_in"), "' rows taken in: '", _grouped("total_in - 16 - accepted"), "' re-imports, 15 rejected, 1 skipped'"]) + " AS line FROM (SELECT (SELECT count(*) FROM feed) + 16 AS total_in, (SELECT count(*) FROM rows) AS accepted) "
+         "UNION ALL SELECT 'match', " + " || ".join([_grouped("total - n"), "' of '", _grouped("total"), "' records matched ('", "format('{:.1f}', ((total - n) * 1000 // total) / 10.0)", "' %), '", _grouped("n"), "' open'"]) + " FROM (SELECT (SELECT count(*) FROM rows) AS total, (SELECT count(*) FROM unresolved) AS n)")
+def summary_lines(spark, sf_dir):
+    from . import reports
+
+    c = over_workload(spark, sf_dir)
+    lines = {"ingest": reports.ingest_line(ingest.report(c.parsed)), "match": reports.match_line(c.throughput())}
+    return union_all([df.select(F.lit(k).alias("about"), "line") for k, df in lines.items()])
+
+
+@query(f"WITH {generator.feed_sql(_N_ORDERS)} SELECT 'case: ' || case_name AS measure, count(*) AS n FROM ord GROUP BY 1 UNION ALL SELECT 'case: outflow_recurring', 3 UNION ALL SELECT 'events', count(*) + 3 FROM ord "
+       "UNION ALL SELECT 'true breaks', count(*) FROM ord WHERE case_name IN ('one_to_many_no_utr', 'duplicate_double_pay', 'break_no_bank', 'break_no_gl') UNION ALL SELECT 'expected re-imports', count(*) FROM ord WHERE case_name = 'duplicate_same_ref' "
+       "UNION ALL SELECT 'days', 30 UNION ALL SELECT 'rows', count(*) FROM feed UNION ALL SELECT 'future bookings', count(*) FROM (SELECT unnest(generate_series(DATE '2026-08-31', DATE '2026-08-30' + 45, INTERVAL 1 DAY)) AS d) WHERE day(d) IN (1, 5, 12)")
+def generated_summary(spark, sf_dir):
+    """What a seeded batch holds: events of each case, and totals."""
+    from . import reports
+
+    return reports.batch_summary(_generated(spark, sf_dir))
+
+
+@chained("SELECT txn_id, amount_minor - fee_minor - tax_minor AS net_minor, CAST(amount_minor // 100 AS VARCHAR) || '.' || lpad(CAST(amount_minor % 100 AS VARCHAR), 2, '0') AS amount_major, source AS key_source, external_ref AS key_ref FROM rows")
+def derived_columns(spark, sf_dir):
+    from ..functions import derived
+
+    rows = derived.with_derived(over_workload(spark, sf_dir).rows)
+    return rows.select("txn_id", "net_minor", F.col("amount_major").cast("string").alias("amount_major"), F.col("dedupe_key.source").alias("key_source"), F.col("dedupe_key.external_ref").alias("key_ref"))
+
+
 # Seeded shuffles.
 
 _ORDERS_PLACED = "WITH RECURSIVE " + shuffle.places_sql("(SELECT o_orderkey AS k FROM orders)", "(SELECT max(o_orderkey) + 1 FROM orders)")
