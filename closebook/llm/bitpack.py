@@ -24,9 +24,11 @@ library will do; what cannot be encoded word by word is encoded text by text.
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ from pyspark.sql import functions as F
 from .common import _ASCII_LOWER, WordIndex, remembered, shared_dir, texts
 
 BLOCK_IDS = 1 << 14
+#: Words encoded by one call; what the library returns for a word is some hundred times its size.
+AT_ONCE = 1 << 11
 SCHEMA = "shard int, block int, first long, n_ids long, width int, least long, most long, doc_ids array<long>, ends array<long>, payload binary"
 #: A run of ASCII marks between a letter (a-z, or one of U+00DF-U+00FF) and white space or the end.
 _MARKS = re.compile(rb"[!-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))[!-/:-@\[-`{-~]*(?=[ \t-\r]|$)")
@@ -95,6 +99,7 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core, and each thread would hold memory of its own
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(vocabulary), end_id
@@ -108,14 +113,20 @@ class Encoder:
         )
 
     def _describe(self, words: list[bytes]) -> list[np.ndarray]:
-        encoded = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words if w != b" "], add_special_tokens=False)]
-        if b" " in words:
-            encoded.insert(words.index(b" "), [self.end_id])
-        counts = np.array([len(x) for x in encoded], dtype=np.int64)
+        ids, counts = array("I"), array("q")
+        for i in range(0, len(words), AT_ONCE):
+            part = words[i : i + AT_ONCE]
+            encoded = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in part if w != b" "], add_special_tokens=False)]
+            if b" " in part:
+                encoded.insert(part.index(b" "), [self.end_id])
+            for x in encoded:
+                ids.extend(x)
+                counts.append(len(x))
+        counts = np.array(counts, dtype=np.int64)
         if not self.index.columns:
             self.flat = np.zeros(0, np.uint32)
         starts = len(self.flat) + np.cumsum(counts) - counts
-        self.flat = np.concatenate([self.flat, np.array([i for x in encoded for i in x], dtype=np.uint32)])
+        self.flat = np.concatenate([self.flat, np.frombuffer(ids, dtype=np.uint32)])
         return [starts, counts]
 
     def __call__(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

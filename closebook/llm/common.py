@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 from collections.abc import Callable
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 
 from ..storage import materialize, passing, shared_dir, small, table, union_all
 
-__all__ = ["WordIndex", "ascii_words", "letter_words", "materialize", "passing", "plain_words", "remembered", "shared_dir", "small", "table", "texts", "union_all"]
+__all__ = ["WordIndex", "ascii_words", "frugal", "letter_words", "materialize", "passing", "plain_words", "remembered", "shared_dir", "small", "table", "texts", "union_all"]
 
 #: Bytes of words and their columns that a Python worker remembers.
 WORD_BYTES = 32 << 20
@@ -26,8 +27,25 @@ _LETTER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 1
 _held: dict = {}
 
 
+#: glibc's names for what ``mallopt`` sets: when to give memory back, which blocks are mapped on their own, how many arenas.
+_TRIM_THRESHOLD, _MMAP_THRESHOLD, _ARENA_MAX = -1, -3, -8
+
+
+@functools.cache
+def frugal() -> None:
+    """For the rest of a Python worker's life, freed arrays and Arrow buffers go back to the system at once, where the C library can."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except AttributeError:
+        return
+    for what, value in ((_ARENA_MAX, 1), (_MMAP_THRESHOLD, 256 << 10), (_TRIM_THRESHOLD, 1 << 20)):
+        mallopt(what, value)
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def remembered(key: object, make: Callable[[], object]) -> object:
     """What a Python worker keeps from task to task: one thing at a time; that of another stage goes first."""
+    frugal()
     if key not in _held:
         _held.clear()
         trim()
