@@ -644,6 +644,17 @@ def test_constants_are_counted_over_all_pages(spark):
     assert all(got[i] == " ".join(b[:3]) for i, b in enumerate(bodies))
 
 
+def test_links_between_paragraphs_are_the_articles_own(spark):
+    """Lists and tables of links stay where paragraphs stand before and after them, and go at the ends."""
+    links = lambda i, of: "".join(of.format(f'<a href="/{i}/{k}">source {i} {k}</a>') for k in range(4))
+    page = "<ul>{}</ul><article><ul>{}</ul><p>first {n} words</p><ul>{}</ul><p>second {n} words</p><table>{}</table><p>third {n} words</p><ul>{}</ul></article>"
+    item, row = "<li>{}</li>", "<tr><td>{}</td></tr>"
+    made = [page.format(links(f"a{i}", item), links(f"b{i}", item), links(f"c{i}", item), links(f"d{i}", row), links(f"e{i}", item), n=i) for i in range(9)]
+    got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame([(i, f"http://r.example/{i}", x) for i, x in enumerate(made)], "page_id long, url string, html string")).collect()}
+    named = lambda k, i: " ".join(f"source {k}{i} {j}" for j in range(4))
+    assert all(got[i] == f"first {i} words {named('c', i)} second {i} words {named('d', i)} third {i} words" for i in range(9))
+
+
 def test_near_copies_of_one_article_keep_their_text(spark):
     base = [words(random.Random(k), 10 + k) for k in range(5)]
     bodies = [[f"changed {i} {i * i}" if k == i % 5 else x for k, x in enumerate(base)] for i in (2, 7, 12, 17, 22, 27)]
