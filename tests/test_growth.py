@@ -31,13 +31,17 @@ def test_compressed_files_do_not_make_a_large_table_broadcast(spark, monkeypatch
     assert large.count() == 50_000
 
 
-def test_lines_of_a_pool_are_never_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(storage, "BROADCAST_BYTES", 1 << 10)
+def test_exploded_days_are_never_broadcast(spark):
+    """The planner takes an explosion to have the size of its input, here a few KB of files."""
     row = "txn_id string, source string, direction string, currency string, counterparty string, amount_minor long, value_date date, seq long"
-    lines = spark.range(20_000).selectExpr("concat('l', id) AS txn_id", "'settlement' AS source", "'inbound' AS direction", "'INR' AS currency", "concat('p', id % 50) AS counterparty", "id % 9 + 1 AS amount_minor", "date'2026-08-10' AS value_date", "id AS seq")
-    deposit = spark.createDataFrame([("d", "bank", "inbound", "INR", "P1", 8, DAY, -1)], row)
-    plan = _plan(exceptions.pool(deposit, lines))
-    assert "pool-lines" in plan and "BroadcastHashJoin" not in plan.split("== Physical Plan ==")[1].split("+- == Initial Plan")[0].rpartition("Generate explode(sequence")[0]
+    side = lambda source: storage.materialize(spark.range(2_000).selectExpr(f"concat('{source}', id) AS txn_id", f"'{source}' AS source", "'inbound' AS direction", "'INR' AS currency", "concat('p', id % 50) AS counterparty", "id % 9 + 1 AS amount_minor", "date'2026-08-10' AS value_date", "id AS seq"), source)
+    bank, lines = side("bank"), side("settlement")
+    for made in (exceptions.pool(bank, lines), exceptions.twins(bank, bank.limit(5))):
+        for part in made._jdf.queryExecution().sparkPlan().toString().split("BroadcastHashJoin")[1:]:
+            assert "Generate explode(" not in part.split("BroadcastHashJoin")[0].rpartition("Exchange")[0]
+    book = side("gl").withColumn("currency", F.lit("USD"))
+    _, _, near = matching.fx_candidates(book.unionByName(bank), spark.createDataFrame([], row).select("txn_id"))
+    assert "SortMergeJoin [direction" in near._jdf.queryExecution().sparkPlan().toString()
 
 
 def test_pool_takes_nearer_days_first_and_no_more_than_are_open(spark):
@@ -62,8 +66,7 @@ def test_no_day_asks_for_more_lines_than_nearer_days_leave_open(spark):
     pooled = exceptions.pool(spark.createDataFrame([("d", "bank", "inbound", "INR", "a", 5, DAY, -1)], row), spark.createDataFrame(lines, row))
     pooled.write.format("noop").mode("overwrite").save()
     assert {r.line_id for r in pooled.collect()} == {f"l{i}" for i in range(4, 9 * POOL_LINES, 9)}
-    before_last = pooled._jdf.queryExecution().optimizedPlan().toString()
-    assert "open" in before_last
+    assert "open#" in pooled._jdf.queryExecution().optimizedPlan().toString()
 
 
 @pytest.mark.parametrize("width", [FX_TOLERANCE, FX_TOLERANCE + 1, BAND])
