@@ -28,7 +28,6 @@ import os
 import re
 import uuid
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +40,8 @@ from .common import _ASCII_LOWER, WordIndex, remembered, shared_dir, texts
 BLOCK_IDS = 1 << 14
 #: Words encoded by one call; what the library returns for a word is some hundred times its size.
 AT_ONCE = 1 << 11
+#: Words in one text of such a call, and the mark between them.
+TOGETHER, BETWEEN = 16, b"\x01"
 SCHEMA = "shard int, block int, first long, n_ids long, width int, least long, most long, doc_ids array<long>, ends array<long>, payload binary"
 #: A run of ASCII marks between a letter (a-z, or one of U+00DF-U+00FF) and white space or the end.
 _MARKS = re.compile(rb"[!-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))[!-/:-@\[-`{-~]*(?=[ \t-\r]|$)")
@@ -111,22 +112,40 @@ class Encoder:
             made["normalizer"] == _NORMALIZER and split[0].get("pattern") == {"Regex": _SPLIT} and split[0].get("invert") is True
             and [x.get("type") for x in split] == ["Split", "ByteLevel"] and all(_SPECIAL.decode() in x["content"] for x in made["added_tokens"])
         )
+        # The mark stands between spaces, where no piece crosses, so its one id tells where a word's ids end.
+        mark = self.tokenizer.encode(BETWEEN.decode(), add_special_tokens=False).ids if self.by_word else []
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids in order, and how many each has."""
+        whole = b" ".join(words)
+        if self.mark is None or BETWEEN in whole or _SPECIAL in whole:
+            found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+            return np.array([i for x in found for i in x], dtype=np.uint32), np.array([len(x) for x in found], dtype=np.int64)
+        gap = b" " + BETWEEN + b" "
+        joined = [(gap.join(words[i : i + TOGETHER]) + gap).decode() for i in range(0, len(words), TOGETHER)]
+        ids: list[int] = []
+        for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
+            ids += x.ids
+        ids = np.array(ids, dtype=np.uint32)
+        at = np.flatnonzero(ids == self.mark)
+        return np.delete(ids, at), np.diff(at, prepend=-1) - 1
 
     def _describe(self, words: list[bytes]) -> list[np.ndarray]:
-        ids, counts = array("I"), array("q")
+        ids, counts = [], []
         for i in range(0, len(words), AT_ONCE):
             part = words[i : i + AT_ONCE]
-            encoded = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in part if w != b" "], add_special_tokens=False)]
+            found, n = self._encoded([w for w in part if w != b" "])
             if b" " in part:
-                encoded.insert(part.index(b" "), [self.end_id])
-            for x in encoded:
-                ids.extend(x)
-                counts.append(len(x))
-        counts = np.array(counts, dtype=np.int64)
+                at = part.index(b" ")
+                found, n = np.insert(found, n[:at].sum(), self.end_id), np.insert(n, at, 1)
+            ids.append(found)
+            counts.append(n)
+        counts = np.concatenate(counts)
         if not self.index.columns:
             self.flat = np.zeros(0, np.uint32)
         starts = len(self.flat) + np.cumsum(counts) - counts
-        self.flat = np.concatenate([self.flat, np.frombuffer(ids, dtype=np.uint32)])
+        self.flat = np.concatenate([self.flat, *ids])
         return [starts, counts]
 
     def __call__(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -27,6 +27,9 @@ _LETTER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 1
 _held: dict = {}
 
 
+#: Blocks from this size on are mapped on their own. The arrays of one batch are smaller: mapping each anew costs a fault for every page of it.
+OWN_BLOCK = 4 << 20
+
 #: glibc's names for what ``mallopt`` sets: when to give memory back, which blocks are mapped on their own, how many arenas.
 _TRIM_THRESHOLD, _MMAP_THRESHOLD, _ARENA_MAX = -1, -3, -8
 
@@ -38,7 +41,7 @@ def frugal() -> None:
         mallopt = ctypes.CDLL(None).mallopt
     except AttributeError:
         return
-    for what, value in ((_ARENA_MAX, 1), (_MMAP_THRESHOLD, 256 << 10), (_TRIM_THRESHOLD, 1 << 20)):
+    for what, value in ((_ARENA_MAX, 1), (_MMAP_THRESHOLD, OWN_BLOCK), (_TRIM_THRESHOLD, OWN_BLOCK)):
         mallopt(what, value)
     pa.set_memory_pool(pa.system_memory_pool())
 
@@ -83,6 +86,18 @@ def texts(batch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast("binary").to_pylist()]
 
 
+class _Numbers(dict):
+    """Word -> number, the next one for a word not met before; ``fresh`` lists those."""
+
+    def __init__(self):
+        self.fresh: list = []
+
+    def __missing__(self, word) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+
 class WordIndex:
     """Word -> dense number, remembered within one Python worker and cleared when it outgrows ``limit`` bytes.
 
@@ -94,7 +109,7 @@ class WordIndex:
         self.clear()
 
     def clear(self) -> None:
-        self.ids: dict = {}
+        self.ids = _Numbers()
         self.columns: list[np.ndarray] | None = None
         self.bytes = 0
 
@@ -102,16 +117,13 @@ class WordIndex:
         if self.bytes > self.limit:
             self.clear()
             trim()
-        ids = self.ids
-        fresh = [w for w in set(words) if w not in ids]
-        if fresh:
-            fresh.sort()
-            for w in fresh:
-                ids[w] = len(ids)
+        at = np.fromiter(map(self.ids.__getitem__, words), dtype=np.int64, count=len(words))  # each word is looked up once
+        if fresh := self.ids.fresh:
+            self.ids.fresh = []
             rows = self.describe(fresh)
             self.columns = list(rows) if self.columns is None else [self._grow(i, r) for i, r in enumerate(rows)]
             self.bytes += sum(map(len, fresh)) + 280 * len(fresh) + sum(r.nbytes for r in rows)
-        return np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
+        return at
 
     def _grow(self, i: int, rows: np.ndarray) -> np.ndarray:
         """Columns have spare room, so that many small additions stay cheap."""
