@@ -1,8 +1,7 @@
 """Multilingual mixture inference: how much of each document is in which language.
 
-Model: each language has a distribution over hashed byte trigrams of letters, counted by Spark over at
-most ``PER_LANGUAGE`` labelled documents of each language (a seeded choice; the bound is a parameter). Every
-labelled language is learned. Up to ``DENSE_LANGUAGES`` the distributions are one dense table, beyond that
+Model: each language has a distribution over hashed byte trigrams of letters, counted by Spark over all
+labelled documents (over a seeded choice only if ``per_language`` bounds them). Every labelled language is learned. Up to ``DENSE_LANGUAGES`` the distributions are one dense table, beyond that
 only the counts that are not 0 are held, and a document's own rows are filled in from them.
 
 Inference: a document's trigrams are drawn from a mixture of the languages. Expectation-maximisation
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import _LETTER_BYTES, materialize, small, texts
 
-BUCKETS, PER_LANGUAGE, DENSE_LANGUAGES = 1 << 15, 1500, 64
+BUCKETS, DENSE_LANGUAGES = 1 << 15, 64
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -49,14 +48,36 @@ def sampled(rows: DataFrame, group: str, most: int, seed: int = 11) -> DataFrame
 
 
 def _count(batches):
+    """Trigrams of each language by bucket; a task holds the counts of ``DENSE_LANGUAGES`` languages at most."""
     totals: dict[str, np.ndarray] = {}
+    waiting: dict[str, list[np.ndarray]] = {}
+    held = 0
+
+    def add():
+        nonlocal held
+        for lang, found in waiting.items():
+            totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
+            totals[lang] += np.bincount(np.concatenate(found), minlength=BUCKETS)
+        waiting.clear()
+        held = 0
+
+    def counted():
+        add()
+        for lang, total in totals.items():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["lang", "bucket", "n"])
+        totals.clear()
+
     for batch in batches:
         for lang, raw in zip(batch.column("lang").to_pylist(), texts(batch), strict=True):
-            total = totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            total += np.bincount(grams(raw), minlength=BUCKETS)
-    for lang, total in totals.items():
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["lang", "bucket", "n"])
+            if lang not in totals and lang not in waiting and len(totals.keys() | waiting.keys()) >= DENSE_LANGUAGES:
+                yield from counted()
+            found = grams(raw)
+            waiting.setdefault(lang, []).append(found)
+            held += len(found)
+            if held >= 1 << 17:
+                add()
+    yield from counted()
 
 
 class Model:
@@ -82,9 +103,9 @@ class Model:
         return self.dense[buckets] if self.dense is not None else self._fill(buckets)
 
 
-def fit(docs: DataFrame, allowed: Column, per_language: int = PER_LANGUAGE) -> Model:
+def fit(docs: DataFrame, allowed: Column, per_language: int | None = None) -> Model:
     rows = docs.select("doc_id", "text", "lang").filter(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counted = sampled(rows, "lang", per_language).mapInArrow(_count, "lang string, bucket int, n long")
+    counted = (rows if per_language is None else sampled(rows, "lang", per_language)).mapInArrow(_count, "lang string, bucket int, n long")
     table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     codes = table.column("lang").combine_chunks().dictionary_encode()
     names = codes.dictionary.to_pylist()
@@ -146,9 +167,9 @@ def _predictor(shared):
     return run
 
 
-def identify(docs: DataFrame, held_out: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
+def identify(docs: DataFrame, held_out: Column, per_language: int | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score (its proportion), languages, proportions; learned from rows not held out."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, ~held_out, per_language))  # counts that are not 0, of a bounded number of documents a language
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, ~held_out, per_language))  # counts that are not 0, at most BUCKETS a language
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     return rows.mapInArrow(
         _predictor(model), "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, proportions array<double>"

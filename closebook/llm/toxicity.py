@@ -2,13 +2,15 @@
 
 A word's vector is the mean of hashed embeddings of the word and of its letter 4-grams, so unseen forms
 of a known stem still speak. Filters of several widths run over the whole text; each filter's largest
-answer goes to a logistic output. The weights are learned on at most ``PER_CLASS`` labelled documents and
+answer goes to a logistic output. The weights start from at most ``PER_CLASS`` labelled documents and
 ``CLASS_BYTES`` bytes of each class, none over a sixteenth of those (a seeded choice; the bounds are parameters).
+If there are more, every labelled document is learned from: they are dealt to shards, a network goes on from the start
+over each half of a shard, and the weights move by the mean of all. The sums are of whole numbers, so reruns agree.
 
 The output is calibrated by language, which is inferred from a text's words (hashed word likelihoods learned
-on the same sample): a threshold for each language is taken from the score, so that 0.5 is as likely toxic as
+on all labelled documents): a threshold for each language is taken from the score, so that 0.5 is as likely toxic as
 not. It is fitted by cross-fitting: each labelled document is scored by a network that has seen only the other
-folds. The threshold of all is drawn to 0 and a language's to that of all (``PRIOR`` documents' worth), so
+folds, or the other half of its shard. The threshold of all is drawn to 0 and a language's to that of all (``PRIOR`` documents' worth), so
 small samples shift little and every language has a threshold of its own.
 
 A score is a function of the text and the network alone: words' answers are computed word by word in a fixed order and
@@ -21,8 +23,8 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import copy
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,23 +32,51 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordIndex, letter_words, remembered, texts
+from .common import WordIndex, letter_words, materialize, remembered, small, texts
 from .langid import sampled
 
 ROWS, DIMS, FILTERS, WIDTHS = 1 << 14, 16, 12, (1, 2, 3)
 PER_CLASS, CLASS_BYTES, LANG_BUCKETS, PAD = 2000, 16 << 20, 1 << 12, max(WIDTHS)
-FOLDS, PRIOR, EPOCHS, STEPS, BATCH = 2, 10, 6, 250, 32
+FOLDS, PRIOR, EPOCHS, STEPS, BATCH, BATCH_WORDS = 2, 10, 6, 250, 32, 1 << 17
+#: Documents and bytes that are learned from at once, and at most how many tasks share them out.
+SHARD_DOCS, SHARD_BYTES, TASKS = 2000, 4 << 20, 256
+#: Steps of a sum of weights, in which the order of its parts does not matter; values of a row of it; steps of a score's histogram.
+FIXED, BLOCK, BINS = 1 << 24, 1 << 13, 64
+
+
+def _crc_tables() -> list[np.ndarray]:
+    """What each of four bytes adds to a crc32, by its distance from the end."""
+    first = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        first = np.where(first & 1, (first >> 1) ^ np.uint32(0xEDB88320), first >> 1)
+    out = [first]
+    for _ in range(3):
+        out.append(first[out[-1] & 255] ^ (out[-1] >> 8))
+    return out
+
+
+_CRC = _crc_tables()
+_CRC_STATE = np.uint32(zlib.crc32(b"#") ^ 0xFFFFFFFF)
 
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Embedding rows of the words, its own and those of its framed 4-grams, and how many each has."""
-    rows, counts = array("i"), []
-    for word in words:
-        framed, before = b"<" + word + b">", len(rows)
-        rows.append(zlib.crc32(word) % ROWS)
-        rows.extend([zlib.crc32(b"#" + framed[i : i + 4]) % ROWS for i in range(max(1, len(framed) - 3))])
-        counts.append(len(rows) - before)
-    return np.frombuffer(rows, np.int32) if counts else np.zeros(0, np.int32), np.array(counts, dtype=np.int64)
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    raw = np.frombuffer(b"<" + b"><".join(words) + b">", np.uint8)
+    counts = np.maximum(sizes - 1, 1) + 1
+    begins, starts = np.cumsum(sizes + 2) - sizes - 2, np.cumsum(counts) - counts
+    at = np.arange(counts.sum()) - np.repeat(starts + 1, counts)  # a gram's place in its word; -1 for the word itself
+    where = np.minimum(np.maximum(at, 0) + np.repeat(begins, counts), max(len(raw) - 4, 0))
+    short = np.repeat(sizes == 1, counts)  # a framed word of one letter is shorter than a gram
+    c = [raw[np.minimum(where + j, len(raw) - 1)] for j in range(4)]
+    s = [(_CRC_STATE >> np.uint32(8 * j)) & np.uint32(255) for j in range(4)]
+    rows = (~(_CRC[3][c[0] ^ s[0]] ^ _CRC[2][c[1] ^ s[1]] ^ _CRC[1][c[2] ^ s[2]] ^ _CRC[0][c[3] ^ s[3]]) % np.uint32(ROWS)).astype(np.int32)
+    rows[starts] = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % ROWS
+    for i in np.flatnonzero(short & (at >= 0)):
+        rows[i] = zlib.crc32(b"#<" + words[np.searchsorted(starts, i, "right") - 1] + b">") % ROWS
+    return rows, counts
 
 
 def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +116,7 @@ class Network:
         self.langs: list[str] = []
         self.lang_logp = np.zeros((LANG_BUCKETS, 1), np.float32)
         self.thresholds = np.zeros(1)
-        self.trained = False
+        self.trained, self.state, self.crossed = False, {}, None
 
     def vectors(self, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Vectors of words with ``counts`` embedding rows each, which ``flat`` lists."""
@@ -103,13 +133,12 @@ class Network:
         Sums are taken one dimension after the other, so that a vector's answers never depend on its neighbours, as
         those of a matrix product may in their last bits.
         """
-        out = []
-        for row in (row for f in self.filters for row in f):
-            total = np.zeros((len(x), FILTERS), x.dtype)
+        wide = np.concatenate([row for f in self.filters for row in f], axis=1)
+        out = np.zeros((len(x), wide.shape[1]), x.dtype)
+        for i in range(0, len(x), 512):
             for d in range(DIMS):
-                total += x[:, d : d + 1] * row[d]
-            out.append(total)
-        return out
+                out[i : i + 512] += x[i : i + 512, d : d + 1] * wide[d]
+        return [np.ascontiguousarray(out[:, k : k + FILTERS]) for k in range(0, wide.shape[1], FILTERS)]
 
     def pooled_scores(self, answers: list[np.ndarray], at: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The output before calibration; ``at`` lists the rows of ``answers`` for each text's words and ``PAD`` empty ones."""
@@ -138,13 +167,23 @@ class Network:
 
         A small sample is seen more often, so that there are ``STEPS`` steps at least.
         """
-        rng, offs = np.random.default_rng(seed), np.cumsum(counts) - counts
-        weights = self._weights()
-        state = {k: np.full(v.shape, 1e-9, np.float32) for k, v in weights.items()}
+        rng = np.random.default_rng(seed)
+        self.state = {k: np.full(v.shape, 1e-9, np.float32) for k, v in self._weights().items()}
         for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(words)))):
-            order = rng.permutation(len(words))
-            for begin in range(0, len(order), BATCH):
-                part = order[begin : begin + BATCH]
+            self.proceed(words, flat, counts, labels, rng.permutation(len(words)), rate)
+
+    def proceed(self, words: list[np.ndarray], flat: np.ndarray, counts: np.ndarray, labels: np.ndarray, order: np.ndarray, rate: float = 0.05) -> None:
+        """One pass over the texts in ``order``. A batch has ``BATCH`` texts, fewer if they have more than ``BATCH_WORDS`` words."""
+        offs, weights, state = np.cumsum(counts) - counts, self._weights(), self.state
+        if len(order):
+            upto = np.cumsum([len(words[i]) for i in order])
+            last, edges = 0, [0]
+            for i in range(1, len(order)):
+                if i - edges[-1] == BATCH or upto[i] - last > BATCH_WORDS:
+                    edges.append(i)
+                    last = upto[i - 1]
+            for begin, stop in zip(edges, [*edges[1:], len(order)], strict=True):
+                part = order[begin:stop]
                 grads, (rows, g) = self.gradients([words[i] for i in part], labels[part], flat, offs, counts)
                 for k, x in grads.items():
                     state[k] += x * x
@@ -217,7 +256,7 @@ def learn(rows: list, prior: float) -> Network:
     weight = np.where(y[known] > 0, 1.0, prior * (y == 1).sum() / (y == 0).sum())
     net.thresholds = calibrated(z[known], y[known], weight, lang[known], net.lang_logp.shape[1])
     net.train(words, flat, counts, y)
-    net.trained = True
+    net.trained, net.crossed = True, (z[known], y[known], [own for own, k in zip(words, known, strict=True) if k], buckets)
     return net
 
 
@@ -321,17 +360,136 @@ def _acceptor(shared, key: int):
     return F.arrow_udf(run, "boolean")
 
 
+def _numbered(raws: list[bytes]) -> tuple[list[np.ndarray], list[bytes]]:
+    """Each text's word numbers, and the words."""
+    index: dict[bytes, int] = {}
+    return [np.array([index.setdefault(w, len(index)) for w in letter_words(raw)], dtype=np.int32) for raw in raws], list(index)
+
+
+def _languages(batches):
+    """Words of each language by bucket."""
+    totals: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for lang, raw in zip(batch.column("lang").to_pylist(), texts(batch, "raw"), strict=True):
+            own = letter_words(raw)
+            total = totals.setdefault(lang, np.zeros(LANG_BUCKETS, np.int64))
+            total += np.bincount(np.fromiter(map(zlib.crc32, own), np.int64, len(own)) % LANG_BUCKETS, minlength=LANG_BUCKETS)
+    for lang, total in totals.items():
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["lang", "bucket", "n"])
+
+
+def _learner(shared):
+    """Shards of documents, each in two halves: a network goes on from the shared one over each half and scores the other.
+
+    Gives the sum of what the networks' weights moved, times their documents, in fixed steps; the documents behind it; and how many
+    documents of a language and label have which score. Documents that the shared network has seen are not scored.
+    """
+
+    def run(batches):
+        start = shared.value
+        begin = _flat(start)
+        moved, seen, scored = np.zeros(len(begin), np.int64), 0, {}
+
+        def learn_from(rows):
+            nonlocal moved, seen
+            words, index = _numbered([r[0] for r in rows])
+            if not index:
+                return
+            (flat, counts), y, half = features(index), np.array([r[1] for r in rows], np.float32), np.array([r[2] for r in rows])
+            buckets = np.array([_lang_bucket(w) for w in index], dtype=np.int32)
+            for k in range(FOLDS):
+                mine = np.flatnonzero(half == k)
+                net = copy.deepcopy(start)
+                net.proceed(words, flat, counts, y, mine)
+                moved += np.round((_flat(net) - begin) * (FIXED * len(mine))).astype(np.int64)
+                seen += len(mine)
+                vectors = net.vectors(flat, counts)
+                for i in (i for i in range(len(rows)) if half[i] != k and not rows[i][3]):
+                    z = net.raw_scores(vectors[words[i]], counts=np.array([len(words[i])]))[0]
+                    key = (int(start.lang_logp[buckets[words[i]]].sum(0).argmax()), rows[i][1], round(BINS * max(-100.0, min(100.0, float(z)))))
+                    scored[key] = scored.get(key, 0) + 1
+
+        held, size, shard = [], 0, None
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("shard", "toxic", "half", "started")]
+            for at, toxic, half, started, raw in zip(*columns, texts(batch, "raw"), strict=True):
+                if held and (at != shard or len(held) >= 2 * SHARD_DOCS or size >= 2 * SHARD_BYTES):
+                    learn_from(held)
+                    held, size = [], 0
+                held.append((raw, toxic, half, started))
+                size, shard = size + len(raw), at
+        if held:
+            learn_from(held)
+        parts = [(0, i, 0, seen, moved[i : i + BLOCK].astype("<i8").tobytes()) for i in range(0, len(moved), BLOCK)] if seen else []
+        parts += [(1 + 2 * lang + toxic, z, 0, n, None) for (lang, toxic, z), n in scored.items()]
+        for i in range(0, len(parts), 1024):
+            kind, place, _, n, payload = zip(*parts[i : i + 1024], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(place, pa.int32()), pa.array(n, pa.int64()), pa.array(payload, pa.binary())], names=["kind", "place", "n", "payload"])
+
+    return run
+
+
+def _summed_blocks(table: pa.Table) -> pa.Table:
+    """One block of the sum over all tasks."""
+    total = np.sum([np.frombuffer(x, "<i8") for x in table.column("payload").to_pylist()], axis=0, dtype=np.int64)
+    return pa.table({"place": table.column("place")[:1], "n": [sum(table.column("n").to_pylist())], "payload": [total.astype("<i8").tobytes()]})
+
+
+def _flat(net: Network) -> np.ndarray:
+    return np.concatenate([w.ravel() for w in net._weights().values()]).astype(np.float64)
+
+
+def _proceed(net: Network, rows: DataFrame, n_docs: int, n_bytes: int) -> Network:
+    """``net`` after all labelled documents: its weights move by the mean of what they move in the shards, thresholds are from all scores."""
+    found = rows.filter("lang IS NOT NULL").select("lang", "raw").mapInArrow(_languages, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    net.langs = sorted({r.lang for r in found})
+    counted, place = np.full((LANG_BUCKETS, max(1, len(net.langs))), 0.1), {x: i for i, x in enumerate(net.langs)}
+    for r in found:
+        counted[r.bucket, place[r.lang]] += r.n
+    net.lang_logp = np.log(counted / counted.sum(0)).astype(np.float32)
+    (z, y, own, buckets), net.crossed = net.crossed, None
+    lang = np.array([net.lang_logp[buckets[w]].sum(0).argmax() for w in own], dtype=np.int64)
+    shards = max(-(-n_docs // SHARD_DOCS), -(-n_bytes // SHARD_BYTES), 1)
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(shards)).cast("int")).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(FOLDS)).cast("int"))
+    dealt = dealt.repartitionById(min(shards, TASKS), F.pmod("shard", F.lit(min(shards, TASKS)))).sortWithinPartitions("shard", F.xxhash64("doc_id"), "doc_id", "bytes", "raw")
+    learned = materialize(dealt.select("shard", "toxic", "half", "started", "raw").mapInArrow(_learner(rows.sparkSession.sparkContext.broadcast(net)), "kind int, place int, n long, payload binary"), "toxicity-learned")
+    blocks = learned.filter("kind = 0").groupBy("place").applyInArrow(_summed_blocks, "place int, n long, payload binary").collect()  # one network's weights
+    moved = _flat(net) * 0
+    for r in blocks:
+        part = np.frombuffer(r.payload, "<i8")
+        moved[r.place : r.place + len(part)] = part / (FIXED * r.n)
+    at = 0
+    for w in net._weights().values():
+        w += moved[at : at + w.size].reshape(w.shape).astype(w.dtype)
+        at += w.size
+    bins = learned.filter("kind > 0").groupBy("kind", "place").agg(F.sum("n").alias("n")).collect()  # a bounded number for each language
+    kind = np.array([r.kind - 1 for r in bins], dtype=np.int64)
+    z, y = np.r_[z, [r.place / BINS for r in bins]], np.r_[y, kind % 2]
+    weight, lang = np.r_[np.ones(len(lang)), [float(r.n) for r in bins]], np.r_[lang, kind // 2]
+    net.thresholds = calibrated(z, y, weight, lang, net.lang_logp.shape[1])
+    return net
+
+
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> Network:
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    known = known.filter(allowed)
+    known = materialize(known.filter(allowed), "toxicity-labels")
     n = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     chosen = F.broadcast(sampled(known, "toxic", per_class))  # about 2 * per_class rows
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"), "lang").join(chosen, "doc_id")
-    rows = rows.withColumn("bytes", F.length("raw")).filter(F.col("bytes") <= class_bytes // 16)
+    texts_ = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"), "lang").withColumn("bytes", F.length("raw"))
+    rows = texts_.join(chosen, "doc_id").filter(F.col("bytes") <= class_bytes // 16)
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "bytes", "raw").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("upto", F.sum("bytes").over(order)).filter(F.col("upto") <= class_bytes)  # of the sample only
     sample = sorted(rows.select("raw", "toxic", "lang", "doc_id").collect(), key=lambda r: (r[3], bytes(r[0])))
-    return learn([(bytes(r[0]), r[1], r[2]) for r in sample], max(1.0, n.get(0, 0) / max(1, n.get(1, 0))))
+    net = learn([(bytes(r[0]), r[1], r[2]) for r in sample], max(1.0, n.get(0, 0) / max(1, n.get(1, 0))))
+    every = texts_.join(small(known), "doc_id")
+    total = every.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    if net.trained and total.n > len(sample):  # else all are learned from
+        started = docs.sparkSession.createDataFrame([(i,) for i in sorted({r[3] for r in sample})], f"doc_id {dict(known.dtypes)['doc_id']}").withColumn("started", F.lit(True))
+        every = every.join(F.broadcast(started), "doc_id", "left").withColumn("started", F.coalesce("started", F.lit(False)))
+        net = _proceed(net, every, total.n, total.bytes)
+    net.crossed, net.state = None, {}
+    return net
 
 
 def score(docs: DataFrame, labels: DataFrame, held_out: Column, per_class: int = PER_CLASS) -> DataFrame:
