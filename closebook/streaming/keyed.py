@@ -27,10 +27,21 @@ class KeyedLog:
         self.spark, self.path = spark, path.rstrip("/")
 
     def write(self, entries: DataFrame, writer: str | None = None) -> None:
-        """Ask for entries; a name of the writer's own tells its entries from others'."""
+        """Ask for entries; a name of the writer's own tells its entries from others'.
+
+        They are written in a folder of their own and its files then moved, as of two writes to one folder the first to end clears away what the other has not committed.
+        """
         name = writer or uuid.uuid4().hex
         asked = entries.withColumn("asked", F.concat(F.lit(f"{name}:"), F.monotonically_increasing_id().cast("string")))
-        asked.select(F.to_json(F.struct(*asked.columns)).alias("value")).write.mode("append").text(f"{self.path}/asked")
+        own = f"{self.path}/asking/{uuid.uuid4().hex}"
+        asked.select(F.to_json(F.struct(*asked.columns)).alias("value")).write.text(own)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        files, to = path(own).getFileSystem(self.spark._jsc.hadoopConfiguration()), f"{self.path}/asked"
+        files.mkdirs(path(to))
+        for at in [x.getPath() for x in files.listStatus(path(own)) if x.getPath().getName().startswith("part-")]:
+            if not files.rename(at, path(f"{to}/{at.getName()}")):
+                raise OSError(f"{at.toString()} cannot be moved to {to}")
+        files.delete(path(own), True)
 
     def _applied(self) -> DataFrame:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/applied")
