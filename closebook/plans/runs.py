@@ -15,14 +15,15 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, ingest, matching, serving
+from ..operators import audit, matching, serving
 from ..operators.access import NotFound, Principal
-from ..storage import passing
+from ..storage import kept, passing
 from . import generator
 from .close import Close
 
 # How many events a run on demand may have.
 FEWEST, MOST = 1, 50_000
+REPORT = "total_in long, accepted long, deduplicated long, rejected long, skipped long"
 KEPT, MARKS, CLAIMS, TABLES = 5, "_published", "_numbers", "runs"
 
 
@@ -89,11 +90,13 @@ class RunStore:
         name = uuid.uuid4().hex
         folder = f"{self.root}/{TABLES}/{name}"
         rows, edges, found = close.rows, close.edges, close.found
-        report = ingest.report(close.feed.select("source", "external_ref", F.lit("ok").alias("outcome")))
+        arrived, accepted = close.feed.count(), close.measured["rows"].counts["n"]
+        report = self.spark.createDataFrame([(arrived, accepted, arrived - accepted, 0, 0)], REPORT)  # nothing was parsed, and the rows are the first of each key
+        matches = kept(matching.told(edges, rows), "told")
         no_rejects = self.spark.createDataFrame([], "source string, locator string, reason string")
         tables = {
-            "rows": rows, "edges": edges, "matches": serving.wire_matches(edges, rows), "exceptions": found, "groupings": close.groupings, "tiers": matching.tier_breakdown(edges),
-            "audit": audit.trail(report, no_rejects, edges, found).withColumn("run", F.lit(name)), "summary": serving.summary(rows, edges, found).withColumn("run", F.lit(name)),
+            "rows": rows, "edges": edges, "matches": matches.drop("right_id"), "exceptions": found, "groupings": close.groupings, "tiers": matching.tier_breakdown(edges),
+            "audit": audit.trail(report, no_rejects, edges, found, matches, close.matched).withColumn("run", F.lit(name)), "summary": serving.summary(rows, edges, found, close.matched, matches.count()).withColumn("run", F.lit(name)),
         }
         tables["about"] = self.spark.createDataFrame([(json.dumps((about or {}) | {"run": name}),)], "value string")
         for table, df in tables.items():
