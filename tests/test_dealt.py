@@ -43,3 +43,14 @@ def test_no_match_is_put_together_for_unbanked_lines(spark):
     of = lambda df: sorted(r.txn_id for r in df.select("txn_id").collect())
     linked = exceptions.matched_sources(rows, edges).filter("other = 'bank'")
     assert of(exceptions.unbanked(rows, edges)) == of(rows.filter("source = 'settlement'").join(linked, "txn_id", "left_anti")) == ["settlement:open", "settlement:t"]
+
+
+def test_a_trail_groups_its_edges_and_its_report_once(spark):
+    rows, edges = _small(spark)
+    found = spark.createDataFrame([("no_counterpart", "settlement:open", 5, "INR", 0)], "category string, subject_id string, at_risk long, currency string, candidates long")
+    report = ingest.report(rows.withColumn("outcome", F.lit("ok")))
+    rejects = spark.createDataFrame([], "source string, locator string, reason string")
+    told = audit.trail(report, rejects, edges, found, matched=5)
+    assert _planned(spark, lambda: exchanges(audit.trail(report, rejects, edges, found, matched=5))) <= 1
+    lines = [sorted(map(str, t.collect())) for t in (told, audit.trail(report, rejects, edges, found), audit.trail(report, rejects, edges, found, matching.described(edges), 5))]
+    assert lines[0] == lines[1] == lines[2] and len(lines[0]) == 2 + 3 + 1 + 1
