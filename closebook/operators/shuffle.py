@@ -20,6 +20,7 @@ ROUNDS, PRIME, SEED = 6, (1 << 31) - 1, 42
 MOST = 1 << 62
 #: Passes through the network; a grid has fewer than sqrt(n) cells too many, so a row needs a third one with a chance of 1 / n.
 WALKS = 64
+OUTSIDE = "raise_error('a number to be shuffled is negative or too large')"
 
 
 def sides(n: int) -> tuple[int, int]:
@@ -56,7 +57,7 @@ def place(x: str, n: int, seed: int = SEED) -> Column:
         found = f"aggregate(sequence(1, {walks}), {once(number)}, (v, i) -> if(v < {n}L, v, {once('v')}), v -> if(v < {n}L, v, raise_error('no place was found')))"
     else:
         found = once(number)
-    return F.expr(f"CASE WHEN {number} IS NULL THEN NULL WHEN {number} BETWEEN 0L AND {n - 1}L THEN {found} ELSE raise_error('a number to be shuffled is negative or too large') END")
+    return F.expr(f"CASE WHEN {number} IS NULL THEN NULL WHEN {number} BETWEEN 0L AND {n - 1}L THEN {found} ELSE {OUTSIDE} END")
 
 
 def bound(df: DataFrame, by: str) -> int:
@@ -69,7 +70,19 @@ def placed(df: DataFrame, by: str, seed: int = SEED, n: int | None = None, name:
 
     Rows with one number share a place; a row without a number has none. A column called ``name`` is replaced.
     """
-    return df.withColumn(name, place(f"`{by}`", n or bound(df, by), seed))
+    n = n or bound(df, by)
+    a, b = sides(n)
+    if a * b > n:
+        return df.withColumn(name, place(f"`{by}`", n, seed))
+    # No cell is beyond n, so there is nothing to walk: each round is two columns of plain arithmetic, which is compiled, as a fold over the rounds is not.
+    number = f"CAST(`{by}` AS bigint)"
+    moved = df.withColumn("_n", F.expr(f"CASE WHEN {number} BETWEEN 0L AND {n - 1}L THEN {number} WHEN {number} IS NOT NULL THEN {OUTSIDE} END"))
+    moved = moved.withColumns({"_l": F.expr(f"_n div {b}L"), "_r": F.expr(f"_n % {b}L")})
+    for r, k in enumerate(keys(seed)):
+        side, other, width = ("_r", "_l", b) if r % 2 else ("_l", "_r", a)
+        moved = moved.withColumn("_u", F.expr(f"({k[0]}L * {other} + {k[1]}L) % {PRIME}L"))
+        moved = moved.withColumn(side, F.expr(f"({side} + (_u * ((_u + {k[2]}L) % {PRIME}L)) % {PRIME}L) % {width}L"))
+    return moved.withColumn(name, F.expr(f"_l * {b}L + _r")).drop("_n", "_l", "_r", "_u")
 
 
 def write(df: DataFrame, by: str, path: str, files: int, seed: int = SEED, n: int | None = None) -> int:

@@ -54,3 +54,11 @@ def test_a_trail_groups_its_edges_and_its_report_once(spark):
     assert _planned(spark, lambda: exchanges(audit.trail(report, rejects, edges, found, matched=5))) <= 1
     lines = [sorted(map(str, t.collect())) for t in (told, audit.trail(report, rejects, edges, found), audit.trail(report, rejects, edges, found, matching.described(edges), 5))]
     assert lines[0] == lines[1] == lines[2] and len(lines[0]) == 2 + 3 + 1 + 1
+
+
+def test_places_of_a_full_grid_are_plain_arithmetic(spark):
+    ids = spark.createDataFrame([(0,), (None,), (77,), ((1 << 60) - 1,)], "seq long")
+    dealt = shuffle.placed(ids, "seq", 7, 1 << 60)
+    assert "lambda" not in dealt._jdf.queryExecution().optimizedPlan().toString()
+    want = ids.select("seq", shuffle.place("seq", 1 << 60, 7).alias("place"))
+    assert dealt.columns == want.columns and {tuple(r) for r in dealt.collect()} == {tuple(r) for r in want.collect()}
