@@ -62,3 +62,20 @@ def test_places_of_a_full_grid_are_plain_arithmetic(spark):
     assert "lambda" not in dealt._jdf.queryExecution().optimizedPlan().toString()
     want = ids.select("seq", shuffle.place("seq", 1 << 60, 7).alias("place"))
     assert dealt.columns == want.columns and {tuple(r) for r in dealt.collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_a_key_is_made_of_the_stored_rows(spark):
+    close = generator.run(spark, 200, shuffled=True)
+    assert "md5" not in close.truth._jdf.queryExecution().optimizedPlan().toString()
+    drawn = generator.generate(spark, 200, generator.HELD_OUT_SEED).truth
+    assert {tuple(r) for r in close.truth.collect()} == {tuple(r) for r in drawn.collect()} and close.feed.columns == generator.generate(spark, 200).rows.columns
+
+
+def test_shuffled_data_goes_with_the_write(spark):
+    at = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in at for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    before = files()
+    made = storage.materialize(spark.range(1_000).repartition(3, "id"), "swept")
+    left = files() - before
+    assert not left and made.count() == 1_000
+    assert spark.conf.get(storage.CLEANUP) == "false"
