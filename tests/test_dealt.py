@@ -79,3 +79,13 @@ def test_shuffled_data_goes_with_the_write(spark):
     left = files() - before
     assert not left and made.count() == 1_000
     assert spark.conf.get(storage.CLEANUP) == "false"
+
+
+def test_few_rows_tell_which_records_are_matched(spark):
+    rows, edges = _small(spark)
+    unresolved = rows.join(edges, "txn_id", "left_anti")
+    lines, found = exceptions.unbanked(rows, edges), spark.createDataFrame([("settlement:open",), ("settlement:t",)], "subject_id string")
+    truth = rows.select(F.when(F.col("external_ref").isin("open", "u"), 2).otherwise(1).cast("long").alias("event_id"), F.lit("c").alias("case_type"), F.lit("matched").alias("handling"), "source", "external_ref")
+    per_event = scoring.events(scoring.owned(rows, truth, scoring.flags(unresolved, lines, found)))
+    assert sorted(map(tuple, per_event.collect())) == [(1, "c", "matched", 4, 4, 1, 0), (2, "c", "matched", 2, 1, 1, 1)]
+    assert [tuple(r) for r in scoring.missed_by_case(per_event).collect()] == [("c", 1)]
